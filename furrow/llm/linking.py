@@ -25,6 +25,7 @@ from furrow.llm.session import parallelism, prepared, settled
 
 #: Nodes of a bucket that meet in one task, twice over.
 BLOCK = 256
+_MEMBER = ["bucket", "bi", "bj", "block", "band", "h1", "h2"]
 #: Ids that may be broadcast (8 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 
@@ -171,7 +172,8 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int, most_rows: int = 4096)
 
 def _grouped(rows: DataFrame) -> DataFrame:
     keys = ["bucket", "bi", "bj"]
-    return rows.repartition(parallelism(rows.sparkSession), *keys).sortWithinPartitions(*keys)
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.select(*keys, *rest).repartition(parallelism(rows.sparkSession), *keys).sortWithinPartitions(*keys)
 
 
 def _candidates(signature: Signature, least: int) -> Callable:
@@ -182,7 +184,7 @@ def _candidates(signature: Signature, least: int) -> Callable:
             i, j, _ = _likely(sig, band, *_pairs(edges, left), signature, least)
             hit = np.unique(np.concatenate([i, j]))
             if len(hit):
-                yield from table.take(pa.array(hit)).combine_chunks().to_batches()
+                yield from table.select(_MEMBER).take(pa.array(hit)).combine_chunks().to_batches()
 
     return run
 
@@ -248,10 +250,10 @@ def links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, k: int,
     members = keyed.join(shared, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     members = members.withColumn("block", F.pmod(F.xxhash64("h1", "h2", F.lit("block")), "blocks").cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select("bucket", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "band", "h1", "h2")
+    members = members.select("bucket", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "band", "h1", "h2").select(*_MEMBER)
     sigs = nodes.select("h1", "h2", "sig")
-    likely = _grouped(members.join(sigs, ["h1", "h2"])).mapInArrow(_candidates(signature, least), "bucket long, bi int, bj int, block int, band int, h1 long, h2 long, sig binary")
-    likely = settled(likely.drop("sig"))
+    likely = _grouped(members.join(sigs, ["h1", "h2"])).mapInArrow(_candidates(signature, least), "bucket long, bi int, bj int, block int, band int, h1 long, h2 long")
+    likely = settled(likely)
     chosen = likely.select("h1", "h2").distinct()
     wanted = settled(nodes.join(chosen, ["h1", "h2"], "left_semi").select(F.col("min_id").alias("wanted_id")).distinct())
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
