@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from furrow.llm import decontaminate, fingerprints, language, near_dedup, packing, substrings
+from furrow.llm import decontaminate, fingerprints, language, near_dedup, packing, private_data, secret_scan, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,14 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(table(spark, sf_dir, "documents"))
+
+
+def op9_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_data.pseudonymised(table(spark, sf_dir, "documents"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_components(table(spark, sf_dir, "documents"), shingle_words=3, threshold=0.85)
 
@@ -42,7 +50,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_language": op3_language,
     "op4_decontaminate": op4_decontaminate,
+    "op6_secrets": op6_secrets,
     "op8_near_dedup": op8_near_dedup,
+    "op9_private_data": op9_private_data,
     "op10_substrings": op10_substrings,
 }
 
