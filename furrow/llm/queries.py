@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from furrow.llm import decontaminate, fingerprints, language, near_dedup, packing, private_data, secret_scan, substrings
+from furrow.llm import decontaminate, fingerprints, html_text, language, near_dedup, packing, private_data, secret_scan, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op9_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private_data.pseudonymised(table(spark, sf_dir, "documents"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_components(table(spark, sf_dir, "documents"), shingle_words=3, threshold=0.85)
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language": op3_language,
     "op4_decontaminate": op4_decontaminate,
     "op6_secrets": op6_secrets,
+    "op7_html_text": op7_html_text,
     "op8_near_dedup": op8_near_dedup,
     "op9_private_data": op9_private_data,
     "op10_substrings": op10_substrings,
