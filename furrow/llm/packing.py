@@ -37,23 +37,55 @@ PIECES_PER_TASK = 20_000
 NEARLY_FULL = SEQUENCE_TOKENS // 64
 
 
+_KIND = np.full(256, 3, np.uint8)  # 1: letter or digit, 2: punctuation that parts, 3: neither
+_KIND[[i for i in range(128) if chr(i).isalnum()]] = 1
+_KIND[[i for i in range(33, 127) if not chr(i).isalnum() and chr(i) != "'"]] = 2
+
+
+def _units(data: np.ndarray, off: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words' spans, parted further between letters or digits and punctuation."""
+    if not len(starts):
+        return starts, ends, np.searchsorted(starts, off)
+    kind = _KIND[data]
+    # of a letter U+00C0 to U+00FF, the first byte begins and the second byte ends it
+    second = np.zeros(len(data), bool)
+    second[1:] = (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    first = np.zeros(len(data), bool)
+    first[:-1] = second[1:]
+    letter_ends, letter_begins, mark = (kind == 1) | second, (kind == 1) | first, kind == 2
+    border = np.flatnonzero((letter_ends[:-1] & mark[1:]) | (mark[:-1] & letter_begins[1:])) + 1
+    inner = border[~np.isin(border, off)]  # a text's first byte is a start already
+    starts, ends = np.sort(np.concatenate([starts, inner])), np.sort(np.concatenate([ends, inner]))
+    return starts, ends, np.searchsorted(starts, off)
+
+
 class WordTokens:
-    """Token ids of white-space separated words, which this vocabulary never joins; known words are looked up.
+    """Token ids of units that this vocabulary never joins; units met before are looked up.
 
-    The table keeps one word a slot, so its memory is bounded, and a new word takes the slot.
+    White space always parts tokens, and so does the border between an ASCII letter, digit or Latin-1 letter
+    and ASCII punctuation other than an apostrophe.  A-Z are folded, as the vocabulary folds them.  Texts that
+    may name a special token are only parted at white space.  The table keeps one unit a slot, so its memory
+    is bounded, and a new unit takes the slot; a worker process keeps it from task to task.
     """
 
-    SLOTS = 1 << 20
-    POOL = 1 << 24
+    SLOT_BITS = 21
+    POOL = 1 << 23
+    _kept: dict[str, WordTokens] = {}
+
+    @classmethod
+    def of(cls, path: str) -> WordTokens:
+        if path not in cls._kept:
+            cls._kept[path] = cls(path)
+        return cls._kept[path]
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.reset()
 
     def reset(self) -> None:
-        self.key = np.zeros(self.SLOTS, np.uint64)
-        self.count = np.zeros(self.SLOTS, np.int32)
-        self.at = np.zeros(self.SLOTS, np.int64)
+        self.key = np.zeros(1 << self.SLOT_BITS, np.uint64)
+        self.count = np.zeros(1 << self.SLOT_BITS, np.int32)
+        self.at = np.zeros(1 << self.SLOT_BITS, np.int64)
         self.pool = np.zeros(1 << 16, np.uint32)
         self.used = 0
 
@@ -68,15 +100,17 @@ class WordTokens:
         """Ids of all texts, one after another, and where each text's begin."""
         if self.used > self.POOL:
             self.reset()
+        raw = data.tobytes()
         starts, ends, first = textkit.words(data, off)
-        hashes = textkit.word_hashes(data, starts, ends, fold=False)
-        slot = (hashes >> np.uint64(44)).astype(np.int64)
+        if b"<|" not in raw:
+            starts, ends, first = _units(data, off, starts, ends)
+        hashes = textkit.word_hashes(data, starts, ends)
+        slot = (hashes >> np.uint64(64 - self.SLOT_BITS)).astype(np.int64)
         count, at = self.count[slot], self.at[slot]
         new = np.flatnonzero(self.key[slot] != hashes)
         if len(new):
             _, head, back = np.unique(hashes[new], return_index=True, return_inverse=True)
             head = new[head]
-            raw = data.tobytes()
             coded = self.tokenizer.encode_batch([raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[head].tolist(), ends[head].tolist(), strict=True)], add_special_tokens=False)
             ids = [c.ids for c in coded]
             n = np.array([len(x) for x in ids], np.int64)
@@ -95,7 +129,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "own"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = WordTokens(public_tokenizers.path(vocabulary))
+        tokens = WordTokens.of(public_tokenizers.path(vocabulary))
         own = TaskContext.get().partitionId() << 36
         for b in batches:
             for lo, hi, data, off in textkit.slices(b.column(1)):
