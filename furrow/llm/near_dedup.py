@@ -27,3 +27,12 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, n_shingles, component_id, kept) of every row."""
     found = linking.components(docs, id_col, text_col, shingle_words, threshold, signature)
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, threshold: float = 0.8, signature: linking.Signature = SIGNATURE) -> DataFrame:
+    """The documents, with their columns, that have their component's least doc_id; rows that repeat doc_id and text stay once."""
+    kept = near_components(docs, id_col, text_col, shingle_words, threshold, signature).where("kept").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("kept_rows"))
+    rows = docs.join(kept, docs[id_col].eqNullSafe(F.col("kept_id"))).drop("kept_id")
+    once = rows.where("kept_rows = 1").drop("kept_rows")
+    again = rows.where("kept_rows > 1").drop("kept_rows").dropDuplicates([id_col, text_col])
+    return once.unionByName(again)

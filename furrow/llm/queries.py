@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from furrow.llm import decontaminate, fingerprints, html_text, language, near_dedup, packing, private_data, secret_scan, substrings, toxicity
 
 
@@ -64,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_private_data": op9_private_data,
     "op10_substrings": op10_substrings,
+    "pipeline": corpus_pipeline.run,
 }
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -96,4 +98,4 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT)
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_decontaminate": _OP4_SQL, "op10_substrings": _OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_decontaminate": _OP4_SQL, "op10_substrings": _OP10_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
