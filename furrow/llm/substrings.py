@@ -16,7 +16,6 @@ doc_id and text are occurrences of their own; an empty table gives an empty tabl
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from furrow.llm import textkit
-from furrow.llm.session import parallelism, prepared, settled
+from furrow.llm.session import parallelism, prepared, release, settled
 
 WINDOW_WORDS = 35
 #: Perfect difference sets: every difference modulo the period is that of two members.
@@ -166,11 +165,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     row = "pkey long, key long, code long"
     anchors = _repeated(base.select("key", "text").mapInArrow(_anchors(window), row))
     positions = settled(anchors.groupBy("key").agg(F.collect_list(F.shiftright("code", 2).cast("int")).alias("positions")))
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets Spark delete the anchors' shuffle files
+    del anchors
+    release(spark)  # of the anchors' shuffle files
+    # both joins read the same columns of it, so the plan has one exchange of the documents
     dealt = base.repartition(parallelism(spark), "key")
-    held = dealt.join(positions, "key").select("key", "check", "text", "positions")
-    found = _repeated(held.mapInArrow(_windows(window), row)).groupBy("key").agg(F.collect_list("code").alias("found"))
+    held = dealt.join(positions, "key").select("key", "check", "text", "positions", "doc_id")
+    found = _repeated(held.mapInArrow(_windows(window), row)).groupBy("key").agg(F.collect_list(F.col("code").bitwiseAND((1 << 48) - 4)).alias("found"))
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
     return dealt.join(found, "key", "left").select("doc_id", "text", "check", "found").mapInArrow(_kept(window, schema.names), schema)
 
