@@ -1,11 +1,17 @@
 """Near-duplicate links by banded MinHash signatures, confirmed on full shingle sets, and their components.
 
 Documents with equal shingle sets are one node.  A node's signature is cut into bands; nodes that agree in a
-band share a bucket.  Buckets are split into blocks of bounded size and every pair of blocks is one group of
-rows, so no task ever holds a whole bucket.  A first pass over signatures finds, for each bucket, the nodes
-that have a likely partner there (each pair counts only in the first band it agrees in); a second pass gets
-these nodes' full sets and confirms links exactly.  A pair that is already connected inside its group isn't
-confirmed again, as only components are asked for, so a group gives fewer links than it has nodes.
+band share a bucket.  Candidates meet in groups of bounded size, so no task ever holds a whole bucket:
+
+* A bucket of up to ``BLOCK`` nodes is one group, in which every pair counts.
+* A larger bucket is dealt into blocks, and its pivot (another one in each band) meets each block.  In a bucket of
+  near copies this links almost all nodes, with as many rows as it has nodes.
+* Then only those pairs of a large bucket can matter that are in different components so far.  The nodes outside
+  the bucket's largest component meet it, and one another, block by block; a bucket that is one component is done.
+
+Within a group, signatures first tell which nodes have a likely partner (each pair counts only in the first band
+it agrees in); these nodes' full sets then confirm links exactly.  A pair that is already connected inside its
+group isn't confirmed again, as only components are asked for.
 """
 
 from __future__ import annotations
@@ -23,11 +29,11 @@ from pyspark.sql import types as T
 from furrow.llm import textkit
 from furrow.llm.session import parallelism, prepared, settled
 
-#: Nodes of a bucket that meet in one task, twice over.
+#: Nodes of a bucket in one block; a group has at most two blocks.
 BLOCK = 256
-_MEMBER = ["bucket", "bi", "bj", "block", "band", "h1", "h2"]
-#: Ids that may be broadcast (8 bytes each); beyond it the join shuffles.
-BROADCAST_IDS = 1_000_000
+_MEMBER = ["bucket", "bi", "bj", "left", "pivot", "band", "h1", "h2"]
+#: Rows of up to 16 bytes that may be broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -110,7 +116,7 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _pairs(edges: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows to compare: all pairs of a group's one block, or each of its left block with each of its right."""
+    """Rows to compare: all pairs of a group of left rows, or each left row with each right row."""
     sizes = np.diff(edges)
     two = edges[:-1][sizes == 2]
     firsts, seconds = [two], [two + 1]
@@ -126,8 +132,14 @@ def _pairs(edges: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return i, j
 
 
-def _likely(sig: np.ndarray, band: np.ndarray, i: np.ndarray, j: np.ndarray, signature: Signature, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the pairs, those with enough equal values that agree in no band before this one, and their equal values."""
+def _likely(table: pa.Table, edges: np.ndarray, signature: Signature, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the groups' pairs, those with enough equal values that agree in no band before this one, and their equal values.
+
+    Pairs with a pivot count in any band, as the bucket of the first may have another pivot.
+    """
+    sig, band = _matrix(table.column("sig"), signature.values), table.column("band").to_numpy()
+    pivot = table.column("pivot").to_numpy()
+    i, j = _pairs(edges, table.column("left").to_numpy())
     out = []
     for at in range(0, len(i), 1 << 15):
         a, b = i[at : at + (1 << 15)], j[at : at + (1 << 15)]
@@ -135,7 +147,7 @@ def _likely(sig: np.ndarray, band: np.ndarray, i: np.ndarray, j: np.ndarray, sig
         enough = same.sum(1)
         ok = np.flatnonzero(enough >= least)
         agree = same[ok, : signature.bands * signature.rows].reshape(len(ok), signature.bands, signature.rows).all(2)
-        ok = ok[agree.argmax(1) == band[a[ok]]]
+        ok = ok[pivot[a[ok]] | (agree.argmax(1) == band[a[ok]])]
         out.append((a[ok], b[ok], enough[ok]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (i, j, i)
 
@@ -179,9 +191,7 @@ def _grouped(rows: DataFrame) -> DataFrame:
 def _candidates(signature: Signature, least: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, edges in _groups(batches, 3):
-            sig, band = _matrix(table.column("sig"), signature.values), table.column("band").to_numpy()
-            left = table.column("bi").to_numpy() == table.column("block").to_numpy()
-            i, j, _ = _likely(sig, band, *_pairs(edges, left), signature, least)
+            i, j, _ = _likely(table, edges, signature, least)
             hit = np.unique(np.concatenate([i, j]))
             if len(hit):
                 yield from table.select(_MEMBER).take(pa.array(hit)).combine_chunks().to_batches()
@@ -194,9 +204,7 @@ def _confirm(signature: Signature, least: int, ratio: Fraction) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, edges in _groups(batches, 3, 256):
-            sig, band = _matrix(table.column("sig"), signature.values), table.column("band").to_numpy()
-            left = table.column("bi").to_numpy() == table.column("block").to_numpy()
-            i, j, enough = _likely(sig, band, *_pairs(edges, left), signature, least)
+            i, j, enough = _likely(table, edges, signature, least)
             group = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
             shingles = [np.frombuffer(x, np.uint64) for x in table.column("shingles").combine_chunks().to_pylist()]
             root = list(range(table.num_rows))
@@ -240,29 +248,70 @@ def _shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "h1 long, h2 long, shingles binary")
 
 
-def links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, k: int, threshold: float, signature: Signature) -> DataFrame:
-    """(a1, a2, b1, b2): links between nodes that hold every two linked nodes in one component."""
-    spark = docs.sparkSession
-    width, least = 2 * signature.rows, signature.least_equal(threshold)
-    pieces = F.array(*[F.substring("sig", 1 + b * width, width) for b in range(signature.bands)])
-    keyed = nodes.select("h1", "h2", F.posexplode(pieces).alias("band", "piece")).select("h1", "h2", "band", F.xxhash64("band", "piece").alias("bucket"))
-    shared = keyed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = keyed.join(shared, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    members = members.withColumn("block", F.pmod(F.xxhash64("h1", "h2", F.lit("block")), "blocks").cast("int"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select("bucket", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "band", "h1", "h2").select(*_MEMBER)
+def _first_groups(keyed: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Members of small buckets, each bucket a group; of large ones, each block with the pivot."""
+    order = F.xxhash64("h1", "h2", "band")
+    members = keyed.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    members = members.withColumn("pivot", F.col("large") & (order == F.col("first")))
+    own = F.pmod(F.xxhash64("h1", "h2", F.lit("block")), "blocks").cast("int")
+    members = members.withColumn("bj", F.explode(F.when(~F.col("large"), F.array(F.lit(0))).when(F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))))
+    return members.select("bucket", F.lit(0).alias("bi"), "bj", (~F.col("large") | F.col("pivot")).alias("left"), "large", "band", "h1", "h2").withColumnRenamed("large", "pivot").select(*_MEMBER)
+
+
+def _other_groups(members: DataFrame) -> DataFrame:
+    """Of large buckets' members with their component so far: the ones outside the largest meet it and one another."""
+    parts = members.groupBy("bucket", "part").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("part", "n").alias("largest"), F.max("n").alias("most"), F.sum("n").alias("size"))
+    open_ones = parts.where("most < size")
+    dealt = members.join(open_ones, "bucket").withColumn("few", F.col("part") != F.col("largest"))
+    few_blocks, most_blocks = (F.ceil(n / BLOCK).cast("int") for n in (F.col("size") - F.col("most"), F.col("most")))
+    own = F.pmod(F.xxhash64("h1", "h2", F.lit("other")), F.when(F.col("few"), few_blocks).otherwise(most_blocks)).cast("int")
+    group = lambda bi, bj, left: F.struct(bi.alias("bi"), bj.alias("bj"), left.alias("left"))
+    to_most = F.transform(F.sequence(F.lit(0), most_blocks - 1), lambda k: group(F.col("own"), k, F.lit(True)))
+    to_few = F.transform(F.sequence(F.lit(0), few_blocks - 1), lambda k: group(F.least("own", k), -1 - F.greatest("own", k), F.col("own") <= k))
+    of_most = F.transform(F.sequence(F.lit(0), few_blocks - 1), lambda k: group(k, F.col("own"), F.lit(False)))
+    dealt = dealt.withColumn("own", own).withColumn("g", F.explode(F.when(F.col("few"), F.concat(to_most, to_few)).otherwise(of_most)))
+    return dealt.select("bucket", "g.bi", "g.bj", "g.left", F.lit(False).alias("pivot"), "band", "h1", "h2").select(*_MEMBER)
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """The rows, for a join: broadcast if they are few enough."""
+    rows = settled(rows)
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def _links(members: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, threshold: float, signature: Signature) -> DataFrame:
+    """(u, v): confirmed links of the groups, enough of them to connect what the groups' links connect."""
+    least, ratio = signature.least_equal(threshold), Fraction(threshold).limit_denominator(1000)
+    members = settled(members)
+    nodes = settled(nodes.join(_few(members.select("h1", "h2").distinct()), ["h1", "h2"], "left_semi"))
     sigs = nodes.select("h1", "h2", "sig")
-    likely = _grouped(members.join(sigs, ["h1", "h2"])).mapInArrow(_candidates(signature, least), "bucket long, bi int, bj int, block int, band int, h1 long, h2 long")
-    likely = settled(likely)
+    likely = settled(_grouped(members.join(sigs, ["h1", "h2"])).mapInArrow(_candidates(signature, least), "bucket long, bi int, bj int, left boolean, pivot boolean, band int, h1 long, h2 long"))
     chosen = likely.select("h1", "h2").distinct()
-    wanted = settled(nodes.join(chosen, ["h1", "h2"], "left_semi").select(F.col("min_id").alias("wanted_id")).distinct())
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    texts = texts.join(ids, texts.doc_id.eqNullSafe(F.col("wanted_id")), "left_semi")
+    wanted = _few(nodes.join(chosen, ["h1", "h2"], "left_semi").select(F.col("min_id").alias("wanted_id")).distinct())
+    texts = docs.join(wanted, docs.doc_id.eqNullSafe(F.col("wanted_id")), "left_semi")
     full = _shingle_sets(texts, k).join(chosen, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("shingles").alias("shingles"))
     rows = likely.join(sigs, ["h1", "h2"]).join(full, ["h1", "h2"])
-    ratio = Fraction(threshold).limit_denominator(1000)
-    return _grouped(rows).mapInArrow(_confirm(signature, least, ratio), "a1 long, a2 long, b1 long, b2 long")
+    found = _grouped(rows).mapInArrow(_confirm(signature, least, ratio), "a1 long, a2 long, b1 long, b2 long")
+    return found.select(_name("a1", "a2").alias("u"), _name("b1", "b2").alias("v"))
+
+
+def _name(a: str, b: str) -> F.Column:
+    return F.concat(F.lpad(F.hex(a), 16, "0"), F.lpad(F.hex(b), 16, "0"))
+
+
+def roots(docs: DataFrame, nodes: DataFrame, k: int, threshold: float, signature: Signature) -> DataFrame:
+    """(node, root) of all nodes that have links; docs: (doc_id, text)."""
+    width = 2 * signature.rows
+    pieces = F.array(*[F.substring("sig", 1 + b * width, width) for b in range(signature.bands)])
+    keyed = nodes.select("h1", "h2", F.posexplode(pieces).alias("band", "piece")).select("h1", "h2", "band", F.xxhash64("band", "piece").alias("bucket"))
+    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.xxhash64("h1", "h2", "band")).alias("first")).where("size > 1").withColumn("large", F.col("size") > BLOCK)
+    large = _few(sizes.where("large").select("bucket"))
+    found = connected(_links(_first_groups(keyed, sizes), docs, nodes, k, threshold, signature))
+    if large.isEmpty():
+        return found
+    members = keyed.join(large, "bucket").withColumn("node", _name("h1", "h2")).join(found, "node", "left").select("bucket", "band", "h1", "h2", F.xxhash64(F.coalesce("root", "node")).alias("part"))
+    more = _links(_other_groups(members), docs, nodes, k, threshold, signature)
+    return connected(more.unionByName(found.select(F.col("node").alias("u"), F.col("root").alias("v"))))
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -291,10 +340,8 @@ def components(docs: DataFrame, id_col: str, text_col: str, k: int, threshold: f
     """
     signed = settled(signatures(docs, id_col, text_col, k, signature))
     nodes = settled(signed.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("min_id"), F.first("sig").alias("sig")))
-    found = links(docs, nodes, id_col, text_col, k, threshold, signature)
-    name = lambda a, b: F.concat(F.lpad(F.hex(a), 16, "0"), F.lpad(F.hex(b), 16, "0"))
-    roots = connected(found.select(name("a1", "a2").alias("u"), name("b1", "b2").alias("v")))
-    named = nodes.select("h1", "h2", "min_id", name("h1", "h2").alias("node")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    named = nodes.select("h1", "h2", "min_id", _name("h1", "h2").alias("node")).join(roots(texts, nodes, k, threshold, signature), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("min_id").alias("component_id"))
     named = named.join(least, "root").select("h1", "h2", "component_id")
     empty = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
