@@ -48,7 +48,8 @@ class Model:
 
     def scores(self, features: np.ndarray) -> np.ndarray:
         norm = np.sqrt(np.maximum(features.sum(1, dtype=np.float32), 1))[:, None]
-        value = SHARPNESS * (features.astype(np.float32) @ self.weights / norm + self.bias)
+        product = np.concatenate([features[lo : lo + 64].astype(np.float32) @ self.weights for lo in range(0, len(features), 64)])
+        value = SHARPNESS * (product / norm + self.bias)
         value = np.exp(value - value.max(1, keepdims=True))
         return value / value.sum(1, keepdims=True)
 
@@ -146,6 +147,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        textkit.forget()
         m = shared.value
         for b in batches:
             lower = pc.utf8_lower(b.column(1))

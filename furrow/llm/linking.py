@@ -31,6 +31,10 @@ from furrow.llm.session import parallelism, prepared, settled
 
 #: Nodes of a bucket in one block; a group has at most two blocks.
 BLOCK = 256
+#: Edges of a component search in one file of a checkpoint.
+EDGES_PER_FILE = 200_000
+#: Pairs whose signatures are compared at once.
+_PAIRS = 1 << 13
 _MEMBER = ["bucket", "bi", "bj", "left", "pivot", "band", "h1", "h2"]
 #: Rows of up to 16 bytes that may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
@@ -90,6 +94,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, signature: S
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        textkit.forget()
         for b in batches:
             for lo, hi, data, off in textkit.slices(b.column(1)):
                 runs, first = _sets(data, off, k)
@@ -141,8 +146,8 @@ def _likely(table: pa.Table, edges: np.ndarray, signature: Signature, least: int
     pivot = table.column("pivot").to_numpy()
     i, j = _pairs(edges, table.column("left").to_numpy())
     out = []
-    for at in range(0, len(i), 1 << 15):
-        a, b = i[at : at + (1 << 15)], j[at : at + (1 << 15)]
+    for at in range(0, len(i), _PAIRS):
+        a, b = i[at : at + _PAIRS], j[at : at + _PAIRS]
         same = sig[a] == sig[b]
         enough = same.sum(1)
         ok = np.flatnonzero(enough >= least)
@@ -190,6 +195,7 @@ def _grouped(rows: DataFrame) -> DataFrame:
 
 def _candidates(signature: Signature, least: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        textkit.forget()
         for table, edges in _groups(batches, 3):
             i, j, _ = _likely(table, edges, signature, least)
             hit = np.unique(np.concatenate([i, j]))
@@ -203,6 +209,7 @@ def _confirm(signature: Signature, least: int, ratio: Fraction) -> Callable:
     num, den = ratio.numerator, ratio.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        textkit.forget()
         for table, edges in _groups(batches, 3, 256):
             i, j, enough = _likely(table, edges, signature, least)
             group = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
@@ -237,6 +244,7 @@ def _confirm(signature: Signature, least: int, ratio: Fraction) -> Callable:
 
 def _shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        textkit.forget()
         for b in batches:
             for _, _, data, off in textkit.slices(b.column(0)):
                 runs, first = _sets(data, off, k)
@@ -273,19 +281,25 @@ def _other_groups(members: DataFrame) -> DataFrame:
     return dealt.select("bucket", "g.bi", "g.bj", "g.left", F.lit(False).alias("pivot"), "band", "h1", "h2").select(*_MEMBER)
 
 
+def _part(rows: DataFrame, share: int) -> DataFrame:
+    """Settled in a ``share``-th of the session's shuffle partitions, as small rows need fewer files."""
+    return settled(rows.coalesce(-(-parallelism(rows.sparkSession) // share)))
+
+
 def _few(rows: DataFrame) -> DataFrame:
     """The rows, for a join: broadcast if they are few enough."""
-    rows = settled(rows)
+    rows = _part(rows, 8)
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
 def _links(members: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, threshold: float, signature: Signature) -> DataFrame:
     """(u, v): confirmed links of the groups, enough of them to connect what the groups' links connect."""
     least, ratio = signature.least_equal(threshold), Fraction(threshold).limit_denominator(1000)
-    members = settled(members)
-    nodes = settled(nodes.join(_few(members.select("h1", "h2").distinct()), ["h1", "h2"], "left_semi"))
+    members = _part(members, 2)
+    nodes = _part(nodes.join(_few(members.select("h1", "h2").distinct()), ["h1", "h2"], "left_semi"), 2)
     sigs = nodes.select("h1", "h2", "sig")
-    likely = settled(_grouped(members.join(sigs, ["h1", "h2"])).mapInArrow(_candidates(signature, least), "bucket long, bi int, bj int, left boolean, pivot boolean, band int, h1 long, h2 long"))
+    likely = _grouped(members.join(sigs, ["h1", "h2"])).mapInArrow(_candidates(signature, least), "bucket long, bi int, bj int, left boolean, pivot boolean, band int, h1 long, h2 long")
+    likely = _part(likely, 2)
     chosen = likely.select("h1", "h2").distinct()
     wanted = _few(nodes.join(chosen, ["h1", "h2"], "left_semi").select(F.col("min_id").alias("wanted_id")).distinct())
     texts = docs.join(wanted, docs.doc_id.eqNullSafe(F.col("wanted_id")), "left_semi")
@@ -316,7 +330,9 @@ def roots(docs: DataFrame, nodes: DataFrame, k: int, threshold: float, signature
 
 def connected(edges: DataFrame) -> DataFrame:
     """(node, root): the least node of each edge's component, by rounds of large-star and small-star over columns u, v."""
-    edges = settled(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
+    edges = _part(edges, 8)
+    files = -(-edges.count() // EDGES_PER_FILE) or 1  # the rounds' edges are no more
     seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -324,7 +340,7 @@ def connected(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        edges = settled(small)
+        edges = settled(small.coalesce(files))
         state = tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31)))).first())
         if state == seen:
             break

@@ -69,14 +69,11 @@ class WordTokens:
     """
 
     SLOT_BITS = 21
-    POOL = 1 << 23
-    _kept: dict[str, WordTokens] = {}
+    POOL = 1 << 22
 
     @classmethod
     def of(cls, path: str) -> WordTokens:
-        if path not in cls._kept:
-            cls._kept[path] = cls(path)
-        return cls._kept[path]
+        return textkit.kept(path, lambda: cls(path))
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
@@ -85,7 +82,7 @@ class WordTokens:
     def reset(self) -> None:
         self.key = np.zeros(1 << self.SLOT_BITS, np.uint64)
         self.count = np.zeros(1 << self.SLOT_BITS, np.int32)
-        self.at = np.zeros(1 << self.SLOT_BITS, np.int64)
+        self.at = np.zeros(1 << self.SLOT_BITS, np.int32)
         self.pool = np.zeros(1 << 16, np.uint32)
         self.used = 0
 
@@ -106,18 +103,17 @@ class WordTokens:
             starts, ends, first = _units(data, off, starts, ends)
         hashes = textkit.word_hashes(data, starts, ends)
         slot = (hashes >> np.uint64(64 - self.SLOT_BITS)).astype(np.int64)
-        count, at = self.count[slot], self.at[slot]
+        count, at = self.count[slot].astype(np.int64), self.at[slot].astype(np.int64)
         new = np.flatnonzero(self.key[slot] != hashes)
         if len(new):
             _, head, back = np.unique(hashes[new], return_index=True, return_inverse=True)
             head = new[head]
-            coded = self.tokenizer.encode_batch([raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[head].tolist(), ends[head].tolist(), strict=True)], add_special_tokens=False)
-            ids = [c.ids for c in coded]
+            units = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[head].tolist(), ends[head].tolist(), strict=True)]
+            ids = [c.ids for lo in range(0, len(units), 1000) for c in self.tokenizer.encode_batch(units[lo : lo + 1000], add_special_tokens=False)]
             n = np.array([len(x) for x in ids], np.int64)
             begin = self._store(np.array([i for x in ids for i in x], np.uint32)) + np.cumsum(n) - n
             self.key[slot[head]], self.count[slot[head]], self.at[slot[head]] = hashes[head], n, begin
             count[new], at[new] = n[back], begin[back]
-        count = count.astype(np.int64)
         ids = self.pool[np.repeat(at, count) + textkit._within(count)] if len(count) else self.pool[:0]
         return ids, np.concatenate([[0], np.cumsum(count)])[first]
 
