@@ -69,7 +69,7 @@ class WordTokens:
     """
 
     SLOT_BITS = 21
-    POOL = 1 << 22
+    POOL = 1 << 23
 
     @classmethod
     def of(cls, path: str) -> WordTokens:
