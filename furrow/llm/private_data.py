@@ -21,6 +21,8 @@ their row; an empty table gives an empty table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +49,11 @@ CLASSES = ((48, 10), (97, 26), (65, 26), (224, 23), (248, 8), (192, 23), (216, 7
 _FIRST_DAY, _DAY_PARTS = "1900-01-01", (270, 271)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _noise(key: str, what: Column, turn: Column) -> Column:
     """64 hexadecimal digits that depend on the key, the round and the other half."""
     return F.sha2(F.concat_ws("|", F.lit(key), turn.cast("string"), what), 256)
@@ -71,7 +78,8 @@ def _shifted(char: Column, by: Column) -> Column:
 def _added(half: Column, digest: Column, sign: int) -> Column:
     """The half with each character shifted by its own digits of the hash."""
     n = F.length(half)
-    shifted = F.transform(F.sequence(F.lit(1), n), lambda j: _shifted(half.substr(j, F.lit(1)), sign * _number(F.sha2(F.concat(digest, (j / 8).cast("int").cast("string")), 256), 1 + 8 * F.pmod(j, F.lit(8)), 7)))
+    by = lambda d, j: sign * _number(F.sha2(F.concat(d, (j / 8).cast("int").cast("string")), 256), 1 + 8 * F.pmod(j, F.lit(8)), 7)
+    shifted = _let(digest, lambda d: F.transform(F.sequence(F.lit(1), n), lambda j: _shifted(half.substr(j, F.lit(1)), by(d, j))))
     return F.when(n > 0, F.array_join(shifted, "")).otherwise(F.lit(""))
 
 
@@ -126,9 +134,9 @@ def _card(value: Column, key: str, inverse: bool) -> Column:
     sound = digits.rlike(CARD_PREFIX) & (F.pmod(_luhn(digits, 0), F.lit(10)) == 0)
     # the first digits stay, so that a pseudonym has an issuer's prefix and can be told again
     head, tail = digits.substr(F.lit(1), F.lit(4)), digits.substr(F.lit(5), F.length(digits) - 5)
-    body = F.concat(head, permuted_text(tail, key + "|card", inverse))
-    check = F.pmod(10 - F.pmod(_luhn(body, 1), F.lit(10)), F.lit(10)).cast("string")
-    return F.when(sound, _placed(value, F.concat(body, check))).otherwise(value)
+    check = lambda body: F.pmod(10 - F.pmod(_luhn(body, 1), F.lit(10)), F.lit(10)).cast("string")
+    whole = _let(F.concat(head, permuted_text(tail, key + "|card", inverse)), lambda body: F.concat(body, check(body)))
+    return F.when(sound, _let(whole, lambda d: _placed(value, d))).otherwise(value)
 
 
 def _ip(value: Column, key: str, inverse: bool) -> Column:
@@ -159,7 +167,7 @@ def _ssn(value: Column, key: str, inverse: bool) -> Column:
 
 
 def _phone(value: Column, key: str, inverse: bool) -> Column:
-    return _placed(value, F.concat(F.lit("1"), permuted_text(_digits(value).substr(2, 10), key + "|phone", inverse)))
+    return _let(F.concat(F.lit("1"), permuted_text(_digits(value).substr(2, 10), key + "|phone", inverse)), lambda d: _placed(value, d))
 
 
 def _email(value: Column, key: str, inverse: bool) -> Column:
