@@ -172,8 +172,28 @@ def identify(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score")
 
 
+def _with_letters(docs: DataFrame) -> DataFrame:
+    """The documents, with their columns, whose text has a letter."""
+    prepared(docs.sparkSession)
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        textkit.forget()
+        for b in batches:
+            lower = pc.utf8_lower(b.column(1))
+            for lo, hi, data, off in textkit.slices(lower):
+                yield pa.record_batch([b.column(0)[lo:hi].filter(pa.array(_lettered(lower[lo:hi], data, off)))], ["row"])
+
+    return whole.mapInArrow(run, T.StructType([whole.schema["row"]])).select("row.*")
+
+
 def accepted(docs: DataFrame, least_score: float = 0.0) -> DataFrame:
-    """The documents, with their columns, whose language can be told: not ``und``, and of at least that score."""
+    """The documents, with their columns, whose language can be told: not ``und``, and of at least that score.
+
+    Without a model there are no scores, and every text with a letter stays.
+    """
     model = fit(docs.where(~held_out("doc_id", 5, 0)))
+    if model is None:
+        return _with_letters(docs)
     whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))
     return predict(whole, model, "row", "text").where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score)).select("doc_id.*")
