@@ -88,8 +88,8 @@ def _names(runs: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return tuple(np.add.reduceat(textkit.mix(runs ^ np.uint64(salt)), at).view(np.int64) for salt in (0x5BF0, 0xA3C59AC2E8D1))
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, signature: Signature) -> DataFrame:
-    """(doc_id, n_shingles, h1, h2, sig) of every row; the last three are null where a text has no words."""
+def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, signature: Signature, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_shingles, h1, h2, sig, the kept columns) of every row; h1, h2 and sig are null where a text has no words."""
     prepared(docs.sparkSession)
     kind = docs.schema[id_col].dataType
 
@@ -106,11 +106,12 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, signature: S
                 if full.any():
                     h[0, full], h[1, full] = _names(runs, at)
                     sig[full] = [r.tobytes() for r in signature.of(runs, at)]
-                yield pa.record_batch([b.column(0)[lo:hi], pa.array(n, pa.int64()), pa.array(h[0], pa.int64(), mask=~full), pa.array(h[1], pa.int64(), mask=~full), pa.array(sig, pa.binary())], names)
+                yield pa.record_batch([b.column(0)[lo:hi], pa.array(n, pa.int64()), pa.array(h[0], pa.int64(), mask=~full), pa.array(h[1], pa.int64(), mask=~full), pa.array(sig, pa.binary()), *[c[lo:hi] for c in b.columns[2:]]], schema.names)
 
     names = ["doc_id", "n_shingles", "h1", "h2", "sig"]
-    schema = T.StructType([T.StructField(n, t) for n, t in zip(names, [kind, T.LongType(), T.LongType(), T.LongType(), T.BinaryType()], strict=True)])
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    fields = [T.StructField(n, t) for n, t in zip(names, [kind, T.LongType(), T.LongType(), T.LongType(), T.BinaryType()], strict=True)]
+    schema = T.StructType([*fields, *[docs.schema[c] for c in keep]])
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *keep).mapInArrow(run, schema)
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -348,6 +349,13 @@ def connected(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _rooted(signed: DataFrame, texts: DataFrame, k: int, threshold: float, signature: Signature) -> DataFrame:
+    """(h1, h2, min_id, root) of every node; a node without links is its own root."""
+    nodes = settled(signed.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("min_id"), F.first("sig").alias("sig")))
+    named = nodes.select("h1", "h2", "min_id", _name("h1", "h2").alias("node")).join(roots(texts, nodes, k, threshold, signature), "node", "left")
+    return named.withColumn("root", F.coalesce("root", "node"))
+
+
 def components(docs: DataFrame, id_col: str, text_col: str, k: int, threshold: float, signature: Signature) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row.
 
@@ -355,10 +363,29 @@ def components(docs: DataFrame, id_col: str, text_col: str, k: int, threshold: f
     with nothing; a null doc_id counts only where a whole component has no other.
     """
     signed = settled(signatures(docs, id_col, text_col, k, signature))
-    nodes = settled(signed.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("min_id"), F.first("sig").alias("sig")))
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    named = nodes.select("h1", "h2", "min_id", _name("h1", "h2").alias("node")).join(roots(texts, nodes, k, threshold, signature), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = _rooted(signed, docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), k, threshold, signature)
     least = named.groupBy("root").agg(F.min("min_id").alias("component_id"))
     named = named.join(least, "root").select("h1", "h2", "component_id")
     empty = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return signed.where("n_shingles > 0").join(named, ["h1", "h2"]).select("doc_id", "n_shingles", "component_id").unionByName(empty)
+
+
+def text_key(text: F.Column) -> F.Column:
+    """128 bits that tell texts apart; a null text counts as empty."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
+def firsts(docs: DataFrame, id_col: str, text_col: str, k: int, threshold: float, signature: Signature) -> DataFrame:
+    """(first_id, first_key, copies): of each component the least doc_id, nulls last, with the least key of its texts.
+
+    ``copies`` rows have both.  Texts without words are linked with nothing, so each doc_id and text is there.
+    """
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("key"))
+    signed = settled(signatures(texts, "doc_id", "text", k, signature, ("key",)))
+    named = _rooted(signed, texts.drop("key"), k, threshold, signature)
+    rows = signed.groupBy("h1", "h2", "doc_id", "key").agg(F.count("*").alias("copies"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("first_id"), F.col("key").alias("first_key"), "copies")
+    of_node = rows.where("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.min(order).alias("first"))
+    full = of_node.join(named.select("h1", "h2", "root"), ["h1", "h2"]).groupBy("root").agg(F.min("first").alias("first"))
+    empty = rows.where("h1 IS NULL").select(order.alias("first"))
+    return full.select("first").unionByName(empty).select("first.first_id", "first.first_key", "first.copies")

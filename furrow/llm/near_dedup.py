@@ -30,9 +30,14 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, threshold: float = 0.8, signature: linking.Signature = SIGNATURE) -> DataFrame:
-    """The documents, with their columns, that have their component's least doc_id; rows that repeat doc_id and text stay once."""
-    kept = near_components(docs, id_col, text_col, shingle_words, threshold, signature).where("kept").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("kept_rows"))
-    rows = docs.join(kept, docs[id_col].eqNullSafe(F.col("kept_id"))).drop("kept_id")
-    once = rows.where("kept_rows = 1").drop("kept_rows")
-    again = rows.where("kept_rows > 1").drop("kept_rows").dropDuplicates([id_col, text_col])
+    """One document, with its columns, of each component: the least doc_id, nulls last, and of its texts one by their hash.
+
+    It is found again by doc_id and hash of the text, so repeated and null ids bring back no other row; rows that
+    repeat doc_id and text stay once.
+    """
+    kept = linking.firsts(docs, id_col, text_col, shingle_words, threshold, signature)
+    same = docs[id_col].eqNullSafe(F.col("first_id")) & (linking.text_key(docs[text_col]) == F.col("first_key"))
+    rows = docs.join(kept, same).drop("first_id", "first_key")
+    once = rows.where("copies = 1").drop("copies")
+    again = rows.where("copies > 1").drop("copies").dropDuplicates([id_col, text_col])
     return once.unionByName(again)

@@ -118,6 +118,18 @@ def test_near_dedup_of_odd_and_empty_tables(spark, odd):
     assert near_dedup.first_of_each(twice).where("text IS NOT NULL AND doc_id IS NOT NULL").count() == 7
 
 
+def test_one_of_each_group_with_repeated_and_null_ids(spark):
+    base = [f"w{i}" for i in range(60)]
+    near, other = " ".join([*base[:-1], "x"]), " ".join(f"v{i}" for i in range(30))
+    rows = [(2, " ".join(base)), (5, "a text of its own"), (5, near), (5, near), (None, other), (None, other + " more"), (None, "TWO words"), (None, "two  words"), (7, None), (7, ""), (7, None)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = [tuple(r) for r in near_dedup.first_of_each(docs).collect()]
+    assert [r for r in got if r[0] == 2] == [rows[0]] and [r for r in got if r[0] == 5] == [rows[1]]
+    mine = [t for i, t in got if i is None]
+    assert len(mine) == 2 and sum(t in (other, other + " more") for t in mine) == 1
+    assert {t or "" for i, t in got if i == 7} == {""}
+
+
 # 4: decontamination
 
 
