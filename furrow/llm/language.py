@@ -7,7 +7,8 @@ features, the landmarks and their weights fold into one matrix, and a batch of t
 product.
 
 The model learns from a bounded sample of labelled rows: at most ``SAMPLE_ROWS`` rows, spread evenly over the
-languages, of which ``LANDMARKS`` are landmarks.  Everything else covers all rows and whole texts.
+languages, of which ``LANDMARKS`` are landmarks.  Copies of a text count once, and every language has at least
+one text in the sample.  Everything else covers all rows and whole texts.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, and so is every text when there
 is nothing to learn from; rows without a lang aren't learned from; rows without a doc_id count as held out.
@@ -38,6 +39,8 @@ SHARPNESS = 6.0
 UNDETERMINED = "und"
 _SALTS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 _BLOCK = 1 << 18
+#: Bits of a text's place in the order in which the sample is drawn.
+_PLACES = 48
 
 
 @dataclass
@@ -94,12 +97,15 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_
     """A model of the languages of the given rows; None if no row has a text and a language."""
     prepared(docs.sparkSession)
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    place = F.pmod(F.xxhash64("text"), F.lit(1 << _PLACES))
+    # copies count once, so that a share of the places is that share of a language's different texts
+    sizes = rows.select("lang", place.alias("place")).distinct().groupBy("lang").agg(F.count("*").alias("n"), F.min("place").alias("first")).collect()
     if not sizes:
         return None
     each = max(1, sample_rows // len(sizes))
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, each / n))])
-    drawn = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    # the first place is drawn whatever the share is, so no language is missing
+    border = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], max(r["first"] + 1, int(min(1.0, each / r["n"]) * (1 << _PLACES))))])
+    drawn = rows.where(place < border[F.col("lang")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -247,6 +247,17 @@ def test_undetermined_texts(spark, odd, documents):
     assert language.fit(documents.limit(0)) is None
 
 
+def test_the_sample_counts_copies_once(spark):
+    said = {"en": "the house and the garden", "de": "das haus und der garten", "fr": "la maison et le jardin", "es": "la casa y el huerto"}
+    texts = [(lang, f"{text} {n}") for lang, text in said.items() for n in range(5)]
+    copied = spark.createDataFrame(texts, "lang string, text string").withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(1500))))
+    assert language.fit(copied).names == sorted(said)
+    assert language.fit(copied, sample_rows=4).names == sorted(said)
+    hot = copied.where("text = 'the house and the garden 0'").limit(1).select("lang", "text", F.explode(F.sequence(F.lit(1), F.lit(20000))).alias("copy"))
+    drawn = language.fit(copied.where("copy = 1").unionByName(hot), sample_rows=40)
+    assert np.allclose(drawn.weights, language.fit(copied.where("copy = 1"), sample_rows=40).weights)
+
+
 # 5: toxicity
 
 
