@@ -3,13 +3,19 @@
 The standard library's parser sends events; blocks of text are the page's lines.  A line's ratio is its
 characters over the tags around it.  The ratios are smoothed along the page with a Gaussian, and a two-means
 threshold parts dense lines from sparse ones.  Lines belong to regions: the outermost article or main element,
-or else the innermost sectioning container.  A region is content if it holds a dense line (with article or main
-elements on the page, only these are regions), and then all its lines are kept, short ones too, but for parts
-that their element, role, id or class marks as menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles or reader comments.
+or else the innermost sectioning container.  A region is content if it holds a dense line, and then all its lines
+are kept, short ones too, but for parts that their element, role, id or class marks as menus, headers, footers,
+sidebars, notices, adverts, forms, scripts, styles or reader comments.  With article or main elements on the page,
+other regions count only if together they have more dense text than the longest article, and then articles count
+that are at least half as long as the longest other region.
+
+A mark is a word of a class, id or role; inside an article it must be a whole class or id (or all its words but
+general ones like ``box`` and ``list``), and the ids of headings and paragraphs are no marks.  A form is a page's
+own wrapping, not a mark, if it holds most of the text.
 
 Elements need not be closed: inline markup and paragraphs are never on the stack, an end tag closes what is
-open inside its element, and an article or main inside an unclosed menu, advert or notice ends it.
+open inside its element.  An article or main inside a menu, advert or notice that is closed after it belongs to
+that part, unless it is longer than all other text; one inside an unclosed part is the page's.
 
 Defined results: null or empty html gives empty text; character references are decoded; white space in a block
 becomes one space, and blocks are joined by one space; repeated rows each get their row.
@@ -42,20 +48,31 @@ _MARKS = frozenset(
     "ad ads advert adverts advertisement advertisements adsense adslot banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay lightbox newsletter subscribe subscription signup signin login paywall sidebar sidebars rail widget widgets nav navbar navigation menu menus submenu breadcrumb breadcrumbs pagination pager masthead topbar toolbar footer footnav copyright legal comments comment commentlist disqus respond replies reply share sharing social related recommended recommendations teaser trending popular search searchbox skip hidden contentinfo complementary alertdialog form".split()
 )
 _COMMENTS = frozenset("comments comment commentlist disqus respond replies reply".split())
+#: Words that say nothing of a part beside a mark.
+_PLAIN = frozenset("box block list wrap wrapper container bar links buttons posts items icons unit slot section inner outer".split())
+_TEXT = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 def _mark(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> str | None:
-    """Why a part isn't the article's."""
-    if tag in _NEVER or tag in _APART:
+    """Why a part isn't the article's; ``form`` of a form that nothing else marks."""
+    if tag in _NEVER or tag in _APART and tag != "form":
         return tag
+    if tag == "form":
+        return _mark("div", [(k, re.sub("form", " ", v or "", flags=re.I)) if k in ("class", "id", "role") else (k, v) for k, v in attrs], inside) or tag
     if tag == "header" and not inside:
         return tag
     if not attrs or tag in ("html", "body", "article", "main") and not any(k == "class" or k == "id" for k, _ in attrs):
         return None
     for name, value in attrs:
         if name in ("class", "id", "role"):
-            words = {w.lower() for w in _WORD.findall(value or "")}
+            if inside and name != "role":
+                if name == "id" and tag in _TEXT:
+                    continue
+                tokens = [{w.lower() for w in _WORD.findall(t)} for t in (value or "").split()]
+                words = set().union(*(t for t in tokens if t <= _MARKS | _PLAIN))
+            else:
+                words = {w.lower() for w in _WORD.findall(value or "")}
             found = words & _MARKS if tag not in ("html", "body", "main") else set()
             if tag == "article":
                 found &= _COMMENTS
@@ -69,28 +86,34 @@ def _mark(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> str |
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags around it, region) of every block that isn't marked."""
+    """Collects (text, tags around it, region, doubts) of every block that isn't marked.
+
+    Doubts are the parts around it that may turn out to be marked: forms, and what an article begins inside.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[str, int]]] = []
-        self.stack: list[tuple[str, str | None, tuple[str, int]]] = []
+        self.lines: list[tuple[str, int, tuple[str, int], frozenset[int]]] = []
+        #: tag, mark, part, and what held before it: region, marks, doubts
+        self.stack: list[tuple[str, str | None, int, tuple[str, int], int, frozenset[int]]] = []
+        self.doubts: frozenset[int] = frozenset()
+        self.forms: set[int] = set()
+        self.closed: set[int] = set()
         self.open: Counter[str] = Counter()
         self.parts: list[str] = []
-        self.tags = self.marked = self.regions = 0
+        self.tags = self.marked = self.regions = self.parts_seen = 0
         self.region = ("page", 0)
 
     def flush(self) -> None:
         if self.parts:
             if text := " ".join("".join(self.parts).split()):
-                self.lines.append((text, self.tags, self.region))
+                self.lines.append((text, self.tags, self.region, self.doubts))
                 self.tags = 0
             self.parts = []
 
     def pop(self) -> str:
-        tag, mark, self.region = self.stack.pop()
+        tag, _, self.ended, self.region, self.marked, self.doubts = self.stack.pop()
         self.open[tag] -= 1
-        self.marked -= mark is not None
         return tag
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -102,18 +125,22 @@ class Lines(HTMLParser):
         inside = self.region[0] in ("article", "main")
         if tag in ("p", "li") and self.open[tag] and self.stack[-1][0] == tag:
             self.pop()
-        if tag in ("article", "main"):
-            while self.marked and self.stack and not any(m == "comment" or m in _NEVER or m == "hidden" for _, m, _ in self.stack):
-                self.pop()
-            inside = self.region[0] in ("article", "main")
         mark = _mark(tag, attrs, inside)
         if tag not in _TRACKED and mark is None and not self.open[tag]:
             return
         if mark is not None:
             self.flush()
-        self.stack.append((tag, mark, self.region))
+        self.parts_seen += 1
+        self.stack.append((tag, mark, self.parts_seen, self.region, self.marked, self.doubts))
         self.open[tag] += 1
-        self.marked += mark is not None
+        if mark == "form" and tag == "form":
+            self.forms.add(self.parts_seen)
+            self.doubts |= {self.parts_seen}
+        elif mark is not None:
+            self.marked += 1
+        elif self.marked and tag in ("article", "main") and not any(m == "comment" or m in _NEVER or m == "hidden" for _, m, *_ in self.stack):
+            self.doubts |= {part for _, m, part, *_ in self.stack if m is not None}
+            self.marked = 0
         if tag in ("article", "main") and not inside or tag in _REGIONS and not inside:
             self.regions += 1
             self.region = (tag if tag in ("article", "main") else "page", self.regions)
@@ -126,6 +153,7 @@ class Lines(HTMLParser):
             self.flush()
             while self.pop() != tag:
                 pass
+            self.closed.add(self.ended)
 
     def handle_data(self, data: str) -> None:
         if not self.marked:
@@ -160,21 +188,49 @@ def main_text(html: str) -> str:
     page.feed(html)
     page.close()
     page.flush()
-    lines = page.lines
+    lines = _undoubted(page)
     if not lines:
         return ""
     ratio = smoothed(np.array([len(text) / max(tags, 1) for text, tags, _ in lines]))
     dense = np.log1p(ratio) >= threshold(np.log1p(ratio))
-    named = any(region[0] != "page" for _, _, region in lines)
-    size: Counter[tuple[str, int]] = Counter()
-    for text, _, region in lines:
-        if (region[0] != "page") == named:
-            size[region] += len(text)
+    sizes: dict[bool, Counter[tuple[str, int]]] = {True: Counter(), False: Counter()}
+    loose = 0
+    for (text, _, region), ok in zip(lines, dense, strict=True):
+        sizes[region[0] != "page"][region] += len(text)
+        loose += len(text) if ok and region[0] == "page" else 0
+    articles, others = sizes[True], sizes[False]
+    if articles and loose <= max(articles.values()):
+        size = articles
+    else:
+        longest = max(others.values())
+        size = others + Counter({region: n for region, n in articles.items() if 2 * n >= longest})
     chosen = {region for (_, _, region), ok in zip(lines, dense, strict=True) if ok and region in size}
     chosen.add(max(size, key=size.__getitem__))
     return " ".join(text for text, _, region in lines if region in chosen)
 
 
+def _undoubted(page: Lines) -> list[tuple[str, int, tuple[str, int]]]:
+    """The lines that are in no marked part; tags around the others count for the next line."""
+    held: Counter[int] = Counter()
+    for text, _, _, doubts in page.lines:
+        for part in doubts & page.forms:
+            held[part] += len(text)
+    total = sum(len(text) for text, *_ in page.lines)
+    apart = {part for part in page.forms if 2 * held[part] <= total}
+    lines = [(text, tags, region, bool(doubts & apart), bool((doubts - page.forms) & page.closed)) for text, tags, region, doubts in page.lines]
+    sure = sum(len(text) for text, _, _, gone, inner in lines if not gone and not inner)
+    length: Counter[tuple[str, int]] = Counter()
+    for text, _, region, *_ in lines:
+        length[region] += len(text)
+    out, around = [], 0
+    for text, tags, region, gone, inner in lines:
+        around += tags
+        if not gone and not (inner and length[region] <= sure):
+            out.append((text, around, region))
+            around = 0
+    return out
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
     """(page_id, the kept columns, text, n_chars) of every row."""
     prepared(pages.sparkSession)

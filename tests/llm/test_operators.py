@@ -358,3 +358,25 @@ def test_pages_query(spark):
     assert got.count() == 50 and got.where("n_chars <> length(text)").count() == 0
     pages = spark.createDataFrame([(1, "u", None, "x"), (1, "u", "<p>a</p>", "x")], "page_id long, url string, html string, text string")
     assert sorted(rows_of(html_text.extract(pages))) == [(1, "u", "", 0), (1, "u", "a", 1)]
+
+
+_LONG = "A long text of the post, with many words in it and hardly any tags at all. " * 3
+_POST = " ".join(_LONG.split())
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f"<body><div id=post><p>{_LONG}</p></div><div class=related><article>A teaser.</article></div></body>", _POST),
+        (f"<body><div id=post><p>{_LONG}</p></div><div><article>A card.</article></div></body>", _POST),
+        (f"<body><form id=form1><nav><a>Home</a></nav><div><p>{_LONG}</p></div></form></body>", _POST),
+        (f"<body><form>Search here</form><div>{_LONG}</div></body>", _POST),
+        (f"<body><div class=ad>Buy <article><p>{_LONG}</p></article><footer>About</footer></body>", _POST),
+        (
+            f"<article><p>{_LONG}</p><h2 id=social-history>Social history</h2><section id=related-work>Related work</section><p class=legal-history>Legal history</p><div class='big ad'>Buy</div><div class=comments>First!</div></article>",
+            _POST + " Social history Related work Legal history",
+        ),
+    ],
+)
+def test_main_text_of_other_shapes(html, text):
+    assert html_text.main_text(html) == text
