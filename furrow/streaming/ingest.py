@@ -15,6 +15,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from furrow import schemas
 from furrow.functions import expressions as E
+from furrow.operators import upsert as U
 from furrow.operators import weather as W
 
 
@@ -27,6 +28,30 @@ def touched_days(batch: DataFrame, zone: str = E.HOME_ZONE) -> DataFrame:
     return W.with_local_day(batch, zone).select(F.col("local_day").alias("day")).distinct()
 
 
+def day_writer(store: str, load: Callable[[], DataFrame], save: Callable[[DataFrame], None], zone: str = E.HOME_ZONE) -> Callable[[DataFrame, int], None]:
+    """A writer for ``into``: stores the readings, computes touched days again from all stored ones, and upserts weather.
+
+    Each micro-batch has its folder in ``store``, so a repeated one counts once.  ``load`` gives the weather table,
+    and ``save`` puts another in its place.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch.withColumn("row", F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+        stored = spark.read.schema(schemas.READINGS + ", row long, batch long").parquet(store).withColumn("seq", F.struct("batch", "row"))
+        new = stored.where(F.col("batch") == batch_id)
+        plain = new.where("element = 'DRQS'").select(E.calendar_day(F.col("year"), F.col("month"), F.col("day")).alias("day")).where("day IS NOT NULL")
+        days = touched_days(new.where("element IN ('TA', 'WS10M')"), zone).unionByName(plain).distinct()
+        ends = days.agg(F.min("day").alias("start"), F.max("day").alias("end")).first()
+        if ends["start"] is None:
+            return
+        rows = W.measured(stored, stored, ends["start"], ends["end"], zone).join(days.withColumnRenamed("day", "weather_date"), "weather_date", "left_semi")
+        payload = [c for c in rows.columns if c != "weather_date"]
+        save(U.upsert(load(), rows, ["weather_date"], payload, schemas.DEFAULTS["weather_daily"]))
+
+    return write
+
+
 def into(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Gives each micro-batch to ``write``, once for all files that are there now."""
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -8,6 +8,7 @@ import json
 
 import pytest
 
+from furrow import schemas
 from furrow.operators import upsert as U
 from furrow.sources import http_readings, tables
 from furrow.streaming import ingest
@@ -52,3 +53,21 @@ def test_a_stream_of_files_is_upserted_by_day(spark, tmp_path):
 
     ingest.into(ingest.readings_stream(spark, str(src)), write, f"{tmp_path}/checkpoint").awaitTermination()
     assert sorted(r["day"] for r in state["days"].collect()) == [datetime.date(2024, 7, 1), datetime.date(2024, 7, 2)]
+
+
+def test_days_are_computed_again_from_all_stored_readings(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    state = {"weather": spark.createDataFrame([], schemas.WEATHER_DAILY)}
+
+    def save(merged):
+        state["weather"] = spark.createDataFrame(merged.collect(), schemas.WEATHER_DAILY)
+
+    def arrive(name, *rows):
+        (src / name).write_text("\n".join(json.dumps({"station": "s", "year": 2024, "month": 7, "day": 1, "hour": h, "value": v, "element": e}) for e, h, v in rows))
+        writer = ingest.day_writer(f"{tmp_path}/store", lambda: state["weather"], save)
+        ingest.into(ingest.readings_stream(spark, str(src)), writer, f"{tmp_path}/checkpoint").awaitTermination()
+        return {r["weather_date"].day: tuple(None if r[c] is None else float(r[c]) for c in ("temp_min_c", "temp_max_c", "radiation_mj_m2")) for r in state["weather"].collect()}
+
+    assert arrive("a.json", ("TA", 1, "5"), ("TA", 22, "7"), ("DRQS", 1, "3")) == {1: (5, 5, 3), 2: (7, 7, None)}
+    assert arrive("b.json", ("TA", 2, "9"), ("DRQS", 2, "4")) == {1: (5, 9, 4), 2: (7, 7, None)}
