@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from furrow.llm import textkit
-from furrow.llm.session import parallelism, prepared, settled
+from furrow.llm.session import few, joined_by_size, parallelism, prepared, settled
 
 #: Nodes of a bucket in one block; a group has at most two blocks.
 BLOCK = 256
@@ -36,8 +36,6 @@ EDGES_PER_FILE = 200_000
 #: Pairs whose signatures are compared at once.
 _PAIRS = 1 << 13
 _MEMBER = ["bucket", "bi", "bj", "left", "pivot", "band", "h1", "h2"]
-#: Rows of up to 16 bytes that may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -257,20 +255,22 @@ def _shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "h1 long, h2 long, shingles binary")
 
 
-def _first_groups(keyed: DataFrame, sizes: DataFrame) -> DataFrame:
+def _first_groups(keyed: DataFrame, small: DataFrame, large: DataFrame) -> DataFrame:
     """Members of small buckets, each bucket a group; of large ones, each block with the pivot."""
-    order = F.xxhash64("h1", "h2", "band")
-    members = keyed.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    members = members.withColumn("pivot", F.col("large") & (order == F.col("first")))
+    whole = keyed.join(small, "bucket").select("bucket", F.lit(0).alias("bi"), F.lit(0).alias("bj"), F.lit(True).alias("left"), F.lit(False).alias("pivot"), "band", "h1", "h2")
+    members = keyed.join(large, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    members = members.withColumn("pivot", F.xxhash64("h1", "h2", "band") == F.col("first"))
     own = F.pmod(F.xxhash64("h1", "h2", F.lit("block")), "blocks").cast("int")
-    members = members.withColumn("bj", F.explode(F.when(~F.col("large"), F.array(F.lit(0))).when(F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))))
-    return members.select("bucket", F.lit(0).alias("bi"), "bj", (~F.col("large") | F.col("pivot")).alias("left"), "large", "band", "h1", "h2").withColumnRenamed("large", "pivot").select(*_MEMBER)
+    members = members.withColumn("bj", F.explode(F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))))
+    # in a large bucket, pairs count whatever band they agree in first
+    dealt = members.select("bucket", F.lit(0).alias("bi"), "bj", F.col("pivot").alias("left"), F.lit(True).alias("pivot"), "band", "h1", "h2")
+    return whole.unionByName(dealt).select(*_MEMBER)
 
 
 def _other_groups(members: DataFrame) -> DataFrame:
     """Of large buckets' members with their component so far: the ones outside the largest meet it and one another."""
     parts = members.groupBy("bucket", "part").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("part", "n").alias("largest"), F.max("n").alias("most"), F.sum("n").alias("size"))
-    open_ones = parts.where("most < size")
+    open_ones = few(parts.where("most < size"))
     dealt = members.join(open_ones, "bucket").withColumn("few", F.col("part") != F.col("largest"))
     few_blocks, most_blocks = (F.ceil(n / BLOCK).cast("int") for n in (F.col("size") - F.col("most"), F.col("most")))
     own = F.pmod(F.xxhash64("h1", "h2", F.lit("other")), F.when(F.col("few"), few_blocks).otherwise(most_blocks)).cast("int")
@@ -282,27 +282,16 @@ def _other_groups(members: DataFrame) -> DataFrame:
     return dealt.select("bucket", "g.bi", "g.bj", "g.left", F.lit(False).alias("pivot"), "band", "h1", "h2").select(*_MEMBER)
 
 
-def _part(rows: DataFrame, share: int) -> DataFrame:
-    """Settled in a ``share``-th of the session's shuffle partitions, as small rows need fewer files."""
-    return settled(rows.coalesce(-(-parallelism(rows.sparkSession) // share)))
-
-
-def _few(rows: DataFrame) -> DataFrame:
-    """The rows, for a join: broadcast if they are few enough."""
-    rows = _part(rows, 8)
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
-
-
 def _links(members: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, threshold: float, signature: Signature) -> DataFrame:
     """(u, v): confirmed links of the groups, enough of them to connect what the groups' links connect."""
     least, ratio = signature.least_equal(threshold), Fraction(threshold).limit_denominator(1000)
-    members = _part(members, 2)
-    nodes = _part(nodes.join(_few(members.select("h1", "h2").distinct()), ["h1", "h2"], "left_semi"), 2)
+    members = settled(members)
+    nodes = settled(nodes.join(few(members.select("h1", "h2").distinct()), ["h1", "h2"], "left_semi"))
     sigs = nodes.select("h1", "h2", "sig")
     likely = _grouped(members.join(sigs, ["h1", "h2"])).mapInArrow(_candidates(signature, least), "bucket long, bi int, bj int, left boolean, pivot boolean, band int, h1 long, h2 long")
-    likely = _part(likely, 2)
+    likely = settled(likely)
     chosen = likely.select("h1", "h2").distinct()
-    wanted = _few(nodes.join(chosen, ["h1", "h2"], "left_semi").select(F.col("min_id").alias("wanted_id")).distinct())
+    wanted = few(nodes.join(chosen, ["h1", "h2"], "left_semi").select(F.col("min_id").alias("wanted_id")).distinct())
     texts = docs.join(wanted, docs.doc_id.eqNullSafe(F.col("wanted_id")), "left_semi")
     full = _shingle_sets(texts, k).join(chosen, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("shingles").alias("shingles"))
     rows = likely.join(sigs, ["h1", "h2"]).join(full, ["h1", "h2"])
@@ -319,28 +308,30 @@ def roots(docs: DataFrame, nodes: DataFrame, k: int, threshold: float, signature
     width = 2 * signature.rows
     pieces = F.array(*[F.substring("sig", 1 + b * width, width) for b in range(signature.bands)])
     keyed = nodes.select("h1", "h2", F.posexplode(pieces).alias("band", "piece")).select("h1", "h2", "band", F.xxhash64("band", "piece").alias("bucket"))
-    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.xxhash64("h1", "h2", "band")).alias("first")).where("size > 1").withColumn("large", F.col("size") > BLOCK)
-    large = _few(sizes.where("large").select("bucket"))
-    found = connected(_links(_first_groups(keyed, sizes), docs, nodes, k, threshold, signature))
+    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.xxhash64("h1", "h2", "band")).alias("first"))
+    large = few(sizes.where(F.col("size") > BLOCK))
+    small = sizes.where(F.col("size").between(2, BLOCK)).select("bucket")
+    found = connected(_links(_first_groups(keyed, small, large), docs, nodes, k, threshold, signature))
     if large.isEmpty():
         return found
-    members = keyed.join(large, "bucket").withColumn("node", _name("h1", "h2")).join(found, "node", "left").select("bucket", "band", "h1", "h2", F.xxhash64(F.coalesce("root", "node")).alias("part"))
+    members = keyed.join(large.select("bucket"), "bucket").withColumn("node", _name("h1", "h2")).join(found, "node", "left").select("bucket", "band", "h1", "h2", F.xxhash64(F.coalesce("root", "node")).alias("part"))
     more = _links(_other_groups(members), docs, nodes, k, threshold, signature)
     return connected(more.unionByName(found.select(F.col("node").alias("u"), F.col("root").alias("v"))))
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """(node, root): the least node of each edge's component, by rounds of large-star and small-star over columns u, v."""
-    edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-    edges = _part(edges, 8)
-    files = -(-edges.count() // EDGES_PER_FILE) or 1  # the rounds' edges are no more
+    edges = settled(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    total = edges.count()
+    files = -(-total // EDGES_PER_FILE) or 1  # the rounds' edges are no more
+    of_each = (F.min("v").alias("m"), F.count("*").alias("n"))
     seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        least = both.groupBy("u").agg(*of_each).select("u", F.least("u", "m").alias("m"), "n")
+        large = joined_by_size(both.where("v > u"), least, ["u"], total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(*of_each)
+        small = joined_by_size(large, least, ["u"], total).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         edges = settled(small.coalesce(files))
         state = tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31)))).first())
         if state == seen:

@@ -35,9 +35,10 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     It is found again by doc_id and hash of the text, so repeated and null ids bring back no other row; rows that
     repeat doc_id and text stay once.
     """
-    kept = linking.firsts(docs, id_col, text_col, shingle_words, threshold, signature)
-    same = docs[id_col].eqNullSafe(F.col("first_id")) & (linking.text_key(docs[text_col]) == F.col("first_key"))
-    rows = docs.join(kept, same).drop("first_id", "first_key")
-    once = rows.where("copies = 1").drop("copies")
-    again = rows.where("copies > 1").drop("copies").dropDuplicates([id_col, text_col])
+    first = linking.firsts(docs, id_col, text_col, shingle_words, threshold, signature).select(F.struct("*").alias("first"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"))  # so that no column of theirs clashes
+    row_id, row_text = F.col("row")[id_col], F.col("row")[text_col]
+    kept = rows.join(first, row_id.eqNullSafe(F.col("first.first_id")) & (linking.text_key(row_text) == F.col("first.first_key")))
+    once = kept.where("first.copies = 1").select("row.*")
+    again = kept.where("first.copies > 1").select("row.*").dropDuplicates([id_col, text_col])
     return once.unionByName(again)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from furrow.llm import textkit
-from furrow.llm.session import parallelism, prepared, release, settled
+from furrow.llm.session import joined_by_size, parallelism, prepared, settled
 
 WINDOW_WORDS = 35
 #: Perfect difference sets: every difference modulo the period is that of two members.
@@ -199,8 +199,10 @@ def _kept(window: int, names: list[str]) -> object:
 def _copies(base: DataFrame) -> DataFrame:
     """(key, speaks) of the rows whose text another row has; ``speaks`` marks one row of each text."""
     texts = base.select("key", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(5), "text").alias("t2"))
-    groups = texts.groupBy("t1", "t2").agg(F.count("*").alias("n"), F.min("key").alias("first")).where("n > 1").drop("n")
-    return texts.join(groups, ["t1", "t2"]).select("key", (F.col("key") == F.col("first")).alias("speaks")).distinct()
+    sizes = texts.groupBy("t1", "t2").agg(F.count("*").alias("n"), F.min("key").alias("first"))
+    groups = settled(sizes.where("n > 1"))
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    return joined_by_size(texts, groups, ["t1", "t2"], total).select("key", (F.col("key") == F.col("first")).alias("speaks")).distinct()
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW_WORDS) -> DataFrame:
@@ -214,8 +216,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copies = settled(_copies(base))
     positions = anchors.groupBy("key").agg(F.collect_list("code").alias("positions")).join(copies, "key", "left")
     positions = settled(positions.where("speaks IS NULL OR speaks").select("key", "positions", F.col("speaks").isNotNull().alias("copied")))
-    del anchors
-    release(spark)  # of the anchors' shuffle files
     # both joins read the same columns of it, so the plan has one exchange of the documents
     dealt = base.repartition(parallelism(spark), "key")
     held = dealt.join(positions, "key").select("key", "check", "text", "positions", "copied", "doc_id")
