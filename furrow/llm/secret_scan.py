@@ -2,9 +2,13 @@ r"""Secret scans through a trigram inverted index, with DataFrame functions alon
 
 From each rule's regular expression follows a Boolean query over lower-cased trigrams: a set of alternatives,
 each the trigrams of its literal runs, all of which a matching text must hold.  The index has a posting (trigram,
-document) for every trigram that some query names; postings are intersected by counting them for each document
-and alternative, and only documents that fulfil an alternative are verified with the expression itself.  A rule
-without mandatory trigrams scans all documents.
+document) for every trigram that some query names, where the document also holds the rarest trigram of that
+alternative; postings are intersected by counting them for each document and alternative, and only documents that
+fulfil an alternative are verified with the expression itself.  A rule without mandatory trigrams scans all
+documents.
+
+Texts are never shuffled: the candidates' keys come to the documents by broadcast (beyond a million of them by a
+join), and the places of matches are sums inside the row.
 
 Spans are code points, end exclusive.  Matches are leftmost and do not overlap within a kind, and a match whose
 checked group is too short is dropped after it was found.  Defined results: a null text is empty; repeated rows
@@ -16,11 +20,12 @@ from __future__ import annotations
 import re._constants as C
 import re._parser as parser
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from furrow.llm.session import few
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -48,6 +53,10 @@ RULES = (
 )
 #: Classes of up to so many characters are spelled out as alternatives.
 SPELL = 5
+#: Letters that are in most words; a trigram with fewer of them is rarer.
+_COMMON = frozenset("etaoinsrhldu")
+#: Matches whose places are summed at once; longer lists of them are worked through block by block.
+_MATCHES = 512
 
 
 def trigram_query(pattern: str) -> list[frozenset[str]]:
@@ -83,57 +92,88 @@ def _walk(nodes, states: list) -> list:  # noqa: ANN001
     return states
 
 
-def _index_key() -> dict[str, Column]:
-    return {"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64(F.lit(3), "text", "doc_id")}
+def _lead(grams: frozenset[str]) -> str:
+    return min(grams, key=lambda g: (sum(c in _COMMON for c in g), g))
 
 
-def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """(k1, k2, trigram): which documents hold which of the trigrams, in either case."""
+def postings(docs: DataFrame, queries: list[frozenset[str]]) -> DataFrame:
+    """(k1, k2, trigram): which documents hold which of the queries' trigrams, in either case."""
     lower = docs.select("k1", "k2", F.lower("text").alias("lower"))
-    held = F.array_compact(F.array(*[F.when(F.contains("lower", F.lit(t)), F.lit(t)) for t in trigrams]))
-    return lower.select("k1", "k2", F.explode(held).alias("trigram"))
+    holds = lambda t: F.contains("lower", F.lit(t))
+    leads: dict[str, set[str]] = {}
+    for q in queries:
+        leads.setdefault(_lead(q), set()).update(q)
+    held = [F.when(holds(lead), F.array_compact(F.array(F.lit(lead), *[F.when(holds(t), F.lit(t)) for t in sorted(grams - {lead})]))) for lead, grams in sorted(leads.items())]
+    return lower.select("k1", "k2", F.explode(F.flatten(F.array_compact(F.array(*held)))).alias("trigram"))
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(k1, k2, kinds): documents whose postings fulfil the queries of these kinds."""
-    asked = [(r.kind, i, t, len(q)) for r in rules for i, q in enumerate(trigram_query(r.pattern)) for t in sorted(q)]
+    ways = [(r.kind, i, q) for r in rules for i, q in enumerate(trigram_query(r.pattern))]
+    asked = [(kind, i, t, len(q)) for kind, i, q in ways for t in sorted(q)]
     table = F.broadcast(docs.sparkSession.createDataFrame(asked, "kind string, way int, trigram string, asked int"))  # a few rows a rule
-    hits = postings(docs, sorted({t for _, _, t, _ in asked})).join(table, "trigram").groupBy("k1", "k2", "kind", "way").agg(F.count_distinct("trigram").alias("held"), F.first("asked").alias("asked"))
+    hits = postings(docs, [q for *_, q in ways]).join(table, "trigram").groupBy("k1", "k2", "kind", "way").agg(F.count_distinct("trigram").alias("held"), F.first("asked").alias("asked"))
     return hits.where("held = asked").groupBy("k1", "k2").agg(F.collect_set("kind").alias("kinds"))
 
 
-def _matches(docs: DataFrame, rule: Rule) -> Column:
-    """The text between matches, the matches, and their checked groups."""
-    pattern = F.lit(rule.fast or rule.pattern)
-    return F.arrays_zip(F.split("text", rule.fast or rule.pattern, -1).alias("gap"), F.regexp_extract_all("text", pattern, F.lit(0)).alias("hit"), F.regexp_extract_all("text", pattern, F.lit(rule.group)).alias("checked"))
+def _parted(rules: tuple[Rule, ...]) -> tuple[tuple[Rule, ...], tuple[Rule, ...]]:
+    """Rules without mandatory trigrams, and rules with them."""
+    scanned = tuple(r for r in rules if frozenset() in trigram_query(r.pattern))
+    return scanned, tuple(r for r in rules if r not in scanned)
+
+
+def _asked(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """The documents with ``kinds``: which of the indexed rules may match."""
+    _, indexed = _parted(rules)
+    if not indexed:
+        return docs.withColumn("kinds", F.expr("cast(array() as array<string>)"))
+    return docs.join(few(candidates(docs, indexed)), ["k1", "k2"], "left")
+
+
+def _wanted(rule: Rule, rules: tuple[Rule, ...]) -> Column:
+    holds = F.col("text").rlike(rule.fast or rule.pattern)
+    return holds if rule in _parted(rules)[0] else F.coalesce(F.array_contains("kinds", rule.kind), F.lit(False)) & holds
+
+
+def _matches(rule: Rule) -> Column:
+    """The text before each match, the match, and its checked group; at last the text after all."""
+    pattern = rule.fast or rule.pattern
+    hits, checked = (F.regexp_extract_all("text", F.lit(pattern), F.lit(g)) for g in (0, rule.group))
+    return F.arrays_zip(F.split("text", pattern, -1).alias("gap"), hits.alias("hit"), checked.alias("checked"))
 
 
-def _found(docs: DataFrame, rules: list[tuple[int, Rule]], wanted: bool) -> DataFrame:
-    """(k1, k2, rank, kind, start, end) of counted matches; ``wanted``: only kinds that the row asks for."""
-    each = []
-    for rank, r in rules:
-        holds = F.col("text").rlike(r.fast or r.pattern)
-        holds = (F.array_contains("kinds", r.kind) & holds) if wanted else holds
-        each.append(F.when(holds, F.struct(F.lit(rank).alias("rank"), F.lit(r.kind).alias("kind"), F.lit(r.least).alias("least"), _matches(docs, r).alias("parts"))))
-    rows = docs.select("k1", "k2", F.explode(F.array_compact(F.array(*each))).alias("m")).withColumn("occurrence", F.monotonically_increasing_id())
-    parts = rows.select("k1", "k2", "occurrence", "m.rank", "m.kind", "m.least", F.posexplode("m.parts").alias("i", "p"))
-    sizes = parts.select("k1", "k2", "occurrence", "rank", "kind", "least", "i", F.length("p.gap").alias("gap"), F.length("p.hit").alias("hit"), F.length("p.checked").alias("checked"))
-    so_far = Window.partitionBy("occurrence").orderBy("i")
-    placed = sizes.withColumn("end", F.sum(F.col("gap") + F.coalesce("hit", F.lit(0))).over(so_far))
-    return placed.where("hit IS NOT NULL AND checked >= least").select("k1", "k2", "rank", "kind", (F.col("end") - F.col("hit")).alias("start"), "end")
+def _places(rule: Rule, rank: int) -> Column:
+    """The counted matches of a row as (start, rank, kind, end): running sums of the lengths, block by block."""
+    lengths = F.transform(_matches(rule), lambda m: F.struct(F.length(m["gap"]).cast("long").alias("gap"), F.length(m["hit"]).cast("long").alias("hit"), (F.length(m["checked"]) >= rule.least).alias("counts")))
+    size = lambda a, m: a + m["gap"] + F.coalesce(m["hit"], F.lit(0))
+    span = lambda a, m: F.struct((a + m["gap"]).alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), size(a, m).alias("end"))
+    none = F.expr("cast(array() as array<struct<start: bigint, rank: int, kind: string, end: bigint>>)")
+
+    def step(state: Column, m: Column) -> Column:
+        found = F.when(m["counts"], F.concat(state["found"], F.array(span(state["at"], m)))).otherwise(state["found"])
+        return F.struct(size(state["at"], m).alias("at"), found.alias("found"))
+
+    def placed(block: Column, start: Column) -> Column:
+        return F.aggregate(block, F.struct(start.alias("at"), none.alias("found")), step, lambda state: state["found"])
+
+    def of(matches: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / _MATCHES).cast("int")), lambda b: F.slice(matches, b * _MATCHES + 1, F.lit(_MATCHES)))
+        return F.transform(F.array(blocks), in_blocks)[0]
+
+    def in_blocks(blocks: Column) -> Column:
+        sizes = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0).cast("long"), size))
+        starts = F.aggregate(sizes, F.array(F.lit(0).cast("long")), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+        return F.flatten(F.zip_with(blocks, F.slice(starts, 1, F.size(blocks)), placed))
+
+    return F.transform(F.array(lengths), of)[0]
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(doc_id, spans) of every row; spans: array of (start, rank, kind, end), by start, then by the rules' order."""
-    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumns(_index_key())
-    ranked = list(enumerate(rules))
-    scanned = [(i, r) for i, r in ranked if frozenset() in trigram_query(r.pattern)]
-    indexed = [(i, r) for i, r in ranked if (i, r) not in scanned]
-    ways = [_found(base, scanned, wanted=False)] if scanned else []
-    if indexed:
-        ways.append(_found(base.join(candidates(base, tuple(r for _, r in indexed)), ["k1", "k2"]), indexed, wanted=True))
-    found = reduce(DataFrame.unionByName, ways).groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("start", "rank", "kind", "end"))).alias("spans"))
-    return base.select("doc_id", "k1", "k2").join(found, ["k1", "k2"], "left").select("doc_id", F.coalesce("spans", F.expr("cast(array() as array<struct<start: bigint, rank: int, kind: string, end: bigint>>)")).alias("spans"))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base = _asked(base.withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64(F.lit(3), "text", "doc_id")}), rules)
+    each = [F.when(_wanted(r, rules), _places(r, rank)) for rank, r in enumerate(rules)]
+    return base.select("doc_id", F.array_sort(F.flatten(F.array_compact(F.array(*each)))).alias("spans"))
 
 
 def _joined(column: Column) -> Column:
@@ -152,21 +192,20 @@ def digest(docs: DataFrame) -> DataFrame:
     )
 
 
+def _masked(rule: Rule) -> Column:
+    mask = lambda m: F.when(F.length(m["checked"]) >= rule.least, F.lit("[secret]")).otherwise(F.coalesce(m["hit"], F.lit("")))
+    return F.array_join(F.transform(_matches(rule), lambda m: F.concat(m["gap"], mask(m))), "")
+
+
 def redacted(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents, with their columns, whose texts have ``[secret]`` in place of every counted match, rule by rule.
 
     Postings decide which documents are searched at all, as in ``spans``; the others pass unchanged.
     """
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(3), "text")})
-    scanned = [r for r in rules if frozenset() in trigram_query(r.pattern)]
-    indexed = tuple(r for r in rules if r not in scanned)
-    asked = candidates(keyed, indexed)
+    row = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    keyed = _asked(row.withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(3), "text")}), rules)
     text = F.col("text")
     for r in rules:
-        parts = F.zip_with(F.split(text, r.fast or r.pattern, -1), F.zip_with(F.regexp_extract_all(text, F.lit(r.fast or r.pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(r.fast or r.pattern), F.lit(r.group)), lambda hit, checked: F.when(F.length(checked) >= r.least, F.lit("[secret]")).otherwise(hit)), lambda gap, hit: F.concat(gap, F.coalesce(hit, F.lit(""))))
-        wanted = text.rlike(r.fast or r.pattern)
-        wanted = wanted if r in scanned else F.coalesce(F.array_contains("kinds", r.kind), F.lit(False)) & wanted
-        keyed = keyed if r is not rules[0] else keyed.join(asked, ["k1", "k2"], "left")
-        keyed = keyed.withColumn("text", F.when(wanted, F.array_join(parts, "")).otherwise(text))
-    fields = [F.when(F.col("row")[c].isNull(), F.lit(None)).otherwise(F.col("text")).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]
+        keyed = keyed.withColumn("text", F.when(_wanted(r, rules), _masked(r)).otherwise(text))
+    fields = [F.when(F.col("row")[c].isNull(), F.lit(None)).otherwise(text).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]
     return keyed.select(*fields)
