@@ -3,11 +3,17 @@
 The standard library's parser sends events; blocks of text are the page's lines.  A line's ratio is its
 characters over the tags around it.  The ratios are smoothed along the page with a Gaussian, and a two-means
 threshold parts dense lines from sparse ones.  Lines belong to regions: the outermost article or main element,
-or else the innermost sectioning container.  A region is content if it holds a dense line, and then all its lines
-are kept, short ones too, but for parts that their element, role, id or class marks as menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles or reader comments.  With article or main elements on the page,
-other regions count only if together they have more dense text than the longest article, and then articles count
-that are at least half as long as the longest other region.
+or else the innermost sectioning container.  A region is content if it holds a dense line, and then its lines are
+kept, short ones too, but for
+
+* parts that their element, role, id or class marks as menus, headers, footers, sidebars, notices, adverts, forms,
+  scripts, styles or reader comments;
+* containers inside an article whose text is for the greater part in sparse lines and in links: menus that nothing
+  marks.
+
+With article or main elements on the page, other regions count only if together they have more dense text than the
+longest article has, and then articles count that have a dense line and are at least half as long as the longest
+other region.
 
 A mark is a word of a class, id or role; inside an article it must be a whole class or id (or all its words but
 general ones like ``box`` and ``list``), and the ids of headings and paragraphs are no marks.  A form is a page's
@@ -18,7 +24,10 @@ open inside its element.  An article or main inside a menu, advert or notice tha
 that part, unless it is longer than all other text; one inside an unclosed part is the page's.
 
 Defined results: null or empty html gives empty text; character references are decoded; white space in a block
-becomes one space, and blocks are joined by one space; repeated rows each get their row.
+becomes one space, and blocks are joined by one space; repeated rows each get their row; an empty table gives an
+empty table.  Broken markup stops nothing and takes time in proportion to the page's length, however long: a
+declaration such as ``<![if x]>`` ends at the next ``>``; a comment that never ends is none; a tag whose quotes or
+whose ``>`` never come loses its quotes, or is text.
 """
 
 from __future__ import annotations
@@ -85,34 +94,70 @@ def _mark(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> str |
     return None
 
 
+_ATTRIBUTES = r"""(?:[\s/]++|=[\s=]*+(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]*+)|[^\s/>=]++)*+"""
+_RAW = "|".join(rf"(?i:<{name}(?=[\s/>]){_ATTRIBUTES}>(?>.*?</\s*{name}\s*>|.*+))" for name in ("script", "style"))
+#: Markup that the parser gets through in one pass.
+_SOUND = re.compile(
+    rf"""(?:[^<]++
+    | <(?![!?/A-Za-z])
+    | <!--(?>.*?--\s*>)
+    | <!(?i:doctype)[^>]*+>
+    | </[^>]*+>
+    | {_RAW}
+    | <(?!(?i:script|style)[\s/>])[A-Za-z][^\s/>]*+{_ATTRIBUTES}>
+    )*+""",
+    re.S | re.X,
+)
+
+
+def repaired(html: str) -> str:
+    """The page without what the parser can't read or reads again and again; sound pages stay as they are."""
+    out, at = [], 0
+    while True:
+        end = _SOUND.match(html, at).end()
+        out.append(html[at:end])
+        if end == len(html):
+            return "".join(out)
+        close = html.find(">", end)
+        if html.startswith("<!--", end):  # none of the later ones ends either
+            html, at = html[end:].replace("<!--", " "), 0
+        elif close < 0:
+            return "".join([*out, html[end:].replace("<", "&lt;")])
+        elif html[end + 1] in "!?":
+            at = close + 1
+        else:  # a quote that isn't closed, so no tag after this one can close it
+            html, at = re.sub("[\"']", " ", html[end:]), 0
+
+
 class Lines(HTMLParser):
-    """Collects (text, tags around it, region, doubts) of every block that isn't marked.
+    """Collects every block's text, tags, length in links and part; parts are the tracked elements, numbered from 1.
 
-    Doubts are the parts around it that may turn out to be marked: forms, and what an article begins inside.
+    Decisions about parts follow when the page is read, as whether a part is closed, or holds most text, is only
+    known then.  A part's number is greater than that of the part around it.
     """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[str, int], frozenset[int]]] = []
-        #: tag, mark, part, and what held before it: region, marks, doubts
-        self.stack: list[tuple[str, str | None, int, tuple[str, int], int, frozenset[int]]] = []
-        self.doubts: frozenset[int] = frozenset()
-        self.forms: set[int] = set()
-        self.closed: set[int] = set()
+        self.lines: list[tuple[str, int, int, int]] = []
+        self.around, self.mark, self.region, self.own = [0], [None], [0], [False]
+        self.closed = [False]
+        self.stack: list[tuple[str, int, int]] = []  # tag, part, unread before it
         self.open: Counter[str] = Counter()
-        self.parts: list[str] = []
-        self.tags = self.marked = self.regions = self.parts_seen = 0
-        self.region = ("page", 0)
+        self.pieces: list[str] = []
+        self.tags = self.links = self.unread = self.part = 0
+        self.linked = False
 
     def flush(self) -> None:
-        if self.parts:
-            if text := " ".join("".join(self.parts).split()):
-                self.lines.append((text, self.tags, self.region, self.doubts))
+        if self.pieces:
+            if text := " ".join("".join(self.pieces).split()):
+                self.lines.append((text, self.tags, self.links, self.part))
                 self.tags = 0
-            self.parts = []
+            self.pieces, self.links = [], 0
 
     def pop(self) -> str:
-        tag, _, self.ended, self.region, self.marked, self.doubts = self.stack.pop()
+        tag, ended, self.unread = self.stack.pop()
+        self.part = self.around[ended]
+        self.ended = ended
         self.open[tag] -= 1
         return tag
 
@@ -120,44 +165,96 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag not in _INLINE:
             self.flush()
+        if tag == "a":
+            self.linked = True
         if tag in _VOID:
             return
-        inside = self.region[0] in ("article", "main")
         if tag in ("p", "li") and self.open[tag] and self.stack[-1][0] == tag:
             self.pop()
+        inside = self.own[self.region[self.part]]
         mark = _mark(tag, attrs, inside)
         if tag not in _TRACKED and mark is None and not self.open[tag]:
             return
         if mark is not None:
             self.flush()
-        self.parts_seen += 1
-        self.stack.append((tag, mark, self.parts_seen, self.region, self.marked, self.doubts))
+        new = len(self.around)
+        article = tag in ("article", "main") and not inside
+        self.around.append(self.part)
+        self.mark.append(mark)
+        self.closed.append(False)
+        self.own.append(article)
+        self.region.append(new if article or tag in _REGIONS and not inside else self.region[self.part])
+        self.stack.append((tag, new, self.unread))
         self.open[tag] += 1
-        if mark == "form" and tag == "form":
-            self.forms.add(self.parts_seen)
-            self.doubts |= {self.parts_seen}
-        elif mark is not None:
-            self.marked += 1
-        elif self.marked and tag in ("article", "main") and not any(m == "comment" or m in _NEVER or m == "hidden" for _, m, *_ in self.stack):
-            self.doubts |= {part for _, m, part, *_ in self.stack if m is not None}
-            self.marked = 0
-        if tag in ("article", "main") and not inside or tag in _REGIONS and not inside:
-            self.regions += 1
-            self.region = (tag if tag in ("article", "main") else "page", self.regions)
+        self.part = new
+        self.unread += mark in _NEVER
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         if tag not in _INLINE:
             self.flush()
+        if tag == "a":
+            self.linked = False
         if self.open[tag]:
             self.flush()
             while self.pop() != tag:
                 pass
-            self.closed.add(self.ended)
+            self.closed[self.ended] = True
 
     def handle_data(self, data: str) -> None:
-        if not self.marked:
-            self.parts.append(data)
+        if not self.unread:
+            self.pieces.append(data)
+            self.links += len(data) if self.linked else 0
+
+    def unmarked(self) -> list[tuple[str, int, int, int]]:
+        """The lines that are in no marked part; tags around the others count for the next line."""
+        n = len(self.around)
+        dropped, hard, shut, doubtful = ([False] * n for _ in range(4))
+        for p in range(1, n):
+            q, mark = self.around[p], self.mark[p]
+            marked = mark is not None and mark != "form"
+            hard[p] = hard[q] or mark in _NEVER or mark in ("comment", "hidden")
+            shut[p] = shut[q] or marked and self.closed[p]
+            dropped[p], doubtful[p] = dropped[q] or marked, doubtful[q]
+            if dropped[q] and not hard[q] and not marked and self.own[p]:
+                # an article that begins inside a marked part
+                dropped[p], doubtful[p] = False, shut[q]
+        held = [0] * n
+        for text, *_, p in self.lines:
+            held[p] += 0 if dropped[p] else len(text)
+        for p in range(n - 1, 0, -1):
+            held[self.around[p]] += held[p]
+        wraps = [2 * h > held[0] for h in held]
+        for p in range(1, n):
+            dropped[p] = dropped[p] or self.mark[p] == "form" and not wraps[p] or dropped[self.around[p]] and not self.own[p]
+        length = [0] * n
+        for text, *_, p in self.lines:
+            length[self.region[p]] += 0 if dropped[p] else len(text)
+        sure = sum(len(text) for text, *_, p in self.lines if not dropped[p] and not doubtful[p])
+        out, tags_before = [], 0
+        for text, tags, links, p in self.lines:
+            tags_before += tags
+            if not dropped[p] and not (doubtful[p] and length[self.region[p]] <= sure):
+                out.append((text, tags_before, links, p))
+                tags_before = 0
+        return out
+
+    def menus(self, lines: list[tuple[str, int, int, int]], dense: np.ndarray) -> list[bool]:
+        """Whether each part lies in a container of an article whose text is mostly in sparse lines and in links."""
+        n = len(self.around)
+        size, links, thick = [0] * n, [0] * n, [0] * n
+        for (text, _, linked, p), ok in zip(lines, dense.tolist(), strict=True):
+            size[p] += len(text)
+            links[p] += linked
+            thick[p] += len(text) if ok else 0
+        for p in range(n - 1, 0, -1):
+            for count in (size, links, thick):
+                count[self.around[p]] += count[p]
+        out = [False] * n
+        for p in range(1, n):
+            inner = self.own[self.region[p]] and self.region[p] != p
+            out[p] = out[self.around[p]] or inner and 2 * thick[p] < size[p] < 2 * links[p]
+        return out
 
 
 def smoothed(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -182,53 +279,34 @@ def threshold(values: np.ndarray) -> float:
     return float((low + high) / 2)
 
 
+def dense_lines(lines: list[tuple[str, int, int, int]]) -> np.ndarray:
+    """Whether each line's smoothed text-to-tag ratio, on a logarithmic scale, is over the threshold."""
+    ratio = np.log1p(smoothed(np.array([len(text) / max(tags, 1) for text, tags, *_ in lines])))
+    return ratio >= threshold(ratio)
+
+
 def main_text(html: str) -> str:
     """The text of a page's article."""
     page = Lines()
-    page.feed(html)
+    page.feed(repaired(html))
     page.close()
     page.flush()
-    lines = _undoubted(page)
+    lines = page.unmarked()
     if not lines:
         return ""
-    ratio = smoothed(np.array([len(text) / max(tags, 1) for text, tags, _ in lines]))
-    dense = np.log1p(ratio) >= threshold(np.log1p(ratio))
-    sizes: dict[bool, Counter[tuple[str, int]]] = {True: Counter(), False: Counter()}
-    loose = 0
-    for (text, _, region), ok in zip(lines, dense, strict=True):
-        sizes[region[0] != "page"][region] += len(text)
-        loose += len(text) if ok and region[0] == "page" else 0
-    articles, others = sizes[True], sizes[False]
-    if articles and loose <= max(articles.values()):
-        size = articles
-    else:
+    dense = dense_lines(lines)
+    thick, size = Counter(), Counter()
+    for (text, *_, p), ok in zip(lines, dense.tolist(), strict=True):
+        size[page.region[p]] += len(text)
+        thick[page.region[p]] += len(text) if ok else 0
+    articles, others = ({r: n for r, n in size.items() if page.own[r] == own} for own in (True, False))
+    if not articles or sum(thick[r] for r in others) > max(articles.values()):
         longest = max(others.values())
-        size = others + Counter({region: n for region, n in articles.items() if 2 * n >= longest})
-    chosen = {region for (_, _, region), ok in zip(lines, dense, strict=True) if ok and region in size}
-    chosen.add(max(size, key=size.__getitem__))
-    return " ".join(text for text, _, region in lines if region in chosen)
-
-
-def _undoubted(page: Lines) -> list[tuple[str, int, tuple[str, int]]]:
-    """The lines that are in no marked part; tags around the others count for the next line."""
-    held: Counter[int] = Counter()
-    for text, _, _, doubts in page.lines:
-        for part in doubts & page.forms:
-            held[part] += len(text)
-    total = sum(len(text) for text, *_ in page.lines)
-    apart = {part for part in page.forms if 2 * held[part] <= total}
-    lines = [(text, tags, region, bool(doubts & apart), bool((doubts - page.forms) & page.closed)) for text, tags, region, doubts in page.lines]
-    sure = sum(len(text) for text, _, _, gone, inner in lines if not gone and not inner)
-    length: Counter[tuple[str, int]] = Counter()
-    for text, _, region, *_ in lines:
-        length[region] += len(text)
-    out, around = [], 0
-    for text, tags, region, gone, inner in lines:
-        around += tags
-        if not gone and not (inner and length[region] <= sure):
-            out.append((text, around, region))
-            around = 0
-    return out
+        articles = others | {r: n for r, n in articles.items() if 2 * n >= longest}
+    chosen = {r for r in articles if thick[r]} | {max(articles, key=articles.__getitem__)}
+    menu = page.menus(lines, dense)
+    kept = [text for text, *_, p in lines if page.region[p] in chosen and not menu[p]]
+    return " ".join(kept or [text for text, *_, p in lines if page.region[p] in chosen])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
