@@ -5,7 +5,7 @@ of their own.  The other pieces are dealt to partitions of bounded size.  Each r
 compares its number of bins with lower bounds from dual feasible functions over its lengths: equal means that
 no packing of this partition has fewer.  Bins that a certified partition fills nearly are final; the pieces of
 the rest, and of all unfilled bins of partitions with a gap, are exchanged between partitions and packed again,
-in ever fewer partitions, until one is left or the pieces are too many for one.
+in ever fewer partitions, until one is left or an exchange has saved less than ``LEAST_SAVING`` of its bins.
 
 Defined results: a null text is empty and gives the end id alone; repeated rows are documents of their own; an
 empty table gives no pieces.
@@ -35,7 +35,8 @@ VOCABULARY = "word_bpe_49k.json"
 PIECES_PER_TASK = 20_000
 #: Slack of a bin that a certified partition keeps as it is.
 NEARLY_FULL = SEQUENCE_TOKENS // 64
-
+#: Share of the exchanged bins that the next exchange must be able to hope for: one that saved less is the last.
+LEAST_SAVING = 0.0005
 
 _KIND = np.full(256, 3, np.uint8)  # 1: letter or digit, 2: punctuation that parts, 3: neither
 _KIND[[i for i in range(128) if chr(i).isalnum()]] = 1
@@ -64,8 +65,9 @@ class WordTokens:
 
     White space always parts tokens, and so does the border between an ASCII letter, digit or Latin-1 letter
     and ASCII punctuation other than an apostrophe.  A-Z are folded, as the vocabulary folds them.  Texts that
-    may name a special token are only parted at white space.  The table keeps one unit a slot, so its memory
-    is bounded, and a new unit takes the slot; a worker process keeps it from task to task.
+    may name a special token are only parted at white space, and not folded, as only the names in lower case are
+    special.  The table keeps one unit a slot, so its memory is bounded, and a new unit takes the slot; a worker
+    process keeps it from task to task.
     """
 
     SLOT_BITS = 21
@@ -99,9 +101,10 @@ class WordTokens:
             self.reset()
         raw = data.tobytes()
         starts, ends, first = textkit.words(data, off)
-        if b"<|" not in raw:
+        plain = b"<|" not in raw
+        if plain:
             starts, ends, first = _units(data, off, starts, ends)
-        hashes = textkit.word_hashes(data, starts, ends)
+        hashes = textkit.word_hashes(data, starts, ends, fold=plain)
         slot = (hashes >> np.uint64(64 - self.SLOT_BITS)).astype(np.int64)
         count, at = self.count[slot].astype(np.int64), self.at[slot].astype(np.int64)
         new = np.flatnonzero(self.key[slot] != hashes)
@@ -119,7 +122,7 @@ class WordTokens:
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, own): the pieces of every row; ``own`` numbers the full ones, from 0 up."""
+    """(doc_id, piece, start, length, ids_crc32, own): the pieces of every row; ``own`` numbers them, from 0 up."""
     prepared(docs.sparkSession)
     kind = docs.schema[id_col].dataType
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "own"]
@@ -135,9 +138,8 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
                     doc = np.append(ids[first[i] : first[i + 1]], END_ID).astype("<u4")
                     for piece, start in enumerate(range(0, len(doc), SEQUENCE_TOKENS)):
                         part = doc[start : start + SEQUENCE_TOKENS]
-                        full = len(part) == SEQUENCE_TOKENS
-                        rows.append((lo + i, piece, start, len(part), zlib.crc32(part), own if full else None))
-                        own += full
+                        rows.append((lo + i, piece, start, len(part), zlib.crc32(part), own))
+                        own += 1
                 at, *rest = zip(*rows, strict=True)
                 yield pa.record_batch([b.column(0).take(pa.array(at)), *(pa.array(x, t) for x, t in zip(rest, [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()], strict=True))], names)
 
@@ -213,23 +215,23 @@ def _pack(turn: int, last: bool) -> object:
     return run
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, least_saving: float = LEAST_SAVING) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every row."""
     whole = settled(pieces(docs, id_col, text_col, vocabulary))
     columns = [c for c in whole.columns if c != "own"]
-    out = whole.where("own IS NOT NULL").select(*columns, F.col("own").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    left = whole.where("own IS NULL").select(*columns)
+    full = F.col("length") == SEQUENCE_TOKENS
+    out = whole.where(full).select(*columns, F.col("own").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    left = whole.where(~full)
     schema = T.StructType([*left.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("done", T.BooleanType())])
-    rows, turn, partitions = left.count(), 1, None
+    begins = F.col("offset") == 0
+    rows, turn, partitions, bins = left.count(), 1, None, None
     while rows:
         most = -(-rows // PIECES_PER_TASK)
         partitions = most if partitions is None else max(most, partitions // 8)
-        last = partitions == 1 or turn == 7
-        dealt = left.coalesce(1) if partitions == 1 else left.repartition(partitions, F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(turn)))
-        packed = settled(dealt.mapInArrow(_pack(turn, last), schema))
-        out = out.unionByName(packed.where("done").drop("done"))
-        if last:
-            break
-        left = packed.where("NOT done").select(*columns)
-        rows, turn = left.count(), turn + 1
+        dealt = left.coalesce(1) if partitions == 1 else left.repartition(partitions, F.xxhash64("own", F.lit(turn)))
+        packed = settled(dealt.mapInArrow(_pack(turn, partitions == 1), schema))
+        now = packed.agg(F.count_if(begins).alias("all"), F.count_if(begins & ~F.col("done")).alias("open"), F.count_if(~F.col("done")).alias("rows")).first()
+        last = bins is not None and bins - now["all"] < max(1, least_saving * bins)
+        out = out.unionByName(packed.where(F.lit(last) | F.col("done")).select(out.columns))
+        left, rows, bins, turn = packed.where("NOT done").select(left.columns), 0 if last else now["rows"], now["open"], turn + 1
     return out
