@@ -6,9 +6,10 @@ and one-versus-rest ridge regression is solved in the space they span.  As the k
 features, the landmarks and their weights fold into one matrix, and a batch of texts is scored by one matrix
 product.
 
-The model learns from a bounded sample of labelled rows: at most ``SAMPLE_ROWS`` rows, spread evenly over the
-languages, of which ``LANDMARKS`` are landmarks.  Copies of a text count once, and every language has at least
-one text in the sample.  Everything else covers all rows and whole texts.
+The model learns from a bounded sample of labelled rows: about ``SAMPLE_ROWS`` different texts, spread evenly over
+the languages, of which ``LANDMARKS`` are landmarks.  Of each language those texts are drawn whose hash is lowest,
+up to a border that its number of different texts sets; so the sample doesn't depend on the partitions, copies of
+a text count once, and every language has at least one text in it.  Everything else covers all rows and whole texts.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, and so is every text when there
 is nothing to learn from; rows without a lang aren't learned from; rows without a doc_id count as held out.
@@ -98,8 +99,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_
     prepared(docs.sparkSession)
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     place = F.pmod(F.xxhash64("text"), F.lit(1 << _PLACES))
-    # copies count once, so that a share of the places is that share of a language's different texts
-    sizes = rows.select("lang", place.alias("place")).distinct().groupBy("lang").agg(F.count("*").alias("n"), F.min("place").alias("first")).collect()
+    # copies count once, so that a share of the places is that share of a language's different texts; a sketch counts them
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct(place, 0.02).alias("n"), F.min(place).alias("first")).collect()
     if not sizes:
         return None
     each = max(1, sample_rows // len(sizes))
@@ -114,7 +115,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_
                 yield pa.record_batch([b.column(1)[lo:hi], pa.array([r.tobytes() for r in bits], pa.binary())], ["lang", "bits"])
 
     # an even share of each language, in an order that doesn't depend on the partitions; copies count once
-    got = sorted((r["lang"], bytes(r["bits"])) for r in drawn.mapInArrow(run, "lang string, bits binary").distinct().limit(2 * sample_rows + 100 * len(sizes)).collect())
+    got = sorted((r["lang"], bytes(r["bits"])) for r in drawn.mapInArrow(run, "lang string, bits binary").distinct().collect())
     if not got:
         return None
     names = sorted({lang for lang, _ in got})
