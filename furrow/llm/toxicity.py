@@ -12,7 +12,8 @@ is the only part that is broadcast; scores cover whole texts of all rows.
 
 Defined results: null and empty texts get the score of a text in which no voter fires; a table without labels of
 both kinds gives the score 0 everywhere; labels that repeat a doc_id count once, as toxic if one is; labels
-without a doc_id, and null labels, count for nothing; repeated documents each get their row.
+without a doc_id, and null labels, count for nothing; repeated documents each get their row, and one text is
+learned from for each label.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 
 from furrow.llm import textkit
 from furrow.llm.language import held_out
-from furrow.llm.session import prepared
+from furrow.llm.session import prepared, settled
 
 SAMPLE_POSITIVE = 4000
 SAMPLE_NEGATIVE = 8000
@@ -50,10 +51,12 @@ class Model:
     bias: float
 
     def __post_init__(self) -> None:
-        entries = [(p, i) for i, p in enumerate(self.prefixes)] + [(w.encode(), -1) for w in LEXICON]
-        self.by_length = {n: {p: i for p, i in entries if len(p) == n} for n in sorted({len(p) for p, _ in entries})}
+        place, words = {p: i for i, p in enumerate(self.prefixes)}, {w.encode() for w in LEXICON}
+        entries = place.keys() | words
+        # a spelling may be a learned prefix, a word of the lexicon, or both
+        self.by_length = {n: {p: (place.get(p), p in words) for p in entries if len(p) == n} for n in sorted({len(p) for p in entries})}
         self.sieve = np.zeros(1 << 24, bool)
-        self.sieve[[int.from_bytes(p[:_HEAD], "little") for p, _ in entries]] = True
+        self.sieve[[int.from_bytes(p[:_HEAD], "little") for p in entries]] = True
 
     def features(self, data: np.ndarray, off: np.ndarray, style: np.ndarray) -> np.ndarray:
         """A row for each text: firings of the prefixes, then of the other voters."""
@@ -72,8 +75,11 @@ class Model:
                 for length, known in self.by_length.items():
                     if length > z - a:
                         break
-                    if (i := known.get(raw[a : a + length])) is not None and (i >= 0 or length == z - a):
+                    i, word = known.get(raw[a : a + length], (None, False))
+                    if i is not None:
                         hits[t, i] += 1
+                    if word and length == z - a:
+                        hits[t, -1] += 1
         return voters(hits, n, style)
 
 
@@ -150,16 +156,15 @@ def _prefixes(drawn: DataFrame) -> list[bytes]:
     totals = drawn.agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg")).first()
     odds = F.log((F.col("pos") + 0.5) / (totals["pos"] + 1)) - F.log((F.col("neg") + 0.5) / (totals["neg"] + 1))
     best = counts.where("pos >= 3").withColumn("odds", odds).where("odds > 1.5").withColumn("gain", F.col("odds") * F.sqrt("pos"))
-    rows = best.orderBy(F.desc("gain"), F.length("prefix"), "prefix").limit(40 * VOTERS).collect()
-    chosen: list[tuple[bytes, int, int]] = []
-    for r in sorted(rows, key=lambda r: (-r["gain"], len(r["prefix"]), bytes(r["prefix"]))):
-        p = bytes(r["prefix"])
-        # a longer prefix of a chosen one tells nothing more unless it is clean where the shorter isn't
-        if not any(p.startswith(q) and neg <= max(1, 0.05 * pos) for q, pos, neg in chosen):
-            chosen.append((p, r["pos"], r["neg"]))
-        if len(chosen) == VOTERS:
-            break
-    return [p for p, _, _ in chosen]
+    rows = best.orderBy(F.desc("gain"), F.length("prefix"), "prefix").limit(40 * VOTERS).collect()  # in this order
+    found = {bytes(r["prefix"]): (r["pos"], r["neg"]) for r in rows}
+
+    def told(p: bytes) -> bool:
+        """Whether a beginning of it, on all its toxic documents at least, is about as clean."""
+        pos, neg = found[p]
+        return any(p[:n] in found and 2 * neg * found[p[:n]][0] >= found[p[:n]][1] * pos for n in range(1, len(p)))
+
+    return [p for p in found if not told(p)][:VOTERS]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
@@ -171,7 +176,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return None
     order = F.xxhash64("labelled")
     picked = marked.where("toxic = 1").orderBy(order).limit(SAMPLE_POSITIVE).unionByName(marked.where("toxic = 0").orderBy(order).limit(SAMPLE_NEGATIVE))
-    drawn = docs.select(F.col(id_col).alias("labelled"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(picked), "labelled").select("text", "toxic")
+    texts = docs.select(F.col(id_col).alias("labelled"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(picked), "labelled")
+    # one text for each label, so that a doc_id on many rows doesn't outgrow the sample; read once
+    drawn = settled(texts.groupBy("labelled").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic"))
     prefixes = _prefixes(drawn)
     probe = spark.sparkContext.broadcast(Model(prefixes, np.zeros(0), 0.0))
 
@@ -180,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             for lo, hi, fired in _firings(probe.value, b.column(0)):
                 yield pa.record_batch([b.column(1)[lo:hi], pa.array([r.tobytes() for r in np.packbits(fired > 0, axis=1)], pa.binary())], ["toxic", "fired"])
 
-    got = sorted((r["toxic"], bytes(r["fired"])) for r in drawn.mapInArrow(run, "toxic int, fired binary").limit(2 * (SAMPLE_POSITIVE + SAMPLE_NEGATIVE)).collect())
+    got = sorted((r["toxic"], bytes(r["fired"])) for r in drawn.mapInArrow(run, "toxic int, fired binary").collect())
     label = np.array([t for t, _ in got])
     if not 0 < label.sum() < len(label):
         return None
