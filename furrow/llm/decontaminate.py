@@ -36,6 +36,8 @@ WINDOW_WORDS = 10
 BLOCK_BYTES = 8 << 20
 #: Text of the documents in one suffix array.
 SHARD_BYTES = 4 << 20
+#: Occurrences that are told apart by item at once.
+_PIECE = 1 << 17
 
 
 @dataclass
@@ -117,7 +119,8 @@ def _search(data: np.ndarray, off: np.ndarray, block: Block, window: int) -> tup
     keys, suffixes = keys[order], suffixes[order]
     text_first = first + np.arange(len(first))
     hit = np.zeros(len(words) + 1, np.int32)
-    per_text: dict[int, tuple[set, int]] = {}
+    per_text: dict[int, set] = {}
+    best = np.zeros(len(n_words), np.int64)
     for length, queries in block.keys.items():
         low = np.searchsorted(keys, queries, "left")
         high = np.searchsorted(keys, _last(queries, length, window), "right")
@@ -129,22 +132,30 @@ def _search(data: np.ndarray, off: np.ndarray, block: Block, window: int) -> tup
         np.add.at(hit, p + length, -1)
         head, places = block.at[length]
         text = np.searchsorted(text_first, p, "right") - 1
-        for lo in range(0, len(p), 1 << 16):
-            pp, qq, tt = (x[lo : lo + (1 << 16)] for x in (p, q, text))
-            many = head[qq + 1] - head[qq]
-            t = places[np.repeat(head[qq], many) + textkit._within(many)]
-            pp, tt = np.repeat(pp, many), np.repeat(tt, many)
-            pairs = np.unique(tt * len(block.item_ids) + block.item[t])
-            left = (pp == 0) | (t == 0) | (words[pp - 1] != block.words[t - 1]) | (words[pp - 1] == 0)
-            size = _longest(words, pp[left], block, t[left])
-            best = np.zeros(len(n_words), np.int64)
-            np.maximum.at(best, tt[left], size)
+        for row, window_of, pair_of in _expanded(np.unique(text * len(queries) + q), head, places, len(queries)):
+            pairs = np.unique(row * len(block.item_ids) + block.item[window_of])
             for x in pairs.tolist():
-                row, item = divmod(x, len(block.item_ids))
-                items, longest = per_text.get(row, (set(), 0))
-                per_text[row] = (items | {block.item_ids[item]}, max(longest, int(best[row])))
+                at, item = divmod(x, len(block.item_ids))
+                per_text.setdefault(at, set()).add(block.item_ids[item])
+        for _, t, at in _expanded(q, head, places, len(queries)):
+            pp, tt = p[at], text[at]
+            left = (pp == 0) | (t == 0) | (words[pp - 1] != block.words[t - 1]) | (words[pp - 1] == 0)
+            np.maximum.at(best, tt[left], _longest(words, pp[left], block, t[left]))
     covered = np.cumsum(hit) > 0
-    return n_words, [(row, covered[text_first[row] : text_first[row] + n_words[row]], items - {None}, longest) for row, (items, longest) in sorted(per_text.items())]
+    return n_words, [(row, covered[text_first[row] : text_first[row] + n_words[row]], items - {None}, int(best[row])) for row, items in sorted(per_text.items())]
+
+
+def _expanded(keys: np.ndarray, head: np.ndarray, places: np.ndarray, queries: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(quotient of the key, place of its window in the benchmark, number of the key) for all places, piece by piece.
+
+    A key's remainder is the number of its window.  A window that many items hold comes in several pieces.
+    """
+    row, window = np.divmod(keys, queries)
+    ends = np.cumsum(head[window + 1] - head[window])
+    for lo in range(0, int(ends[-1]) if len(ends) else 0, _PIECE):
+        index = np.arange(lo, min(lo + _PIECE, int(ends[-1])))
+        at = np.searchsorted(ends, index, "right")
+        yield row[at], places[head[window[at] + 1] - (ends[at] - index)], at
 
 
 def _last(queries: np.ndarray, length: int, window: int) -> np.ndarray:
