@@ -7,7 +7,8 @@ of two sets, with a standard error of at most 0.045 at 128 permutations.
 
 Defined results: a null text is an empty text; texts without words share one fingerprint of their own; a
 text of fewer words than a shingle is one shingle; equal texts have equal fingerprints.  An empty table
-gives an empty table.  Rows that repeat a doc_id, or have none, are documents of their own.
+gives an empty table.  Rows that repeat a doc_id, or have none, are documents of their own; among them the order
+is that of a hash of the text.  "The next document" needs ids that are whole numbers: others raise a TypeError.
 """
 
 from __future__ import annotations
@@ -82,27 +83,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return linking.components(docs, id_col, text_col, SHINGLE_WORDS, threshold, signature)
 
 
+#: Steps between two ids, by a hash of the text, so that a bucket may end among the rows of one id.
+_STEPS = 1 << 20
+
+
 def _ordered_with_successor(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows sorted by doc_id inside buckets of neighbouring ids; each bucket ends with the first row of the next.
 
-    Buckets are cut at approximate quantiles of the ids.  The driver sees only one id a bucket, and the
-    texts are shuffled once.
+    Buckets are cut at approximate quantiles of the ids, and of a hash of the text where many rows have one id.
+    The driver sees only one row's id and hash a bucket, and the texts are shuffled once.
     """
     spark = docs.sparkSession
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} must be a whole number, so that documents have a next one")
     n = 4 * parallelism(spark)
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("ord", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("at", F.col("ord").cast("double"))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumns({"ord": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "hash": F.xxhash64("text")})
+    base = base.withColumn("step", F.pmod("hash", F.lit(_STEPS)))
+    base = base.withColumn("at", F.col("ord").cast("double") + F.col("step") / _STEPS)
     cuts = base.agg(F.percentile_approx("at", [i / n for i in range(1, n)], 10 * n).alias("q")).first()["q"] or []
     splits = [-float("inf"), *sorted({c for c in cuts if c > -float("inf")}), float("inf")]
     bucketed = Bucketizer(splits=splits if len(splits) > 2 else [-float("inf"), 0.0, float("inf")], inputCol="at", outputCol="bucket").transform(base)
     bucketed = bucketed.withColumn("bucket", F.col("bucket").cast("int")).drop("at")
-    heads = sorted((r["bucket"], r["ord"]) for r in bucketed.groupBy("bucket").agg(F.min("ord").alias("ord")).collect())
-    before = [(o, heads[i - 1][0]) for i, (_, o) in enumerate(heads)]
-    lent = spark.createDataFrame(before, "ord long, lend int")  # one row a bucket
+    heads = [tuple(r["head"]) for r in bucketed.groupBy("bucket").agg(F.min(F.struct("bucket", "ord", "step", "hash")).alias("head")).orderBy("bucket").collect()]
+    before = [(o, h, heads[i - 1][0]) for i, (_, o, _, h) in enumerate(heads)]
+    lent = spark.createDataFrame(before, "ord long, hash long, lend int")  # one row a bucket
     own = F.struct("bucket", F.lit(False).alias("lent"))
     other = F.when(F.col("lend").isNotNull(), F.struct(F.col("lend").alias("bucket"), F.lit(True).alias("lent")))
-    placed = bucketed.join(F.broadcast(lent), "ord", "left").withColumn("place", F.explode(F.array_compact(F.array(own, other))))
-    placed = placed.select("doc_id", "text", "ord", "place.bucket", "place.lent")
-    return placed.repartition(parallelism(spark), "bucket").sortWithinPartitions("bucket", "lent", "ord", F.xxhash64("text"))
+    placed = bucketed.join(F.broadcast(lent), ["ord", "hash"], "left").withColumn("place", F.explode(F.array_compact(F.array(own, other))))
+    placed = placed.select("doc_id", "text", "step", "hash", "ord", "place.bucket", "place.lent")
+    return placed.repartition(parallelism(spark), "bucket").sortWithinPartitions("bucket", "lent", "ord", "step", "hash").select("doc_id", "text", "ord", "bucket", "lent")
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
