@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from furrow.llm import decontaminate, fingerprints, html_text, language, near_dedup, packing, private_data, secret_scan, substrings, toxicity
 
 
@@ -65,7 +64,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_private_data": op9_private_data,
     "op10_substrings": op10_substrings,
-    "pipeline": corpus_pipeline.run,
 }
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -98,4 +96,39 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT)
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_decontaminate": _OP4_SQL, "op10_substrings": _OP10_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+def _either_case(word: str) -> str:
+    """A pattern of both cases of ASCII letters: RE2's own folding takes other letters too."""
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+#: kind, pattern, checked group, least characters; as in ``secret_scan.RULES``.
+_OP6_RULES = [
+    ("assign", "(" + "|".join(_either_case(w) for w in ("password", "passwd", "secret", "token", "api_?key")) + r""")["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", "AKIA[A-Z0-9]+", 0, 20),
+    ("hex", "[0-9a-f]+", 0, 24),
+    *((r.kind, r.pattern, r.group, r.least) for r in secret_scan.RULES if not r.base),
+]
+_OP6_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL ".join(f"SELECT rid, {rank} AS rank, '{kind}' AS kind, {least} AS least, regexp_split_to_array(t, '{p}') AS gaps, regexp_extract_all(t, '{p}', 0) AS hits, regexp_extract_all(t, '{p}', {group}) AS checked FROM d WHERE regexp_matches(t, '{p}')" for rank, (kind, p, group, least) in enumerate(_OP6_RULES))}),
+parts AS (SELECT rid, rank, kind, least, i, length(gaps[i]) AS gap, length(hits[i]) AS hit, length(checked[i]) AS n FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM m)),
+placed AS (SELECT *, sum(gap + hit) OVER (PARTITION BY rid, rank ORDER BY i) AS z FROM parts),
+s AS (SELECT rid, rank, kind, CAST(z - hit AS BIGINT) AS a, kind || ':' || CAST(z - hit AS BIGINT) || ':' || CAST(z AS BIGINT) AS name FROM placed WHERE n >= least),
+g AS (SELECT rid, {", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in ("assign", "access", "hex"))}, string_agg(name, ',' ORDER BY a, rank) FILTER (WHERE rank < 3) AS base, string_agg(name, ',' ORDER BY a, rank) AS spans FROM s GROUP BY rid)
+SELECT doc_id, {", ".join(f"CAST(coalesce(n_{k}, 0) AS BIGINT) AS n_{k}" for k in ("assign", "access", "hex"))}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (rid)
+"""
+
+_OP8_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_FOLD}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct([w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] FOR p IN range(1, len(w) - 1)]) END AS s FROM d),
+named AS (SELECT doc_id, len(s) AS n, md5(array_to_string(list_sort(s), '\n')) AS h, s FROM sets),
+node AS (SELECT h, min(doc_id) AS least, any_value(n) AS n, any_value(s) AS s FROM named WHERE n > 0 GROUP BY h),
+one AS (SELECT h, n, hash(unnest(s)) AS x FROM node),
+link AS (SELECT a.h AS u, b.h AS v FROM one a JOIN one b USING (x) WHERE a.h < b.h AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY a.h, b.h, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+both_ways AS (SELECT u, v FROM link UNION ALL SELECT v, u FROM link),
+reach AS (SELECT h AS u, h AS v FROM node UNION SELECT r.u, b.v FROM reach r JOIN both_ways b ON r.v = b.u),
+part AS (SELECT r.u AS h, min(least) AS component_id FROM reach r JOIN node ON r.v = node.h GROUP BY r.u)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id, doc_id = coalesce(component_id, doc_id) AS kept FROM named LEFT JOIN part USING (h)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_decontaminate": _OP4_SQL, "op6_secrets": _OP6_SQL, "op8_near_dedup": _OP8_SQL, "op10_substrings": _OP10_SQL}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from furrow.llm import decontaminate, fingerprints, html_text, language, linking, near_dedup, packing, private_data, queries, secret_scan, substrings, toxicity
+from furrow.llm import decontaminate, fingerprints, html_text, language, linking, near_dedup, packing, private_data, queries, secret_scan, session, substrings, textkit, toxicity
 from tests.llm import brute
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -83,6 +84,14 @@ def test_equal_texts_have_equal_fingerprints(spark, odd):
     assert fingerprints.edited_fingerprints(odd).count() == len(ODD) + 1
 
 
+def test_next_document_among_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, f"text number {n} of the first id") for n in range(60)] + [(2, "the second id")], DOCS)
+    got = fingerprints.edited_fingerprints(docs).collect()
+    assert sorted(r["doc_id"] for r in got) == [1] * 60 + [2]
+    with pytest.raises(TypeError):
+        fingerprints.edited_fingerprints(spark.createDataFrame([("a", "text")], "doc_id string, text string"))
+
+
 def test_fingerprint_bands_find_near_copies(spark):
     docs = noisy_copies(3, 12, 4)
     got = {i: c for i, _, c in rows_of(fingerprints.near_duplicates(spark.createDataFrame(docs, DOCS)))}
@@ -130,6 +139,21 @@ def test_one_of_each_group_with_repeated_and_null_ids(spark):
     assert {t or "" for i, t in got if i == 7} == {""}
 
 
+def test_one_of_each_group_with_clashing_columns(spark):
+    rows = [(1, "a b c d e f", 1, 2), (2, "a b c d e f", 3, 4), (2, "a b c d e f", 3, 4)]
+    docs = spark.createDataFrame(rows, DOCS + ", copies int, first_id int")
+    assert [tuple(r) for r in near_dedup.first_of_each(docs).collect()] == rows[:1]
+    named = docs.toDF("doc_id", "text", "first_key", "kept_id")
+    assert near_dedup.first_of_each(named).columns == named.columns and near_dedup.first_of_each(named).count() == 1
+
+
+def test_components_of_a_star_a_chain_and_a_clique(spark, monkeypatch):
+    monkeypatch.setattr(session, "HOT_ROWS", 3)  # so that the star's centre meets its neighbours by broadcast
+    pairs = [("c", f"s{i:02}") for i in range(20)] + [(f"k{i:02}", f"k{i + 1:02}") for i in range(30)] + [(f"q{i}", f"q{j}") for i in range(5) for j in range(i)]
+    got = dict(rows_of(linking.connected(spark.createDataFrame(pairs, "u string, v string"))))
+    assert got == {**{f"s{i:02}": "c" for i in range(20)}, **{f"k{i:02}": "k00" for i in range(1, 31)}, **{f"q{i}": "q0" for i in range(1, 5)}}
+
+
 # 4: decontamination
 
 
@@ -142,6 +166,17 @@ def test_hits_equal_brute_force(spark):
     assert got == brute.contamination(docs, items)
 
 
+def test_a_window_of_many_items_comes_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "_PIECE", 7)
+    line = " ".join(f"w{i}" for i in range(12))
+    items = [(n, f"{line} own{n} words{n}") for n in range(30)]
+    docs = [(n, f"x {line} own{n} y {line}") for n in range(5)] + [(9, "none of it")]
+    frames = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")
+    assert {r[0]: tuple(r[1:]) for r in rows_of(decontaminate.report(*frames))} == brute.contamination(docs, items)
+    longest = {r["doc_id"]: r["longest_match"] for r in decontaminate.contamination(*frames).collect()}
+    assert longest == {n: 13 for n in range(5)} | {9: 0}
+
+
 def test_blocks_of_the_benchmark_add_up(spark, monkeypatch, documents):
     benchmark = spark.read.parquet(f"{SF_DIR}/benchmark.parquet")
     whole = sorted(rows_of(decontaminate.report(documents, benchmark)))
@@ -185,6 +220,14 @@ def test_repeated_rows_are_occurrences(spark, odd):
     assert substrings.digest(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_many_copies_keep_no_word(spark, monkeypatch):
+    monkeypatch.setattr(session, "HOT_ROWS", 3)
+    text = " ".join(f"w{i}" for i in range(50))
+    docs = [(i, text) for i in range(40)] + [(50, "own " + text), (51, " ".join(f"v{i}" for i in range(50)))]
+    got = {r[0]: tuple(r[1:]) for r in rows_of(substrings.remove_repeats(spark.createDataFrame(docs, DOCS)))}
+    assert got == brute.kept_words(docs, 35)
+
+
 def test_covers_are_difference_covers():
     for period, cover in substrings.COVERS.items():
         assert {(a - b) % period for a in cover for b in cover} == set(range(period))
@@ -220,6 +263,25 @@ def test_tokens_of_odd_texts(spark, odd):
     assert packing.pack(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_names_of_special_tokens_in_either_order():
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    texts = ["Hello <|STARTOFTEXT|> x", "hello <|startoftext|> X", "HELLO x", "a<|endoftext|>b <|EndOfText|>"]
+    for order in (texts, texts[::-1]):
+        tokens = packing.WordTokens(public_tokenizers.path(packing.VOCABULARY))
+        for t in order:
+            assert tokens(*textkit.encode([t]))[0].tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_exchanges_end_when_nothing_is_saved(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PIECES_PER_TASK", 20)
+    docs = [(i, "word " * (20 + 37 * i % 3000)) for i in range(150)] + [(1, "the same row")] * 30
+    got = packing.pack(spark.createDataFrame(docs, DOCS)).toPandas()
+    assert len(got) >= 180 and (got.groupby("sequence_id").length.sum() <= 4096).all()
+    for _, one in got.sort_values("offset").groupby("sequence_id"):
+        assert list(one.offset) == [0, *one.length.cumsum()[:-1]]
+    assert got.sequence_id.nunique() <= 1.1 * packing.least_bins(got.length.to_numpy())
+
+
 def test_bounds_never_exceed_a_packing():
     rng = np.random.default_rng(1)
     for _ in range(30):
@@ -258,6 +320,11 @@ def test_the_sample_counts_copies_once(spark):
     assert np.allclose(drawn.weights, language.fit(copied.where("copy = 1"), sample_rows=40).weights)
 
 
+def test_no_language_is_lost(spark):
+    rows = [("de", "das haus und der garten")] * 6000 + [("en", f"the house and the garden {n}") for n in range(6000)] + [("fr", "la maison")]
+    assert language.fit(spark.createDataFrame(rows, "lang string, text string"), sample_rows=300).names == ["de", "en", "fr"]
+
+
 # 5: toxicity
 
 
@@ -280,6 +347,19 @@ def test_toxicity_without_labels_and_of_odd_texts(spark, odd, documents):
     assert len(got) == len(ODD) + 1 and all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_a_spelling_can_be_a_learned_prefix_and_in_the_lexicon():
+    data, off = textkit.encode(["a loser and losers", "nothing"])
+    fired = toxicity.Model([b"loser"], np.zeros(0), 0.0).features(data, off, np.zeros((2, 2)))
+    assert fired[0, :3].tolist() == [1, 1, 1] and not fired[1].any()
+
+
+def test_a_label_on_many_rows_teaches_once(spark):
+    docs = spark.createDataFrame([(1, f"you idiot {n}") for n in range(50)] + [(2, "a fine day"), (3, "idiot again"), (4, "good words")], DOCS)
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, 0), (None, 1), (2, None)], "doc_id long, toxic int")
+    got = rows_of(toxicity.score(docs, toxicity.fit(docs, labels)))
+    assert len(got) == 53 and min(s for i, s in got if i in (1, 3)) > max(s for i, s in got if i in (2, 4))
+
+
 # 6: secrets
 
 
@@ -294,6 +374,22 @@ def test_base_spans_equal_brute_force(spark, documents, odd):
         assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(f[2] == k for f in found) for k in ("assign", "access", "hex")]
 
 
+def test_places_of_very_many_matches(spark, monkeypatch):
+    text = " ".join(["\U0001f511 token=abcdef1", "é secret: short", "api_key=" + "a1" * 20] * 700)
+    docs = spark.createDataFrame([(1, text), (1, text), (2, None)], DOCS)
+    got = [list(r[1]) for r in rows_of(secret_scan.spans(docs, rules=secret_scan.RULES[:3])) if r[0] == 1]
+    assert [tuple(s) for s in got[0]] == brute.secrets(text) and got[0] == got[1] and len(got[0]) > 2000
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 0)  # candidates then come by a shuffle
+    assert sorted(len(r[1]) for r in rows_of(secret_scan.spans(docs, rules=secret_scan.RULES[:3]))) == [0, len(got[0]), len(got[0])]
+
+
+def test_kinds_beyond_the_base(spark):
+    hits = {"private_key": "-----BEGIN RSA PRIVATE KEY-----", "github": "ghp_" + "a1B2" * 9, "slack": "xoxb-1234567890-ab", "google": "AIza" + "x" * 35, "stripe": "sk_live_" + "0" * 16, "jwt": "eyJabcdefgh.eyJabcdefgh.abcdefgh_"}
+    docs = spark.createDataFrame([(i, f"it is {v} here") for i, v in enumerate(hits.values())] + [(90, "ghp_short xoxz-1234567890 AIzashort")], DOCS)
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in secret_scan.spans(docs).collect()}
+    assert got == {i: [(k, 6, 6 + len(v))] for i, (k, v) in enumerate(hits.items())} | {90: []}
+
+
 def test_trigram_queries_are_mandatory():
     assert secret_scan.trigram_query("AKIA[A-Z0-9]+") == [frozenset({"aki", "kia"})]
     assert secret_scan.trigram_query("[0-9a-f]+") == [frozenset()]
@@ -357,6 +453,26 @@ def test_more_forms_round_trip(spark, kind, values):
     assert {r["doc_id"]: r["text"] for r in back.collect()} == {r["doc_id"]: r["text"] for r in docs.collect()}
 
 
+def test_unbroken_text_takes_no_longer_than_other_text(spark):
+    letters = "a1b2" * 250_000
+    texts = [letters, "x@" + "a." * 500_000, letters + "@example.com", "." * 100_000 + "@", "a@" * 200_000, f"{'b' * 64}@example.com {'c' * 65}@example.com"]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    began = time.monotonic()
+    got = {r["doc_id"]: r for r in private_data.pseudonymised(docs).collect()}
+    assert time.monotonic() - began < 60
+    assert all(got[i]["text"] == texts[i] and got[i]["n_email"] == 0 for i in range(5))
+    assert got[5]["n_email"] == 1 and got[5]["text"].endswith("c" * 65 + "@example.com")
+
+
+def test_values_follow_one_another_directly(spark):
+    text = "192.168.0.1:x.y@example.com,(555) 123-4567z@example.org;2024-02-29.q@example.net"
+    docs = spark.createDataFrame([(1, text)], DOCS)
+    there = private_data.pseudonymised(docs)
+    assert there.first()["n_email"] >= 2
+    assert private_data.pseudonymised(there.select("doc_id", "text"), inverse=True).first()["text"] == text
+    assert private_data.pseudonymised(spark.createDataFrame([], DOCS)).count() == 0
+
+
 # 7: html
 
 
@@ -401,3 +517,66 @@ _POST = " ".join(_LONG.split())
 )
 def test_main_text_of_other_shapes(html, text):
     assert html_text.main_text(html) == text
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<p>one</p><![foo[bar]]><p>two</p>", "one two"),
+        ("<p>one</p><![ x", "one <![ x"),
+        ("<p>one</p><!ELEMENT br EMPTY><?php x ?><p>two</p>", "one two"),
+        ("<p>one</p><!-- never ends <p>two</p>", "one never ends two"),
+        ('<p>one</p><p class="x>two</p>', "one two"),
+        ("<p>one</p><![CDATA[a]]><b", "one <b"),
+        ("a < b & c <3", "a < b & c <3"),
+        ("<script>if (a<b) x='</p>'</script><p>one</p>", "one"),
+    ],
+)
+def test_broken_markup_stops_nothing(html, text):
+    assert html_text.main_text(html) == text
+
+
+@pytest.mark.parametrize("part", ["<a ", "<!--", "</", "<", '<a b="', "<![ x", "<div>", "<form>", "<nav><article>", "<script>", "<p a='>", "&amp"])
+def test_long_broken_pages_take_linear_time(part):
+    began = time.monotonic()
+    html_text.main_text("<p>text</p>" + part * (1_000_000 // len(part)))
+    assert time.monotonic() - began < 30
+
+
+def _ratios(html):
+    """The plain version of the density step: smoothed ratios, then the best border of two groups."""
+    page = html_text.Lines()
+    page.feed(html)
+    page.close()
+    page.flush()
+    lines = page.unmarked()
+    raw = [len(t) / max(n, 1) for t, n, *_ in lines]
+    weight = lambda i, j: np.exp(-((i - j) ** 2) / (2 * html_text.SIGMA**2)) if abs(i - j) <= 5 else 0.0
+    smooth = [sum(weight(i, j) * x for j, x in enumerate(raw)) / sum(weight(i, j) for j in range(len(raw))) for i in range(len(raw))]
+    return lines, np.log1p(smooth)
+
+
+def _planted() -> str:
+    links = "".join(f"<li><a href=/{i}>Read on {i}</a></li>" for i in range(12))
+    return f"<body><div id=top><a href=/>Start</a><a href=/x>More</a></div><article><h1>Title</h1><p>{_LONG}</p><p>{_LONG}</p><div><ul>{links}</ul></div><p>{_LONG}</p><p>{_LONG}</p><p>End.</p></article></body>"
+
+
+def test_density_equals_its_plain_version():
+    lines, ratio = _ratios(_planted())
+    got = html_text.dense_lines(lines)
+    border = html_text.threshold(ratio)
+    assert got.tolist() == [bool(x >= border) for x in ratio] and got.any() and not got.all()
+    low, high = ratio[~got].mean(), ratio[got].mean()
+    assert np.isclose(border, (low + high) / 2)  # the border lies between the means of the two groups
+
+
+def test_density_decides_inside_articles_and_between_regions(monkeypatch):
+    wanted = f"Title {_POST} {_POST} {_POST} {_POST} End."
+    plain = f"<body><div><a href=/>Home</a> <a href=/x>News</a></div><div><p>{_LONG}</p></div><div><a href=/y>Next</a></div></body>"
+    assert html_text.main_text(_planted()) == wanted and html_text.main_text(plain) == _POST
+    monkeypatch.setattr(html_text, "dense_lines", lambda lines: np.ones(len(lines), bool))  # without the threshold
+    assert "Read on 3" in html_text.main_text(_planted()) and html_text.main_text(plain) != _POST
+
+
+def test_pages_of_an_empty_table(spark):
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
