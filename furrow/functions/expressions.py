@@ -99,6 +99,10 @@ def message(problems: Column, fine: str) -> Column:
     return F.when(F.size(problems) == 0, F.lit(fine)).otherwise(F.array_join(problems, "; "))
 
 
-def exact_mean(value: Column) -> Column:
-    """A mean from an exact decimal sum, rounded to 6 places."""
-    return F.round(F.sum(value.cast("decimal(18,4)")).cast("double") / F.count(value), 6)
+def local_second(time: Column, zone: str = HOME_ZONE) -> Column:
+    """A UTC time without zone as text in a zone, to the second, with the zone's offset then."""
+    utc = time.cast("timestamp_ntz")
+    local = F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
+    minutes = F.timestamp_diff("MINUTE", utc, local)
+    sign = F.when(minutes < 0, "-").otherwise("+")
+    return F.concat(F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss"), sign, F.lpad((F.abs(minutes) / 60).cast("int").cast("string"), 2, "0"), F.lit(":"), F.lpad((F.abs(minutes) % 60).cast("string"), 2, "0"))

@@ -23,10 +23,13 @@ def clamped(limit: int | None) -> int:
 
 
 def history(harvests: DataFrame, fields: DataFrame, limit: int | None = HISTORY_DEFAULT) -> DataFrame:
-    """The latest harvests with field names and totals, newest first, then by field."""
-    named = harvests.join(fields.select(F.col("id").alias("field_id"), F.col("name").alias("field_name")), "field_id")
-    ordered = named.orderBy(F.desc("harvest_date"), "field_id").limit(clamped(limit))
-    return ordered.select("harvest_date", "field_name", "interval_days", *GRADES, total().alias("total"))
+    """The latest harvests with field names and totals, newest first, then by field.
+
+    Every harvest has a field, so the page is cut before names are joined to it, and put in order again after.
+    """
+    page = harvests.orderBy(F.desc("harvest_date"), "field_id").limit(clamped(limit))
+    named = page.join(fields.select(F.col("id").alias("field_id"), F.col("name").alias("field_name")), "field_id")
+    return named.orderBy(F.desc("harvest_date"), "field_id").select("harvest_date", "field_name", "interval_days", *GRADES, total().alias("total"))
 
 
 def for_day(harvests: DataFrame, day: datetime.date) -> DataFrame:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import datetime
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.functions import expressions as E
@@ -29,7 +31,14 @@ def months(spark, start: datetime.date, end: datetime.date) -> DataFrame:  # noq
 
 def of_station(readings: DataFrame, name: str, exact: bool = False) -> DataFrame:
     """Readings of stations whose name holds the text, in either case; or exactly that station's."""
-    return readings.where(F.col("station") == name) if exact else readings.where(F.col("station").ilike(f"%{name}%"))
+    return readings.where(F.col("station") == name) if exact else readings.where(F.contains(F.lower("station"), F.lower(F.lit(name))))
+
+
+def near_months(start: datetime.date, end: datetime.date) -> Column:
+    """Whether year and month are among those from start to end: plain comparisons, which a scan can push down."""
+    year, month = F.col("year"), F.col("month")
+    parts = [(year == y) & month.between(start.month if y == start.year else 1, end.month if y == end.year else 12) for y in range(start.year, end.year + 1)]
+    return reduce(or_, parts, F.lit(False))
 
 
 def with_local_day(readings: DataFrame, zone: str = E.HOME_ZONE) -> DataFrame:
@@ -46,16 +55,16 @@ def daily_air(readings: DataFrame, start: datetime.date, end: datetime.date, zon
     """
     day_before = start - datetime.timedelta(days=1)
     utc_day = E.calendar_day(F.col("year"), F.col("month"), F.col("day"))
-    near = readings.where(F.col("element").isin("TA", "WS10M") & utc_day.between(F.lit(day_before), F.lit(end)))
+    near = readings.where(near_months(day_before, end) & F.col("element").isin("TA", "WS10M") & utc_day.between(F.lit(day_before), F.lit(end)))
     local = with_local_day(near, zone).where(F.col("local_day").between(F.lit(start), F.lit(end)))
     value = lambda element: F.when(F.col("element") == element, F.col("number"))
-    return local.groupBy(F.col("local_day").alias("day")).agg(F.min(value("TA")).alias("t_min"), F.max(value("TA")).alias("t_max"), E.exact_mean(value("WS10M")).alias("wind_avg"))
+    return local.groupBy(F.col("local_day").alias("day")).agg(F.min(value("TA")).alias("t_min"), F.max(value("TA")).alias("t_max"), F.avg(value("WS10M")).alias("wind_avg"))
 
 
 def daily_radiation(readings: DataFrame, start: datetime.date, end: datetime.date) -> DataFrame:
     """(day, radiation): the last number of each day by ``seq``, without a change of zone."""
     day = E.calendar_day(F.col("year"), F.col("month"), F.col("day"))
-    parsed = readings.where(F.col("element") == "DRQS").select(day.alias("on"), E.safe_float(F.col("value").cast("string")).alias("number"), "seq")
+    parsed = readings.where(near_months(start, end) & (F.col("element") == "DRQS")).select(day.alias("on"), E.safe_float(F.col("value").cast("string")).alias("number"), "seq")
     known = parsed.where(F.col("number").isNotNull() & F.col("on").between(F.lit(start), F.lit(end)))
     return known.groupBy(F.col("on").alias("day")).agg(F.max_by("number", "seq").alias("radiation"))
 
@@ -91,7 +100,7 @@ def forecast(payloads: DataFrame) -> DataFrame:
     empty = lambda c, kind: F.coalesce(F.col(c), F.expr(f"cast(array() as array<{kind}>)"))
     hours = F.arrays_zip(empty("p.hourly.time", "string").alias("time"), empty("p.hourly.wind_speed_10m", "double").alias("wind"))
     wind = parsed.select("payload", F.explode(hours).alias("h")).where("h.time IS NOT NULL AND h.wind IS NOT NULL")
-    wind = wind.groupBy("payload", F.substring("h.time", 1, 10).alias("key")).agg(E.exact_mean(F.col("h.wind")).alias("wind"))
+    wind = wind.groupBy("payload", F.substring("h.time", 1, 10).alias("key")).agg(F.avg("h.wind").alias("wind"))
     days = parsed.select("payload", "p", F.posexplode(empty("p.daily.time", "string")).alias("i", "key"))
     at = lambda name: F.get(F.col(f"p.daily.{name}"), F.col("i"))
     days = days.select("payload", "key", at("temperature_2m_min").alias("t_min"), at("temperature_2m_max").alias("t_max"), at("shortwave_radiation_sum").alias("radiation"))

@@ -52,6 +52,22 @@ def add_fields(plan: DataFrame, added: DataFrame) -> DataFrame:
     return plan.select("plan_date", "field_id", "position").unionByName(placed.select("plan_date", "field_id", "position"))
 
 
+def add_known_fields(plan: DataFrame, plan_days: DataFrame, fields: DataFrame, added: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The plan with (plan_date, field_id) added, and the initialised days with these days marked, in one step.
+
+    A field that doesn't exist is an error when either result is computed.
+    """
+    known = fields.select(F.col("id").alias("field_id"), F.lit(True).alias("known"))
+    refused = F.raise_error(F.concat(F.lit("unknown field "), F.coalesce(F.col("field_id").cast("string"), F.lit("null")))).cast("int")
+    checked = added.join(known, "field_id", "left").select(F.when(F.col("known"), F.col("field_id")).otherwise(refused).alias("field_id"), "plan_date")
+    return add_fields(plan, checked), marked(plan_days, checked.where("field_id IS NOT NULL"))
+
+
+def ids_by_name(fields: DataFrame) -> DataFrame:
+    """(name, id): which field a displayed name means; of fields with one name, the greatest id."""
+    return fields.groupBy("name").agg(F.max("id").alias("id"))
+
+
 def renumbered(plan: DataFrame) -> DataFrame:
     """Positions 1 to n on every day."""
     turn = F.row_number().over(Window.partitionBy("plan_date").orderBy("position", "field_id"))

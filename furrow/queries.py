@@ -30,12 +30,20 @@ PAYLOADS = (
 NUMBERS = ("1.5", " 2 ", "-3e2", "", "abc", None, "12,5", "0", "1e400x")
 
 
-def query(sql: str, decimals: tuple[str, ...] = ()) -> Callable[[Query], Query]:
-    """Registers a query; both sides show its decimal columns as doubles, which hold two places exactly enough."""
+#: Added to a mean before it is shown to six places, so that ties, and sums in another order, round alike.
+_PAST_TIES = 1e-11
+
+
+def query(sql: str, decimals: tuple[str, ...] = (), means: tuple[str, ...] = ()) -> Callable[[Query], Query]:
+    """Registers a query; both sides show its decimal columns as doubles, and its means to six places."""
 
     def register(f: Query) -> Query:
-        QUERIES[f.__name__] = (lambda spark, sf_dir: f(spark, sf_dir).withColumns({c: F.col(c).cast("double") for c in decimals})) if decimals else f
-        ORACLE_SQL[f.__name__] = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in decimals)}) FROM ({sql})" if decimals else sql
+        def shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(spark, sf_dir).withColumns({c: F.col(c).cast("double") for c in decimals} | {c: F.round(F.col(c) + _PAST_TIES, 6) for c in means})
+
+        QUERIES[f.__name__] = shown if decimals or means else f
+        replaced = [f"CAST({c} AS DOUBLE) AS {c}" for c in decimals] + [f"round({c} + {_PAST_TIES}, 6) AS {c}" for c in means]
+        ORACLE_SQL[f.__name__] = f"SELECT * REPLACE ({', '.join(replaced)}) FROM ({sql})" if replaced else sql
         return f
 
     return register
@@ -143,6 +151,24 @@ def fields_not_planned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.not_planned(days, D.fields(spark), D.daily_plan(spark))
 
 
+@query(with_sql("fields", "plan") + "SELECT name, id FROM fields WHERE id NOT IN (SELECT field_id FROM daily_plan WHERE plan_date = DATE '1998-07-01')")
+def free_field_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which field each name means, among those not yet planned for a day."""
+    planned = D.daily_plan(spark).where(F.col("plan_date") == F.lit(DAY))
+    return P.ids_by_name(D.fields(spark).join(planned, F.col("id") == F.col("field_id"), "left_anti")).select("name", "id")
+
+
+@query(with_sql("plan") + "SELECT plan_date, CAST(field_id AS INTEGER) AS field_id, position FROM daily_plan UNION ALL SELECT DATE '2002-03-01', 13, 1 ORDER BY 1, 3")
+def plan_add_known_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    added = spark.createDataFrame([(datetime.date(2002, 3, 1), 13)], "plan_date date, field_id int")
+    return P.add_known_fields(D.daily_plan(spark), D.plan_days(spark), D.fields(spark), added)[0]
+
+
+@query(with_sql("events_local") + "SELECT event_id, strftime(l, '%Y-%m-%dT%H:%M:%S') || '+02:00' AS local_time FROM events_local")
+def events_local_second(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.table(spark, sf_dir, "events").select("event_id", E.local_second(F.col("ts")).alias("local_time"))
+
+
 @query(with_sql("harvests", "plan") + "SELECT p.plan_date, p.field_id, position, " + ", ".join(f"CAST(coalesce({g}, 0) AS DECIMAL(12,2)) AS {g}" for g in H.GRADES) + ", h.field_id IS NOT NULL AS saved FROM daily_plan p LEFT JOIN harvests h ON h.harvest_date = p.plan_date AND h.field_id = p.field_id", ("a", "b", "c", "xl"))
 def plan_with_harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.with_harvest(D.daily_plan(spark), D.harvests(spark, sf_dir))
@@ -155,7 +181,7 @@ def readings_local_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _AIR = """, air AS (SELECT local_day AS day, min(CASE WHEN element = 'TA' THEN number END) AS t_min, max(CASE WHEN element = 'TA' THEN number END) AS t_max,
-  round(CAST(sum(CASE WHEN element = 'WS10M' THEN CAST(number AS DECIMAL(18,4)) END) AS DOUBLE) / count(CASE WHEN element = 'WS10M' THEN 1 END), 6) AS wind_avg
+  avg(CASE WHEN element = 'WS10M' THEN number END) AS wind_avg
   FROM readings WHERE element IN ('TA', 'WS10M') AND local_day BETWEEN DATE '2024-01-01' AND DATE '2024-01-31' GROUP BY local_day),
 rad AS (SELECT utc_day AS day, arg_max(number, seq) AS radiation FROM readings WHERE element = 'DRQS' AND utc_day BETWEEN DATE '2024-01-01' AND DATE '2024-01-31' GROUP BY utc_day),
 spine AS (SELECT CAST(d AS DATE) AS day FROM (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 1 DAY)) AS d))
@@ -169,7 +195,7 @@ measured AS (SELECT weather_date, 'measured' AS data_kind, t_min AS temp_min_c,
 )
 
 
-@query(with_sql("readings") + _AIR + "SELECT day, t_min, t_max, wind_avg FROM spine LEFT JOIN air USING (day)")
+@query(with_sql("readings") + _AIR + "SELECT day, t_min, t_max, wind_avg FROM spine LEFT JOIN air USING (day)", means=("wind_avg",))
 def weather_daily_measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.day_spine(spark, START, END).join(W.daily_air(D.readings(spark, sf_dir), START, END), "day", "left")
 
@@ -184,7 +210,7 @@ def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.measured(readings, readings, START, END)
 
 
-@query(_MEASURED + "SELECT * FROM measured")
+@query(_MEASURED + "SELECT * FROM measured", means=("wind_avg_ms",))
 def weather_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _measured(spark, sf_dir)
 
@@ -200,7 +226,7 @@ def weather_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.status(days, D.weather(spark, sf_dir)).select("weather_date", "is_complete", F.array_join("missing_fields", ", ").alias("missing"))
 
 
-@query(with_sql("weather") + "SELECT * FROM weather WHERE weather_date BETWEEN DATE '2023-12-21' AND DATE '2024-01-28'", ("precipitation_mm",))
+@query(with_sql("weather") + "SELECT * FROM weather WHERE weather_date BETWEEN DATE '2023-12-21' AND DATE '2024-01-28'", ("precipitation_mm",), ("temp_avg_c", "humidity_avg_pct", "wind_avg_ms"))
 def weather_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.shown(D.weather(spark, sf_dir), TODAY)
 
@@ -210,12 +236,12 @@ def weather_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.counts(D.weather(spark, sf_dir))
 
 
-@query(with_sql("weather") + "SELECT weather_date, temp_min_c, temp_max_c, wind_avg_ms, radiation_mj_m2, CASE WHEN checked THEN 'checked' ELSE 'check' END AS status, check_message FROM weather WHERE data_kind = 'measured' ORDER BY weather_date DESC LIMIT 14")
+@query(with_sql("weather") + "SELECT weather_date, temp_min_c, temp_max_c, wind_avg_ms, radiation_mj_m2, CASE WHEN checked THEN 'checked' ELSE 'check' END AS status, check_message FROM weather WHERE data_kind = 'measured' ORDER BY weather_date DESC LIMIT 14", means=("wind_avg_ms",))
 def weather_last14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.latest_measured(D.weather(spark, sf_dir))
 
 
-@query(with_sql("weather") + "SELECT * FROM weather WHERE weather_date = DATE '2024-01-20'", ("precipitation_mm",))
+@query(with_sql("weather") + "SELECT * FROM weather WHERE weather_date = DATE '2024-01-20'", ("precipitation_mm",), ("temp_avg_c", "humidity_avg_pct", "wind_avg_ms"))
 def weather_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.on_day(D.weather(spark, sf_dir), TODAY)
 
@@ -245,7 +271,7 @@ def upsert_harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_sql("weather") + """, delta AS (SELECT weather_date, CAST(NULL AS DOUBLE) AS temp_min_c, 12.5::DOUBLE AS wind_avg_ms FROM weather WHERE day(weather_date) % 2 = 0 UNION ALL SELECT DATE '2024-03-01', 1.0, 2.0)
 SELECT weather_date, CASE WHEN d.wind_avg_ms IS NOT NULL THEN d.temp_min_c ELSE w.temp_min_c END AS temp_min_c, w.temp_max_c, coalesce(d.wind_avg_ms, w.wind_avg_ms) AS wind_avg_ms, CASE WHEN w.data_kind IS NULL THEN 'measured' ELSE w.data_kind END AS data_kind, coalesce(w.checked, false) AS checked
-FROM weather w FULL JOIN delta d USING (weather_date)""")
+FROM weather w FULL JOIN delta d USING (weather_date)""", means=("wind_avg_ms",))
 def upsert_weather_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A payload of two columns: its nulls overwrite, other columns stay, new rows get defaults."""
     base = D.weather(spark, sf_dir).select("weather_date", "temp_min_c", "temp_max_c", "wind_avg_ms", "data_kind", "checked")

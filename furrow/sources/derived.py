@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from furrow.functions import expressions as E
 from furrow.operators import weather as weather_ops
 
-FIELD_COUNT = 14
+FIELD_COUNT, HARVESTED_FIELDS = 14, 12
 PLAN_START, PLAN_END = datetime.date(1995, 1, 1), datetime.date(2001, 11, 1)
 WEATHER_START, WEATHER_END = datetime.date(2023, 12, 31), datetime.date(2024, 2, 1)
 #: Days from here on count as forecast in the derived weather table.
@@ -31,8 +31,9 @@ def fields(spark: SparkSession, count: int = FIELD_COUNT, prefix: str = "Field "
 
 
 def harvests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity >= 46 AND l_suppkey % 14 + 1 <= 12")
-    lines = lines.select(F.to_date("l_shipdate").alias("harvest_date"), (F.col("l_suppkey") % 14 + 1).cast("int").alias("field_id"), F.col("l_quantity").cast("decimal(12,2)").alias("q"), "l_returnflag", "l_linestatus")
+    """All of lineitem by day and field; the last two fields were never harvested."""
+    lines = table(spark, sf_dir, "lineitem")
+    lines = lines.select(F.to_date("l_shipdate").alias("harvest_date"), (F.col("l_suppkey") % HARVESTED_FIELDS + 1).cast("int").alias("field_id"), F.col("l_quantity").cast("decimal(12,2)").alias("q"), "l_returnflag", "l_linestatus")
     grade = lambda ok: F.sum(F.when(ok, F.col("q")).otherwise(F.lit(0).cast("decimal(12,2)"))).cast("decimal(12,2)")
     flag, status = F.col("l_returnflag"), F.col("l_linestatus")
     daily = lines.groupBy("harvest_date", "field_id").agg(grade(flag == "A").alias("a"), grade(flag == "N").alias("b"), grade((flag == "R") & (status == "F")).alias("c"), grade((flag == "R") & (status == "O")).alias("xl"))
@@ -51,9 +52,9 @@ def plan_days(spark: SparkSession) -> DataFrame:
     return daily_plan(spark).select("plan_date").distinct().withColumn("initialized", F.lit(True))
 
 
-def readings(spark: SparkSession, sf_dir: str, users: int = 20) -> DataFrame:
+def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly station readings in long format, with their order of arrival as ``seq``."""
-    events = table(spark, sf_dir, "events").where(F.col("user_id") < users)
+    events = table(spark, sf_dir, "events")
     element = F.create_map(*[F.lit(x) for pair in ELEMENTS.items() for x in pair])[F.col("event_type")]
     ts = F.col("ts")
     return events.select(
@@ -69,15 +70,15 @@ def readings(spark: SparkSession, sf_dir: str, users: int = 20) -> DataFrame:
 
 
 def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").where("user_id < 2").withColumn("weather_date", E.local_day(F.col("ts")))
+    events = table(spark, sf_dir, "events").withColumn("weather_date", E.local_day(F.col("ts")))
     value = lambda kind: F.when(F.col("event_type") == kind, F.col("value"))
     daily = events.groupBy("weather_date").agg(
-        E.exact_mean(value("click")).alias("temp_avg_c"),
+        F.avg(value("click")).alias("temp_avg_c"),
         F.min(value("click")).alias("temp_min_c"),
         F.max(value("click")).alias("temp_max_c"),
-        F.when(F.count(value("signup")) > 0, F.least(F.lit(100.0), E.exact_mean(value("signup")))).alias("humidity_avg_pct"),
+        F.when(F.count(value("signup")) > 0, F.least(F.lit(100.0), F.avg(value("signup")))).alias("humidity_avg_pct"),
         F.sum(value("error").cast("decimal(12,2)")).cast("decimal(12,2)").alias("precipitation_mm"),
-        E.exact_mean(value("view")).alias("wind_avg_ms"),
+        F.avg(value("view")).alias("wind_avg_ms"),
         F.max(value("view")).alias("wind_gust_ms"),
         F.max_by(value("purchase") / 4, F.when(F.col("event_type") == "purchase", F.col("event_id"))).alias("radiation_mj_m2"),
     )
@@ -89,7 +90,7 @@ def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mean(value: str) -> str:
-    return f"round(CAST(sum(CAST({value} AS DECIMAL(18,4))) AS DOUBLE) / count({value}), 6)"
+    return f"avg({value})"
 
 
 def _problem(value: str, low: int, high: int, name: str) -> str:
@@ -104,8 +105,9 @@ def problems_sql(t_min: str, t_max: str, wind: str, radiation: str) -> str:
 _LOCAL = "CAST(ts AT TIME ZONE 'UTC' AT TIME ZONE 'Europe/Tallinn' AS DATE)"
 WITH = {
     "fields": "fields AS (SELECT CAST(i AS INTEGER) AS id, 'Field ' || i AS name FROM range(1, 15) t(i))",
-    "harvests": """lines AS (SELECT CAST(l_shipdate AS DATE) AS harvest_date, CAST(l_suppkey % 14 + 1 AS INTEGER) AS field_id, CAST(l_quantity AS DECIMAL(12,2)) AS q, l_returnflag AS f, l_linestatus AS s
-  FROM lineitem WHERE l_quantity >= 46 AND l_suppkey % 14 + 1 <= 12),
+    "events_local": "events_local AS (SELECT event_id, ts AT TIME ZONE 'UTC' AT TIME ZONE 'Europe/Tallinn' AS l FROM events)",
+    "harvests": """lines AS (SELECT CAST(l_shipdate AS DATE) AS harvest_date, CAST(l_suppkey % 12 + 1 AS INTEGER) AS field_id, CAST(l_quantity AS DECIMAL(12,2)) AS q, l_returnflag AS f, l_linestatus AS s
+  FROM lineitem),
 daily_harvest AS (SELECT harvest_date, field_id,
   CAST(sum(CASE WHEN f = 'A' THEN q ELSE 0 END) AS DECIMAL(12,2)) AS a, CAST(sum(CASE WHEN f = 'N' THEN q ELSE 0 END) AS DECIMAL(12,2)) AS b,
   CAST(sum(CASE WHEN f = 'R' AND s = 'F' THEN q ELSE 0 END) AS DECIMAL(12,2)) AS c, CAST(sum(CASE WHEN f = 'R' AND s = 'O' THEN q ELSE 0 END) AS DECIMAL(12,2)) AS xl
@@ -116,13 +118,13 @@ harvests AS (SELECT harvest_date, field_id, coalesce(CAST(harvest_date - lag(har
        (SELECT CAST(i AS INTEGER) AS field_id FROM range(1, 15) t(i)) WHERE (field_id + month(plan_date)) % 4 = 0)""",
     "readings": f"""readings AS (SELECT 'Station ' || user_id AS station, value / 4 AS number, CASE event_type WHEN 'click' THEN 'TA' WHEN 'view' THEN 'WS10M' WHEN 'purchase' THEN 'DRQS' END AS element,
   event_id AS seq, CAST(ts AS DATE) AS utc_day, CAST(date_trunc('hour', ts) AT TIME ZONE 'UTC' AT TIME ZONE 'Europe/Tallinn' AS DATE) AS local_day
-  FROM events WHERE user_id < 20 AND event_type IN ('click', 'view', 'purchase'))""",
+  FROM events WHERE event_type IN ('click', 'view', 'purchase'))""",
     "weather": f"""daily_weather AS (SELECT {_LOCAL} AS weather_date,
   {_mean("CASE WHEN event_type = 'click' THEN value END")} AS temp_avg_c, min(CASE WHEN event_type = 'click' THEN value END) AS temp_min_c, max(CASE WHEN event_type = 'click' THEN value END) AS temp_max_c,
   {_mean("CASE WHEN event_type = 'signup' THEN value END")} AS humidity, CAST(sum(CASE WHEN event_type = 'error' THEN CAST(value AS DECIMAL(12,2)) END) AS DECIMAL(12,2)) AS precipitation_mm,
   {_mean("CASE WHEN event_type = 'view' THEN value END")} AS wind_avg_ms, max(CASE WHEN event_type = 'view' THEN value END) AS wind_gust_ms,
   arg_max(value / 4, event_id) FILTER (WHERE event_type = 'purchase') AS radiation_mj_m2
-  FROM events WHERE user_id < 2 GROUP BY 1),
+  FROM events GROUP BY 1),
 w0 AS (SELECT s.weather_date, temp_avg_c, temp_min_c, temp_max_c, CASE WHEN humidity IS NOT NULL THEN least(100.0::DOUBLE, humidity) END AS humidity_avg_pct, precipitation_mm, wind_avg_ms, wind_gust_ms, radiation_mj_m2,
   CASE WHEN s.weather_date < DATE '2024-01-25' THEN 'measured' ELSE 'forecast' END AS data_kind, {problems_sql("temp_min_c", "temp_max_c", "wind_avg_ms", "radiation_mj_m2")} AS problems
   FROM (SELECT CAST(d AS DATE) AS weather_date FROM (SELECT unnest(generate_series(DATE '2023-12-31', DATE '2024-02-01', INTERVAL 1 DAY)) AS d)) s LEFT JOIN daily_weather d USING (weather_date)),

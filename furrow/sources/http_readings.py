@@ -1,11 +1,19 @@
-"""Station readings from a public JSON service, as a Python data source: one partition for each element and month.
+"""Station readings and forecasts from public JSON services, as Python data sources.
+
+Readings have one partition for each element and month:
 
     spark.dataSource.register(StationReadings)
     spark.read.format("station_readings").option("url", ...).option("station", ...).option("elements", "TA,WS10M")
         .option("start", "2024-07-01").option("end", "2024-08-19").load()
 
 Station, element, year and month are sent with each request, so the service filters; requests run in parallel on
-the executors.  A reply that isn't a list of readings is an error.
+the executors.  A reply that isn't a list of readings is an error, or with ``lenient`` no readings, as it is for
+daily radiation.
+
+    spark.read.format("forecast_payload").option("url", ...).option("latitude", ...).option("longitude", ...)
+        .option("start", "2024-08-20").load()
+
+gives the forecast's reply as one row (json) for ``furrow.operators.weather.forecast``.
 """
 
 from __future__ import annotations
@@ -59,6 +67,8 @@ class StationReader(DataSourceReader):
         with urllib.request.urlopen(f"{self.options['url']}?{urllib.parse.urlencode(asked)}", timeout=TIMEOUT_S) as reply:
             rows = json.load(reply)
         if not isinstance(rows, list):
+            if self.options.get("lenient", "false") == "true":
+                return
             raise ValueError("the service did not return a list of readings")
         whole = lambda x: None if x in (None, "") else int(x)
         for r in rows:
@@ -76,3 +86,35 @@ class StationReadings(DataSource):
 
     def reader(self, schema) -> StationReader:  # noqa: ANN001
         return StationReader(dict(self.options))
+
+
+# What is asked of the forecast service, and for how many days.
+FORECAST_ASKED = {"timezone": "Europe/Tallinn", "daily": "temperature_2m_min,temperature_2m_max,shortwave_radiation_sum", "hourly": "wind_speed_10m", "wind_speed_unit": "ms"}
+FORECAST_DAYS = 9
+
+
+class ForecastReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]) -> None:
+        self.options = options
+
+    def read(self, partition: InputPartition) -> Iterator[tuple[str]]:
+        start = datetime.date.fromisoformat(self.options["start"])
+        end = start + datetime.timedelta(days=int(self.options.get("days", FORECAST_DAYS)) - 1)
+        asked = {"latitude": self.options["latitude"], "longitude": self.options["longitude"], "start_date": start.isoformat(), "end_date": end.isoformat()} | FORECAST_ASKED
+        with urllib.request.urlopen(f"{self.options['url']}?{urllib.parse.urlencode(asked)}", timeout=TIMEOUT_S) as reply:
+            payload = json.load(reply)
+        if not isinstance(payload, dict):
+            raise ValueError("the service did not return a forecast")
+        yield (json.dumps(payload),)
+
+
+class ForecastPayload(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "forecast_payload"
+
+    def schema(self) -> str:
+        return "json string"
+
+    def reader(self, schema) -> ForecastReader:  # noqa: ANN001
+        return ForecastReader(dict(self.options))

@@ -76,3 +76,17 @@ def test_marked_days_are_added_once(spark):
     old = spark.createDataFrame([(DAY, True)], "plan_date date, initialized boolean")
     days = spark.createDataFrame([(DAY,), (D(2024, 8, 5),), (D(2024, 8, 5),)], "plan_date date")
     assert sorted(tuple(r) for r in P.marked(old, days).collect()) == [(DAY, True), (D(2024, 8, 5), True)]
+
+
+def test_adding_a_field_marks_the_day_and_refuses_unknown_ones(spark):
+    day = datetime.date(2024, 1, 1)
+    plan = spark.createDataFrame([], "plan_date date, field_id int, position int")
+    days = spark.createDataFrame([], "plan_date date, initialized boolean")
+    fields = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b")], "id int, name string")
+    added = spark.createDataFrame([(day, 2)], "plan_date date, field_id int")
+    new_plan, new_days = P.add_known_fields(plan, days, fields, added)
+    assert [tuple(r) for r in new_plan.collect()] == [(day, 2, 1)] and [tuple(r) for r in new_days.collect()] == [(day, True)]
+    for wrong in P.add_known_fields(plan, days, fields, spark.createDataFrame([(day, 9)], "plan_date date, field_id int")):
+        with pytest.raises(Exception, match="unknown field 9"):
+            wrong.collect()
+    assert sorted(tuple(r) for r in P.ids_by_name(fields).collect()) == [("a", 1), ("b", 3)]

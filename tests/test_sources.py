@@ -37,6 +37,35 @@ def test_one_request_for_each_element_and_month(monkeypatch):
     monkeypatch.setattr(http_readings.urllib.request, "urlopen", lambda url, timeout: io.BytesIO(b"{}"))
     with pytest.raises(ValueError):
         list(reader.read(parts[0]))
+    reader.options["lenient"] = "true"
+    assert list(reader.read(parts[0])) == []
+
+
+def test_a_forecast_is_one_payload(monkeypatch):
+    asked = []
+
+    def reply(url, timeout):
+        asked.append(url)
+        return io.BytesIO(b'{"daily": {"time": ["2024-08-20"]}}')
+
+    monkeypatch.setattr(http_readings.urllib.request, "urlopen", reply)
+    source = http_readings.ForecastPayload({"url": "http://test", "latitude": "58.1", "longitude": "25.5", "start": "2024-08-20"})
+    reader = source.reader(None)
+    assert [json.loads(r[0]) for r in reader.read(None)] == [{"daily": {"time": ["2024-08-20"]}}]
+    assert "start_date=2024-08-20" in asked[0] and "end_date=2024-08-28" in asked[0] and "wind_speed_unit=ms" in asked[0]
+    monkeypatch.setattr(http_readings.urllib.request, "urlopen", lambda url, timeout: io.BytesIO(b"[]"))
+    with pytest.raises(ValueError):
+        list(reader.read(None))
+
+
+def test_hourly_means_close_behind_the_watermark(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    at = lambda day, hour, value: json.dumps({"station": "s", "year": 2024, "month": 7, "day": day, "hour": hour, "value": value, "element": "TA"})
+    (src / "a.json").write_text("\n".join([at(1, 1, "5"), at(1, 1, "7"), at(1, 2, "1"), at(2, 9, "3")]))
+    means = ingest.hourly_means(ingest.readings_stream(spark, str(src)))
+    means.writeStream.format("memory").queryName("means").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r["window"].start.hour, r["mean"], r["readings"]) for r in spark.table("means").collect()) == [(1, 6.0, 2), (2, 1.0, 1)]
 
 
 def test_a_stream_of_files_is_upserted_by_day(spark, tmp_path):

@@ -106,3 +106,81 @@ def test_constraints_count_what_breaks_them(spark):
 def test_columns_are_added_with_their_value(spark):
     got = U.with_columns_added(spark.createDataFrame([(1,)], "k int"), {"k": ("int", 9), "checked": ("boolean", False)})
     assert [tuple(r) for r in got.collect()] == [(1, False)]
+
+
+def test_means_are_plain_and_judged_afterwards(spark):
+    row = lambda day, hour, value: ("s", 2024, 2, day, hour, value, "WS10M", hour)
+    rows = [row(1, 1, "1.23456"), row(1, 2, "1.23457"), row(2, 1, "1e300"), row(2, 2, "1e300"), row(3, 1, "Infinity"), row(3, 2, "1")]
+    readings = spark.createDataFrame(rows, READINGS)
+    got = {r["weather_date"].day: r for r in W.measured(readings, readings, D(2024, 2, 1), D(2024, 2, 3)).collect()}
+    assert got[1]["wind_avg_ms"] == pytest.approx(1.234565, abs=1e-12)
+    assert got[2]["wind_avg_ms"] == 1e300 and "wind_implausible" in got[2]["check_message"]
+    assert got[3]["wind_avg_ms"] == float("inf") and "wind_implausible" in got[3]["check_message"]
+
+
+def test_repeated_and_null_keys_of_a_write(spark):
+    base = spark.createDataFrame([(1, 10)], "k int, a int")
+    twice = spark.createDataFrame([(1, 20, 1), (1, 30, 2), (2, 5, 1)], "k int, a int, at int")
+    with pytest.raises(Exception, match="written twice"):
+        U.upsert(base, twice, ["k"], ["a"]).collect()
+    assert sorted(tuple(r) for r in U.upsert(base, twice, ["k"], ["a"], order="at").collect()) == [(1, 30), (2, 5)]
+    with pytest.raises(Exception, match="a null in a key"):
+        U.upsert(base, spark.createDataFrame([(None, 1)], "k int, a int"), ["k"], ["a"]).collect()
+
+
+def test_a_write_stamps_its_rows(spark):
+    base = spark.createDataFrame([(1, 10, "old", "old"), (2, 20, "old", "old")], "k int, a int, created_at string, updated_at string")
+    got = U.upsert(base, spark.createDataFrame([(2, 21), (3, 30)], "k int, a int"), ["k"], ["a"], now=F.lit("now"))
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 10, "old", "old"), (2, 21, "old", "now"), (3, 30, "now", "now")]
+
+
+def test_a_station_is_found_by_its_text_alone(spark):
+    rows = spark.createDataFrame([("100% Hill",), ("100 Hill",), ("a_b",), ("axb",)], "station string")
+    assert [r[0] for r in W.of_station(rows, "100% h").collect()] == ["100% Hill"]
+    assert [r[0] for r in W.of_station(rows, "A_B").collect()] == ["a_b"]
+
+
+def test_months_reach_the_scan(spark, tmp_path):
+    spark.createDataFrame([("s", 2024, m, 1, 1, "1", "TA", m) for m in range(1, 13)], READINGS).write.parquet(f"{tmp_path}/r")
+    stored = spark.read.parquet(f"{tmp_path}/r")
+    air = W.daily_air(stored, D(2024, 7, 1), D(2024, 8, 1))
+    plan = air._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(month," in plan.split("PushedFilters")[1]
+    assert {r["day"] for r in air.collect()} == {D(2024, 7, 1), D(2024, 8, 1)}
+    assert stored.where(W.near_months(D(2023, 11, 5), D(2024, 2, 1))).count() == 2
+
+
+def test_small_conversions(spark):
+    row = spark.range(1).select(E.season_start(F.lit(D(2024, 3, 5))).alias("s"), E.blank_to_null(F.lit("  ")).alias("b"), E.blank_to_null(F.lit(" x ")).alias("x"), *[E.local_second(F.to_timestamp_ntz(F.lit(t))).alias(n) for n, t in (("summer", "2024-07-03 07:00:05"), ("winter", "2024-01-03 22:30:00"))]).first()
+    assert tuple(row) == (D(2024, 7, 1), None, "x", "2024-07-03T10:00:05+03:00", "2024-01-04T00:30:00+02:00")
+
+
+class Tables:
+    """A store whose tables are rows in the driver."""
+
+    def __init__(self, spark):
+        schema = "weather_date date, source_station string, radiation_station string, temp_min_c double, temp_max_c double, wind_avg_ms double, radiation_mj_m2 double, data_kind string, checked boolean, check_message string, created_at timestamp, updated_at timestamp"
+        self.held = {"weather": spark.createDataFrame([], schema), "settings": spark.createDataFrame([], "key string, value string")}
+        save = lambda name: lambda df: self.held.__setitem__(name, spark.createDataFrame(df.collect(), df.schema))
+        self.store = R.Store(lambda: self.held["weather"], save("weather"), lambda: self.held["settings"], save("settings"))
+
+    def setting(self):
+        return {r["key"]: r["value"] for r in self.held["settings"].collect()}
+
+
+def test_a_guarded_refresh_keeps_what_was_written_before_an_error(spark):
+    now = datetime.datetime(2024, 7, 3, 10, 0, 5, 999, tzinfo=datetime.timezone(datetime.timedelta(hours=3)))
+    readings = spark.createDataFrame([("s", 2024, 7, 1, 10, "12", "TA", 1), ("s", 2024, 7, 1, 11, "3", "WS10M", 2), ("c", 2024, 7, 1, 0, "20", "DRQS", 3)], READINGS)
+    payload = '{"daily":{"time":["2024-07-03"],"temperature_2m_min":[1],"temperature_2m_max":[2],"shortwave_radiation_sum":[4]}}'
+    tables = Tables(spark)
+    broken = spark.range(1).select(F.raise_error(F.lit("no network")).cast("string").alias("json"))
+    got = R.safe_refresh_all(tables.store, readings, readings, broken, now)
+    assert "no network" in got["error"] and "no network" in tables.setting()["weather_last_error"]
+    assert {r["weather_date"].day for r in tables.held["weather"].collect()} == {1, 2}
+    good = spark.createDataFrame([(payload,)], "json string")
+    assert R.safe_refresh_all(tables.store, readings, readings, good, now) == {"measured": {"saved": 2, "checked": 1}, "forecast": {"saved": 1}}
+    assert tables.setting() == {"weather_last_error": "", "weather_last_refresh_at": "2024-07-03T10:00:05+03:00"}
+    rows = {r["weather_date"].day: r for r in tables.held["weather"].collect()}
+    assert rows[3]["data_kind"] == "forecast" and all(r["created_at"] is not None and r["updated_at"] is not None for r in rows.values())
+    spring = R.refresh_all(Tables(spark).store, readings, readings, good, now.replace(month=5))
+    assert spring["measured"] == {"saved": 0, "checked": 0}
