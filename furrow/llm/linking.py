@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from furrow.llm import textkit
-from furrow.llm.session import few, joined_by_size, parallelism, prepared, settled
+from furrow.llm.session import few, joined_by_size, parallelism, prepared, settled, small
 
 #: Nodes of a bucket in one block; a group has at most two blocks.
 BLOCK = 256
@@ -255,9 +255,9 @@ def _shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "h1 long, h2 long, shingles binary")
 
 
-def _first_groups(keyed: DataFrame, small: DataFrame, large: DataFrame) -> DataFrame:
+def _first_groups(keyed: DataFrame, others: DataFrame, large: DataFrame) -> DataFrame:
     """Members of small buckets, each bucket a group; of large ones, each block with the pivot."""
-    whole = keyed.join(small, "bucket").select("bucket", F.lit(0).alias("bi"), F.lit(0).alias("bj"), F.lit(True).alias("left"), F.lit(False).alias("pivot"), "band", "h1", "h2")
+    whole = keyed.join(others, "bucket").select("bucket", F.lit(0).alias("bi"), F.lit(0).alias("bj"), F.lit(True).alias("left"), F.lit(False).alias("pivot"), "band", "h1", "h2")
     members = keyed.join(large, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     members = members.withColumn("pivot", F.xxhash64("h1", "h2", "band") == F.col("first"))
     own = F.pmod(F.xxhash64("h1", "h2", F.lit("block")), "blocks").cast("int")
@@ -282,21 +282,28 @@ def _other_groups(members: DataFrame) -> DataFrame:
     return dealt.select("bucket", "g.bi", "g.bj", "g.left", F.lit(False).alias("pivot"), "band", "h1", "h2").select(*_MEMBER)
 
 
-def _links(members: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, threshold: float, signature: Signature) -> DataFrame:
-    """(u, v): confirmed links of the groups, enough of them to connect what the groups' links connect."""
+def _linked(members: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, threshold: float, signature: Signature, known: DataFrame | None = None) -> DataFrame:
+    """(node, root) of what the confirmed links of the groups connect, together with ``known`` links (u, v).
+
+    What several steps read is persisted meanwhile; a lost executor's part is computed again from the nodes.
+    """
     least, ratio = signature.least_equal(threshold), Fraction(threshold).limit_denominator(1000)
-    members = settled(members)
-    nodes = settled(nodes.join(few(members.select("h1", "h2").distinct()), ["h1", "h2"], "left_semi"))
+    members = members.persist()
+    nodes = nodes.join(few(members.select("h1", "h2").distinct()), ["h1", "h2"], "left_semi").persist()
     sigs = nodes.select("h1", "h2", "sig")
     likely = _grouped(members.join(sigs, ["h1", "h2"])).mapInArrow(_candidates(signature, least), "bucket long, bi int, bj int, left boolean, pivot boolean, band int, h1 long, h2 long")
-    likely = settled(likely)
+    likely = likely.persist()
     chosen = likely.select("h1", "h2").distinct()
     wanted = few(nodes.join(chosen, ["h1", "h2"], "left_semi").select(F.col("min_id").alias("wanted_id")).distinct())
     texts = docs.join(wanted, docs.doc_id.eqNullSafe(F.col("wanted_id")), "left_semi")
     full = _shingle_sets(texts, k).join(chosen, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("shingles").alias("shingles"))
     rows = likely.join(sigs, ["h1", "h2"]).join(full, ["h1", "h2"])
     found = _grouped(rows).mapInArrow(_confirm(signature, least, ratio), "a1 long, a2 long, b1 long, b2 long")
-    return found.select(_name("a1", "a2").alias("u"), _name("b1", "b2").alias("v"))
+    links = found.select(_name("a1", "a2").alias("u"), _name("b1", "b2").alias("v"))
+    out = connected(links if known is None else links.unionByName(known))
+    for held in (members, nodes, likely):
+        held.unpersist()
+    return out
 
 
 def _name(a: str, b: str) -> F.Column:
@@ -310,18 +317,17 @@ def roots(docs: DataFrame, nodes: DataFrame, k: int, threshold: float, signature
     keyed = nodes.select("h1", "h2", F.posexplode(pieces).alias("band", "piece")).select("h1", "h2", "band", F.xxhash64("band", "piece").alias("bucket"))
     sizes = keyed.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.xxhash64("h1", "h2", "band")).alias("first"))
     large = few(sizes.where(F.col("size") > BLOCK))
-    small = sizes.where(F.col("size").between(2, BLOCK)).select("bucket")
-    found = connected(_links(_first_groups(keyed, small, large), docs, nodes, k, threshold, signature))
+    others = sizes.where(F.col("size").between(2, BLOCK)).select("bucket")
+    found = _linked(_first_groups(keyed, others, large), docs, nodes, k, threshold, signature)
     if large.isEmpty():
         return found
     members = keyed.join(large.select("bucket"), "bucket").withColumn("node", _name("h1", "h2")).join(found, "node", "left").select("bucket", "band", "h1", "h2", F.xxhash64(F.coalesce("root", "node")).alias("part"))
-    more = _links(_other_groups(members), docs, nodes, k, threshold, signature)
-    return connected(more.unionByName(found.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+    return _linked(_other_groups(members), docs, nodes, k, threshold, signature, found.select(F.col("node").alias("u"), F.col("root").alias("v")))
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """(node, root): the least node of each edge's component, by rounds of large-star and small-star over columns u, v."""
-    edges = settled(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    edges = small(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     total = edges.count()
     files = -(-total // EDGES_PER_FILE) or 1  # the rounds' edges are no more
     of_each = (F.min("v").alias("m"), F.count("*").alias("n"))
@@ -331,8 +337,8 @@ def connected(edges: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(*of_each).select("u", F.least("u", "m").alias("m"), "n")
         large = joined_by_size(both.where("v > u"), least, ["u"], total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(*of_each)
-        small = joined_by_size(large, least, ["u"], total).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        edges = settled(small.coalesce(files))
+        stars = joined_by_size(large, least, ["u"], total).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        edges = settled(stars.coalesce(files))
         state = tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31)))).first())
         if state == seen:
             break

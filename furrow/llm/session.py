@@ -45,9 +45,14 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small(rows: DataFrame) -> DataFrame:
+    """Narrow rows that a shuffle has just brought together, settled in an eighth as many files."""
+    return settled(rows.coalesce(-(-parallelism(rows.sparkSession) // 8)))
+
+
 def few(rows: DataFrame) -> DataFrame:
     """The rows, settled, for a join: broadcast if they are few enough."""
-    rows = settled(rows)
+    rows = small(rows)
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
