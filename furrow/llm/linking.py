@@ -27,12 +27,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from furrow.llm import textkit
-from furrow.llm.session import few, joined_by_size, parallelism, prepared, settled, small
+from furrow.llm.session import few, files_for, joined_by_size, parallelism, prepared, settled
 
 #: Nodes of a bucket in one block; a group has at most two blocks.
 BLOCK = 256
-#: Edges of a component search in one file of a checkpoint.
-EDGES_PER_FILE = 200_000
 #: Pairs whose signatures are compared at once.
 _PAIRS = 1 << 13
 _MEMBER = ["bucket", "bi", "bj", "left", "pivot", "band", "h1", "h2"]
@@ -267,10 +265,10 @@ def _first_groups(keyed: DataFrame, others: DataFrame, large: DataFrame) -> Data
     return whole.unionByName(dealt).select(*_MEMBER)
 
 
-def _other_groups(members: DataFrame) -> DataFrame:
+def _other_groups(members: DataFrame, files: int) -> DataFrame:
     """Of large buckets' members with their component so far: the ones outside the largest meet it and one another."""
     parts = members.groupBy("bucket", "part").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("part", "n").alias("largest"), F.max("n").alias("most"), F.sum("n").alias("size"))
-    open_ones = few(parts.where("most < size"))
+    open_ones = few(parts.where("most < size"), files)
     dealt = members.join(open_ones, "bucket").withColumn("few", F.col("part") != F.col("largest"))
     few_blocks, most_blocks = (F.ceil(n / BLOCK).cast("int") for n in (F.col("size") - F.col("most"), F.col("most")))
     own = F.pmod(F.xxhash64("h1", "h2", F.lit("other")), F.when(F.col("few"), few_blocks).otherwise(most_blocks)).cast("int")
@@ -285,25 +283,23 @@ def _other_groups(members: DataFrame) -> DataFrame:
 def _linked(members: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, threshold: float, signature: Signature, known: DataFrame | None = None) -> DataFrame:
     """(node, root) of what the confirmed links of the groups connect, together with ``known`` links (u, v).
 
-    What several steps read is persisted meanwhile; a lost executor's part is computed again from the nodes.
+    Tables are settled in as many files as the number of nodes is worth; no fewer tasks work on a large one.
     """
+    files = files_for(nodes.count())
     least, ratio = signature.least_equal(threshold), Fraction(threshold).limit_denominator(1000)
-    members = members.persist()
-    nodes = nodes.join(few(members.select("h1", "h2").distinct()), ["h1", "h2"], "left_semi").persist()
+    members = settled(members.coalesce(files))
+    nodes = settled(nodes.join(few(members.select("h1", "h2").distinct(), files), ["h1", "h2"], "left_semi").coalesce(files))
     sigs = nodes.select("h1", "h2", "sig")
     likely = _grouped(members.join(sigs, ["h1", "h2"])).mapInArrow(_candidates(signature, least), "bucket long, bi int, bj int, left boolean, pivot boolean, band int, h1 long, h2 long")
-    likely = likely.persist()
+    likely = settled(likely.coalesce(files))
     chosen = likely.select("h1", "h2").distinct()
-    wanted = few(nodes.join(chosen, ["h1", "h2"], "left_semi").select(F.col("min_id").alias("wanted_id")).distinct())
+    wanted = few(nodes.join(chosen, ["h1", "h2"], "left_semi").select(F.col("min_id").alias("wanted_id")).distinct(), files)
     texts = docs.join(wanted, docs.doc_id.eqNullSafe(F.col("wanted_id")), "left_semi")
     full = _shingle_sets(texts, k).join(chosen, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("shingles").alias("shingles"))
     rows = likely.join(sigs, ["h1", "h2"]).join(full, ["h1", "h2"])
     found = _grouped(rows).mapInArrow(_confirm(signature, least, ratio), "a1 long, a2 long, b1 long, b2 long")
     links = found.select(_name("a1", "a2").alias("u"), _name("b1", "b2").alias("v"))
-    out = connected(links if known is None else links.unionByName(known))
-    for held in (members, nodes, likely):
-        held.unpersist()
-    return out
+    return connected(links if known is None else links.unionByName(known), files)
 
 
 def _name(a: str, b: str) -> F.Column:
@@ -316,20 +312,24 @@ def roots(docs: DataFrame, nodes: DataFrame, k: int, threshold: float, signature
     pieces = F.array(*[F.substring("sig", 1 + b * width, width) for b in range(signature.bands)])
     keyed = nodes.select("h1", "h2", F.posexplode(pieces).alias("band", "piece")).select("h1", "h2", "band", F.xxhash64("band", "piece").alias("bucket"))
     sizes = keyed.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.xxhash64("h1", "h2", "band")).alias("first"))
-    large = few(sizes.where(F.col("size") > BLOCK))
+    files = files_for(nodes.count())
+    large = few(sizes.where(F.col("size") > BLOCK), files)
     others = sizes.where(F.col("size").between(2, BLOCK)).select("bucket")
     found = _linked(_first_groups(keyed, others, large), docs, nodes, k, threshold, signature)
     if large.isEmpty():
         return found
     members = keyed.join(large.select("bucket"), "bucket").withColumn("node", _name("h1", "h2")).join(found, "node", "left").select("bucket", "band", "h1", "h2", F.xxhash64(F.coalesce("root", "node")).alias("part"))
-    return _linked(_other_groups(members), docs, nodes, k, threshold, signature, found.select(F.col("node").alias("u"), F.col("root").alias("v")))
+    return _linked(_other_groups(members, files), docs, nodes, k, threshold, signature, found.select(F.col("node").alias("u"), F.col("root").alias("v")))
 
 
-def connected(edges: DataFrame) -> DataFrame:
-    """(node, root): the least node of each edge's component, by rounds of large-star and small-star over columns u, v."""
-    edges = small(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+def connected(edges: DataFrame, files: int) -> DataFrame:
+    """(node, root): the least node of each edge's component, by rounds of large-star and small-star over columns u, v.
+
+    The edges are first settled in ``files`` files.
+    """
+    edges = settled(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct().coalesce(files))
     total = edges.count()
-    files = -(-total // EDGES_PER_FILE) or 1  # the rounds' edges are no more
+    files = files_for(total)  # the rounds' edges are no more
     of_each = (F.min("v").alias("m"), F.count("*").alias("n"))
     seen = None
     while True:
@@ -348,7 +348,8 @@ def connected(edges: DataFrame) -> DataFrame:
 
 def _rooted(signed: DataFrame, texts: DataFrame, k: int, threshold: float, signature: Signature) -> DataFrame:
     """(h1, h2, min_id, root) of every node; a node without links is its own root."""
-    nodes = settled(signed.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("min_id"), F.first("sig").alias("sig")))
+    nodes = signed.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("min_id"), F.first("sig").alias("sig"))
+    nodes = settled(nodes.coalesce(files_for(signed.count())))
     named = nodes.select("h1", "h2", "min_id", _name("h1", "h2").alias("node")).join(roots(texts, nodes, k, threshold, signature), "node", "left")
     return named.withColumn("root", F.coalesce("root", "node"))
 

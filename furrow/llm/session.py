@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Texts in one Arrow batch; long texts make large batches.
 ROWS_PER_BATCH = 1000
+#: Rows of a table in one task and file, where the number of rows is known; larger tables keep their partitions.
+ROWS_PER_FILE = 16_000
 #: Rows of up to 50 bytes that may be broadcast after a count; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 #: A key is hot beyond so many rows, or beyond that share of all rows; so there are at most as many hot keys.
@@ -45,14 +47,14 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small(rows: DataFrame) -> DataFrame:
-    """Narrow rows that a shuffle has just brought together, settled in an eighth as many files."""
-    return settled(rows.coalesce(-(-parallelism(rows.sparkSession) // 8)))
+def files_for(rows: int) -> int:
+    """How many tasks and files so many rows are worth."""
+    return max(1, -(-rows // ROWS_PER_FILE))
 
 
-def few(rows: DataFrame) -> DataFrame:
+def few(rows: DataFrame, files: int | None = None) -> DataFrame:
     """The rows, settled, for a join: broadcast if they are few enough."""
-    rows = small(rows)
+    rows = settled(rows if files is None else rows.coalesce(files))
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 

@@ -150,7 +150,7 @@ def test_one_of_each_group_with_clashing_columns(spark):
 def test_components_of_a_star_a_chain_and_a_clique(spark, monkeypatch):
     monkeypatch.setattr(session, "HOT_ROWS", 3)  # so that the star's centre meets its neighbours by broadcast
     pairs = [("c", f"s{i:02}") for i in range(20)] + [(f"k{i:02}", f"k{i + 1:02}") for i in range(30)] + [(f"q{i}", f"q{j}") for i in range(5) for j in range(i)]
-    got = dict(rows_of(linking.connected(spark.createDataFrame(pairs, "u string, v string"))))
+    got = dict(rows_of(linking.connected(spark.createDataFrame(pairs, "u string, v string"), 2)))
     assert got == {**{f"s{i:02}": "c" for i in range(20)}, **{f"k{i:02}": "k00" for i in range(1, 31)}, **{f"q{i}": "q0" for i in range(1, 5)}}
 
 
