@@ -13,6 +13,7 @@ empty table gives no pieces.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -78,20 +79,22 @@ class WordTokens:
         return textkit.kept(path, lambda: cls(path))
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the task has one core
         self.tokenizer = Tokenizer.from_file(path)
+        self.id_type = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.reset()
 
     def reset(self) -> None:
         self.key = np.zeros(1 << self.SLOT_BITS, np.uint64)
         self.count = np.zeros(1 << self.SLOT_BITS, np.int32)
         self.at = np.zeros(1 << self.SLOT_BITS, np.int32)
-        self.pool = np.zeros(1 << 16, np.uint32)
+        self.pool = np.zeros(1 << 16, self.id_type)
         self.used = 0
 
     def _store(self, ids: np.ndarray) -> int:
         at, self.used = self.used, self.used + len(ids)
         if self.used > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), np.uint32)])
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), self.id_type)])
         self.pool[at : self.used] = ids
         return at
 
@@ -112,9 +115,9 @@ class WordTokens:
             _, head, back = np.unique(hashes[new], return_index=True, return_inverse=True)
             head = new[head]
             units = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[head].tolist(), ends[head].tolist(), strict=True)]
-            ids = [c.ids for lo in range(0, len(units), 1000) for c in self.tokenizer.encode_batch(units[lo : lo + 1000], add_special_tokens=False)]
+            ids = [c.ids for lo in range(0, len(units), 1000) for c in self.tokenizer.encode_batch_fast(units[lo : lo + 1000], add_special_tokens=False)]
             n = np.array([len(x) for x in ids], np.int64)
-            begin = self._store(np.array([i for x in ids for i in x], np.uint32)) + np.cumsum(n) - n
+            begin = self._store(np.array([i for x in ids for i in x], self.id_type)) + np.cumsum(n) - n
             self.key[slot[head]], self.count[slot[head]], self.at[slot[head]] = hashes[head], n, begin
             count[new], at[new] = n[back], begin[back]
         ids = self.pool[np.repeat(at, count) + textkit._within(count)] if len(count) else self.pool[:0]

@@ -60,7 +60,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_TABLES["pow"]) < n:
-        size = 1 << n.bit_length()
+        size = 1 << int(n).bit_length()
         for name, base in (("pow", _BASE), ("inv", _INVERSE)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
@@ -117,12 +117,24 @@ def words(data: np.ndarray, off: np.ndarray, separators: np.ndarray = SPACE) ->
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
-    """64-bit hashes of the words (A-Z as a-z if ``fold``), by prefix sums of a polynomial hash."""
-    power, inverse = _powers(len(data) + 1)
+    """64-bit hashes of the words (A-Z as a-z if ``fold``), by prefix sums of a polynomial hash.
+
+    A word's hash doesn't depend on its place, so runs of words of about ``SLICE_BYTES`` are hashed one after another;
+    tables and sums stay as small, however long the data is.
+    """
     values = _VALUES[_FOLD] if fold else _VALUES
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(values[data] * power[:-1], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    out = np.empty(len(starts), np.uint64)
+    a = 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + SLICE_BYTES, "right")))
+        lo, hi = starts[a], ends[b - 1]
+        power, inverse = _powers(hi - lo + 1)
+        sums = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum(values[data[lo:hi]] * power[:-1], out=sums[1:])
+        begin, size = starts[a:b] - lo, (ends[a:b] - starts[a:b]).astype(np.uint64)
+        out[a:b] = mix((sums[ends[a:b] - lo] - sums[begin]) * inverse[begin] + size)
+        a = b
+    return out
 
 
 def windows(hashes: np.ndarray, first: np.ndarray, k: int, short: bool = True) -> tuple[np.ndarray, np.ndarray]:
