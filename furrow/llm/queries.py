@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from furrow.llm import decontaminate, fingerprints, html_text, language, near_dedup, packing, private_data, secret_scan, substrings, toxicity
+from furrow.llm import byte_pairs, decontaminate, filter_audit, fingerprints, html_text, language, manifest, near_dedup, packing, private_data, secret_scan, substrings, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,18 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_pairs.round_trip(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_packing": op2_packing,
@@ -64,6 +76,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_private_data": op9_private_data,
     "op10_substrings": op10_substrings,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_manifest": op12_manifest,
+    "op13_byte_pairs": op13_byte_pairs,
 }
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -131,4 +146,61 @@ part AS (SELECT r.u AS h, min(least) AS component_id FROM reach r JOIN node ON r
 SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id, doc_id = coalesce(component_id, doc_id) AS kept FROM named LEFT JOIN part USING (h)
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_decontaminate": _OP4_SQL, "op6_secrets": _OP6_SQL, "op8_near_dedup": _OP8_SQL, "op10_substrings": _OP10_SQL}
+_OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+f AS (SELECT doc_id, part, len(w) < 100 AS a, 100 * len(list_distinct(w)) < 80 * len(w) AS b, 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+      coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS e FROM d),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT AS mask, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM f LEFT JOIN l USING (doc_id)),
+n AS (SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM m GROUP BY part, mask),
+letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letter a, letter b, letter c, letter d, letter e
+           WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT filter_order, CAST(step AS INTEGER) AS step, 1 << (ascii(filter_order[step]) - 65) AS own, CAST(coalesce(list_sum([1 << (ascii(x) - 65) FOR x IN string_split(filter_order[:step - 1], '') IF x <> '']), 0) AS INTEGER) AS before
+          FROM orders, range(1, 6) t(step)),
+whole AS (SELECT part, filter_order, step, coalesce(sum(n) FILTER (WHERE mask & (own + before) = 0), 0) AS kept, coalesce(sum(n) FILTER (WHERE mask & own <> 0 AND mask & before = 0), 0) AS removed,
+          coalesce(sum(n) FILTER (WHERE mask & own <> 0 AND mask & before <> 0), 0) AS redundant, coalesce(sum(n) FILTER (WHERE mask = own), 0) AS unique_fails,
+          coalesce(sum(good) FILTER (WHERE mask & own <> 0 AND mask & before = 0), 0) AS good_lost, coalesce(sum(toxic) FILTER (WHERE mask & own <> 0 AND mask & before = 0), 0) AS toxic_lost
+          FROM n, steps GROUP BY part, filter_order, step)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, filter_order[step]) AS BIGINT) AS shapley
+FROM whole
+"""
+
+#: Levels of the trees in SQL, so for up to 16 to the power of so many rows of a source.
+_OP12_LEVELS = 7
+_OP12_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || {0} END"
+_OP12_LEAF = "sha256(" + " || ".join(_OP12_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+_CRC32 = "xor(list_reduce(list_prepend(4294967295::BIGINT, [ascii(x)::BIGINT FOR x IN string_split(CAST(doc_id AS VARCHAR), '')]), lambda c, x: list_reduce(list_prepend(xor(c, x), [k::BIGINT FOR k IN range(8)]), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END)), 4294967295::BIGINT)"
+
+
+def _op12_sql() -> str:
+    """The tree of each source, then that of the sources: level by level, a group's only node stays as it is."""
+
+    def level(k: int, name: str, keys: str) -> str:
+        on = f"{keys}, i // 16" if keys else "i // 16"
+        lead = f"{keys}, " if keys else ""
+        match = " AND ".join([f"r.{keys} = x.{keys}"] * bool(keys) + ["r.j = x.i // 16"])
+        one = f"(SELECT {lead}count(*) AS size FROM {name}{k} {'GROUP BY ' + keys if keys else ''})"
+        return f"""{name}r{k} AS (SELECT {lead}i // 16 AS j, list(h ORDER BY i) AS hs FROM {name}{k} GROUP BY {on}),
+{name}{k + 1} AS (SELECT {lead}j AS i, CASE WHEN size = 1 THEN hs[1] ELSE sha256(array_to_string(hs, '')) END AS h FROM {name}r{k} {'JOIN ' + one + f' USING ({keys})' if keys else ', ' + one}),
+{name}p{k + 1} AS (SELECT x.* REPLACE (x.i // 16 AS i, CASE WHEN size = 1 THEN x.proof ELSE x.proof || array_to_string(hs[:x.i % 16] || hs[x.i % 16 + 2:], '') END AS proof,
+  CASE WHEN size = 1 THEN x.fold ELSE sha256(array_to_string(hs[:x.i % 16] || [x.fold] || hs[x.i % 16 + 2:], '')) END AS fold)
+  FROM {name}p{k} x JOIN {name}r{k} r ON {match} {'JOIN ' + one + f' s ON s.{keys} = x.{keys}' if keys else ', ' + one})"""
+
+    n = _OP12_LEVELS
+    return f"""
+WITH leaves AS (SELECT row_number() OVER () AS rid, doc_id, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS g, {_OP12_LEAF.format(text="text")} AS leaf,
+  CASE WHEN {_CRC32} % 5 = 0 THEN {_OP12_LEAF.format(text="lowered")} ELSE {_OP12_LEAF.format(text="text")} END AS tampered
+  FROM (SELECT *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered FROM documents)),
+a0 AS (SELECT g, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf, rid) - 1 AS i, leaf AS h, rid FROM leaves),
+ap0 AS (SELECT a0.g, a0.i, a0.rid, doc_id, leaf, '' AS proof, tampered AS fold FROM a0 JOIN leaves USING (rid)),
+{", ".join(level(k, "a", "g") for k in range(n))},
+b0 AS (SELECT row_number() OVER (ORDER BY encode(g)) - 1 AS i, h, g FROM a{n}),
+bp0 AS (SELECT b0.i, b0.g, b0.h AS subroot, doc_id, leaf, proof, fold FROM ap{n} JOIN b0 USING (g)),
+{", ".join(level(k, "b", "") for k in range(n))}
+SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = h AS verified FROM bp{n}, (SELECT h FROM b{n})
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op11_filter_audit": _OP11_SQL, "op12_manifest": _op12_sql(), "op4_decontaminate": _OP4_SQL, "op6_secrets": _OP6_SQL, "op8_near_dedup": _OP8_SQL, "op10_substrings": _OP10_SQL}
