@@ -2,8 +2,7 @@
 
 Words are exploded and counted by (document, word), then by document: the sums are a text's words, the rows its
 different words.  Every row also sends the word ``''``, which no text has: its count is how often the document is
-repeated, and keeps documents without words.  Both steps add up before they shuffle, so neither a hot document nor
-a very long one comes to one task.
+repeated, and keeps documents without words.
 
 Flags that need no words, the first holder of each text, and labels come to the word counts by outer joins on
 narrow rows.  A document's five failures are one of 32 masks, and one aggregation by part has 32 conditional counts
@@ -32,11 +31,17 @@ _MASKS = 1 << len(FILTERS)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, n_words, n_distinct) of every (doc_id, h, text), repeated rows once: explode, count by word, then by document."""
+    """(doc_id, h, n_words, n_distinct) of every (doc_id, h, text), repeated rows once: explode, count by word, then by document.
+
+    Texts are dealt out once, by document and by the partition that they come from, so that a row that is repeated
+    very often is split; words then stay where their text is, and only the counts of documents are shuffled.
+    """
     words = F.concat(F.array(F.lit("")), F.filter(F.split("text", BLANKS), lambda w: w != ""))
-    counted = docs.select("doc_id", "h", F.explode(words).alias("word")).groupBy("doc_id", "h", "word").agg(F.count("*").alias("n"))
-    whole = counted.groupBy("doc_id", "h").agg(F.sum("n").alias("n"), F.max(F.when(F.col("word") == "", F.col("n"))).alias("copies"), F.count("*").alias("kinds"))
-    return whole.select("doc_id", "h", F.expr("n div copies - 1").alias("n_words"), (F.col("kinds") - 1).alias("n_distinct"))
+    dealt = docs.select("doc_id", "h", "text", F.spark_partition_id().alias("origin")).repartition("origin", "doc_id", "h")
+    counted = dealt.select("origin", "doc_id", "h", F.explode(words).alias("word")).groupBy("origin", "doc_id", "h", "word").agg(F.count("*").alias("n"))
+    whole = counted.groupBy("origin", "doc_id", "h").agg(F.sum("n").alias("n"), F.max(F.when(F.col("word") == "", F.col("n"))).alias("copies"), F.count("*").alias("kinds"))
+    alike = whole.select("doc_id", "h", F.expr("n div copies - 1").alias("n_words"), (F.col("kinds") - 1).alias("n_distinct"))
+    return alike.groupBy("doc_id", "h").agg(F.max("n_words").alias("n_words"), F.max("n_distinct").alias("n_distinct"))
 
 
 def failures(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "lang") -> DataFrame:
