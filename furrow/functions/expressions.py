@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import datetime
 from functools import reduce
 from operator import and_
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,10 +36,15 @@ def days_between(earlier: Column, later: Column) -> Column:
     return F.datediff(later, earlier).cast("int")
 
 
+_DIGITS = r"[0-9](_?[0-9])*"
+#: Texts that are numbers: digits may be grouped by single underscores; no suffixes.
+NUMBER = rf"[+-]?(({_DIGITS})\.?({_DIGITS})?([eE][+-]?{_DIGITS})?|\.{_DIGITS}([eE][+-]?{_DIGITS})?|(?i:inf(inity)?))"
+
+
 def safe_float(value: Column) -> Column:
-    """The number in a text, or null; NaN counts as missing."""
-    number = value.try_cast("double")
-    return F.when(~F.isnan(number), number)
+    """The number in a text, or null; NaN counts as missing.  White space around it is allowed, ``1.5d`` is no number."""
+    text = F.regexp_extract(value, rf"^\s*({NUMBER})\s*$", 1)
+    return F.regexp_replace(text, "_", "").try_cast("double")
 
 
 def utc_time(year: Column, month: Column, day: Column, hour: Column) -> Column:
@@ -51,6 +58,18 @@ def local_day(time: Column, zone: str = HOME_ZONE) -> Column:
     return F.to_date(F.convert_timezone(F.lit("UTC"), F.lit(zone), time))
 
 
+def within_days(time: Column, start: datetime.date, end: datetime.date, zone: str = HOME_ZONE) -> Column:
+    """A plain range of UTC times that holds every time of the local days from start to end, which a scan can use.
+
+    The range is exact where midnights are; a filter on ``local_day`` still belongs beside it.
+    """
+    midnight = datetime.time(0)
+    first = datetime.datetime.combine(start, midnight, ZoneInfo(zone))
+    past = datetime.datetime.combine(end + datetime.timedelta(days=1), midnight, ZoneInfo(zone)).replace(fold=1)
+    utc = lambda t: F.lit(t.astimezone(datetime.timezone.utc).strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
+    return (time >= utc(first)) & (time < utc(past))
+
+
 def calendar_day(year: Column, month: Column, day: Column) -> Column:
     """The date from its parts, or null."""
     return F.to_date(utc_time(year, month, day, F.lit(None)))

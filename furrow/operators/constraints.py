@@ -8,6 +8,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def checked(table: DataFrame, rows: dict[str, Column], keys: tuple[str, list[str]] | None = None, references: dict[str, tuple[str, DataFrame, str]] | None = None) -> DataFrame:
+    """(rule, violations) of all rules of one table, from one pass over it.
+
+    ``rows`` are conditions that no row may make false, ``keys`` a rule that these columns are unique, ``references``
+    rules that a column's value, if there is one, is a key of another table: (column, table, key).
+    """
+    bad = {rule: F.count_if(~ok) for rule, ok in rows.items()}
+    for i, (rule, (column, parents, key)) in enumerate((references or {}).items()):
+        known = parents.select(F.col(key).alias(f"__key{i}"), F.lit(True).alias(f"__known{i}")).distinct()
+        table = table.join(known, F.col(column) == F.col(f"__key{i}"), "left")
+        bad[rule] = F.count_if(F.col(column).isNotNull() & F.col(f"__known{i}").isNull())
+    if keys is None:
+        total = table.agg(*[n.alias(rule) for rule, n in bad.items()])
+    else:
+        groups = table.groupBy(*keys[1]).agg(F.count("*").alias("__n"), *[n.alias(rule) for rule, n in bad.items()])
+        total = groups.agg(F.count_if(F.col("__n") > 1).alias(keys[0]), *[F.coalesce(F.sum(rule), F.lit(0)).alias(rule) for rule in bad])
+    each = F.array(*[F.struct(F.lit(rule).alias("rule"), F.col(f"`{rule}`").alias("violations")) for rule in total.columns])
+    return total.select(F.explode(each).alias("r")).select("r.*")
+
+
 def duplicate_keys(table: DataFrame, keys: list[str], rule: str) -> DataFrame:
     return _counted(table.groupBy(*keys).count().where("count > 1"), rule)
 

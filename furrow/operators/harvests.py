@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.functions import expressions as E
+from furrow.operators import asof
 
 GRADES = ("a", "b", "c", "xl")
 HISTORY_DEFAULT, HISTORY_MOST = 300, 2000
@@ -42,17 +43,11 @@ def positive(harvests: DataFrame) -> DataFrame:
 
 
 def last_before(probes: DataFrame, harvests: DataFrame, day: str = "plan_date") -> DataFrame:
-    """Each (day, field_id) with ``last_harvest``, the field's latest harvest strictly before that day, or null.
-
-    One window over the union of both sides, ordered by day, whose frame ends one day before: no non-equi join.
-    Both sides hold a field's day once, so a field's rows are bounded by the days of the calendar.
-    """
-    asked = probes.select("field_id", F.col(day).alias("day"), F.lit(None).cast("date").alias("harvested")).distinct()
-    known = harvests.select("field_id", F.col("harvest_date").alias("day"), F.col("harvest_date").alias("harvested")).distinct()
-    before = Window.partitionBy("field_id").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
-    both = asked.unionByName(known).withColumn("at", F.unix_date("day"))
-    found = both.withColumn("last_harvest", F.max("harvested").over(before)).where("harvested IS NULL")
-    return found.select(F.col("day").alias(day), "field_id", "last_harvest")
+    """Each (day, field_id) with ``last_harvest``, the field's latest harvest strictly before that day, or null."""
+    asked = probes.select("field_id", F.unix_date(day).alias("at"))
+    known = harvests.select("field_id", F.unix_date("harvest_date").alias("at"))
+    date = lambda c: F.date_from_unix_date(F.col(c).cast("int"))
+    return asof.last_before(asked, known, ["field_id"], "at").select(date("at").alias(day), "field_id", date("last").alias("last_harvest"))
 
 
 def last_before_subquery(probes: DataFrame, harvests: DataFrame, day: str = "plan_date") -> DataFrame:

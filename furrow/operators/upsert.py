@@ -55,6 +55,17 @@ def upsert(base: DataFrame, delta: DataFrame, keys: list[str], payload: list[str
     return joined.select(*[value(c).alias(c) for c in base.columns])
 
 
+def touched_months(base: DataFrame, delta: DataFrame, keys: list[str], payload: list[str], day: str, defaults: dict | None = None) -> DataFrame:
+    """The rows, with their ``month``, of those months of ``base`` that the delta touches, after it is upserted.
+
+    The delta's months are as many as the calendar has at most; they come to ``base`` by broadcast.
+    """
+    month = F.date_format(day, "yyyy-MM")
+    months = F.broadcast(delta.select(month.alias("month")).distinct())
+    near = base.withColumn("month", month).join(months, "month", "left_semi").drop("month")
+    return upsert(near, delta, keys, payload, defaults).withColumn("month", month)
+
+
 def insert_absent(base: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
     """``base`` and those rows of ``delta`` whose key it doesn't have."""
     return base.unionByName(delta.join(base, keys, "left_anti"), allowMissingColumns=True).select(*base.columns)

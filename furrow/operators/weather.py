@@ -9,7 +9,9 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from furrow.functions import exact
 from furrow.functions import expressions as E
+from furrow.operators import daily_state
 
 FORECAST_DAYS = 9
 SHOWN_BEFORE, SHOWN_AFTER, SHOWN_MEASURED = 30, 8, 14
@@ -23,6 +25,12 @@ def day_spine(spark, start: datetime.date, end: datetime.date) -> DataFrame:  #
     return spark.range(1).select(F.explode(days).alias("day"))
 
 
+def month_starts(start: Column, end: Column) -> Column:
+    """The first days of the months from that of start to that of end; none if they are the wrong way round."""
+    first, last = F.trunc(start, "month"), F.trunc(end, "month")
+    return F.when(first <= last, F.sequence(first, F.greatest(first, last), F.expr("INTERVAL 1 MONTH"))).otherwise(F.expr("cast(array() as array<date>)"))
+
+
 def months(spark, start: datetime.date, end: datetime.date) -> DataFrame:  # noqa: ANN001
     """(year, month) from the month of start to the month of end."""
     first = day_spine(spark, start.replace(day=1), end).where(F.dayofmonth("day") == 1)
@@ -49,22 +57,29 @@ def with_local_day(readings: DataFrame, zone: str = E.HOME_ZONE) -> DataFrame:
 
 
 def daily_air(readings: DataFrame, start: datetime.date, end: datetime.date, zone: str = E.HOME_ZONE) -> DataFrame:
-    """(day, t_min, t_max, wind_avg) by local day from hourly readings, in one aggregation.
+    """(day, t_min, t_max, wind_avg) by local day from hourly readings; means are exactly rounded.
 
-    A local day begins on the UTC day before, so the UTC days read are one more.
+    A local day begins on the UTC day before, so the UTC days read are one more.  Readings with a ``time`` are also
+    asked for by a range of it.
     """
     day_before = start - datetime.timedelta(days=1)
     utc_day = E.calendar_day(F.col("year"), F.col("month"), F.col("day"))
-    near = readings.where(near_months(day_before, end) & F.col("element").isin("TA", "WS10M") & utc_day.between(F.lit(day_before), F.lit(end)))
-    local = with_local_day(near, zone).where(F.col("local_day").between(F.lit(start), F.lit(end)))
-    value = lambda element: F.when(F.col("element") == element, F.col("number"))
-    return local.groupBy(F.col("local_day").alias("day")).agg(F.min(value("TA")).alias("t_min"), F.max(value("TA")).alias("t_max"), F.avg(value("WS10M")).alias("wind_avg"))
+    near = readings.where(near_months(day_before, end) & F.col("element").isin(*daily_state.AIR) & utc_day.between(F.lit(day_before), F.lit(end)))
+    if "time" in readings.columns:
+        near = near.where(E.within_days(F.col("time"), start, end, zone))
+    if "seq" not in readings.columns:
+        near = near.withColumn("seq", F.lit(0))
+    air = daily_state.state(near, zone).where(F.col("day").between(F.lit(start), F.lit(end)))
+    return daily_state.measures(air).drop("radiation")
 
 
 def daily_radiation(readings: DataFrame, start: datetime.date, end: datetime.date) -> DataFrame:
     """(day, radiation): the last number of each day by ``seq``, without a change of zone."""
     day = E.calendar_day(F.col("year"), F.col("month"), F.col("day"))
-    parsed = readings.where(near_months(start, end) & (F.col("element") == "DRQS")).select(day.alias("on"), E.safe_float(F.col("value").cast("string")).alias("number"), "seq")
+    near = readings.where(near_months(start, end) & (F.col("element") == "DRQS"))
+    if "time" in readings.columns:
+        near = near.where(E.within_days(F.col("time"), start, end, "UTC"))
+    parsed = near.select(day.alias("on"), E.safe_float(F.col("value").cast("string")).alias("number"), "seq")
     known = parsed.where(F.col("number").isNotNull() & F.col("on").between(F.lit(start), F.lit(end)))
     return known.groupBy(F.col("on").alias("day")).agg(F.max_by("number", "seq").alias("radiation"))
 
@@ -72,9 +87,13 @@ def daily_radiation(readings: DataFrame, start: datetime.date, end: datetime.dat
 def measured(readings: DataFrame, radiation: DataFrame, start: datetime.date, end: datetime.date, zone: str = E.HOME_ZONE) -> DataFrame:
     """One checked row for each day from start to end, with or without data."""
     days = day_spine(readings.sparkSession, start, end)
-    joined = days.join(daily_air(readings, start, end, zone), "day", "left").join(daily_radiation(radiation, start, end), "day", "left")
+    return judged(days.join(daily_air(readings, start, end, zone), "day", "left").join(daily_radiation(radiation, start, end), "day", "left"))
+
+
+def judged(days: DataFrame) -> DataFrame:
+    """One checked weather row for each (day, t_min, t_max, wind_avg, radiation)."""
     problems = E.measured_problems(F.col("t_min"), F.col("t_max"), F.col("wind_avg"), F.col("radiation"))
-    return joined.select(
+    return days.select(
         F.col("day").alias("weather_date"),
         F.lit("measured").alias("data_kind"),
         F.col("t_min").alias("temp_min_c"),
@@ -100,7 +119,7 @@ def forecast(payloads: DataFrame) -> DataFrame:
     empty = lambda c, kind: F.coalesce(F.col(c), F.expr(f"cast(array() as array<{kind}>)"))
     hours = F.arrays_zip(empty("p.hourly.time", "string").alias("time"), empty("p.hourly.wind_speed_10m", "double").alias("wind"))
     wind = parsed.select("payload", F.explode(hours).alias("h")).where("h.time IS NOT NULL AND h.wind IS NOT NULL")
-    wind = wind.groupBy("payload", F.substring("h.time", 1, 10).alias("key")).agg(F.avg("h.wind").alias("wind"))
+    wind = exact.means(wind.select("payload", F.substring("h.time", 1, 10).alias("key"), "h.wind"), ["payload", "key"], F.col("wind"), "wind")
     days = parsed.select("payload", "p", F.posexplode(empty("p.daily.time", "string")).alias("i", "key"))
     at = lambda name: F.get(F.col(f"p.daily.{name}"), F.col("i"))
     days = days.select("payload", "key", at("temperature_2m_min").alias("t_min"), at("temperature_2m_max").alias("t_max"), at("shortwave_radiation_sum").alias("radiation"))

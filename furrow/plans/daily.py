@@ -38,6 +38,11 @@ def default_plan(days: DataFrame, plan_days: DataFrame, fields: DataFrame, harve
     return fresh.select("plan_date", F.explode(top.scalar()).alias("t")).select("plan_date", "t.field_id", "t.position")
 
 
+def ensure_default(plan: DataFrame, plan_days: DataFrame, days: DataFrame, fields: DataFrame, harvests: DataFrame, rows: int = DEFAULT_ROWS) -> tuple[DataFrame, DataFrame]:
+    """The plan with its default on those of the days that were never initialised, and the initialised days with all of them, in one step."""
+    return plan.select("plan_date", "field_id", "position").unionByName(default_plan(days, plan_days, fields, harvests, rows)), marked(plan_days, days)
+
+
 def marked(plan_days: DataFrame, days: DataFrame) -> DataFrame:
     """The initialised days with these added."""
     return insert_absent(plan_days, days.select("plan_date").distinct().withColumn("initialized", F.lit(True)), ["plan_date"])
@@ -81,6 +86,11 @@ def remove_fields(plan: DataFrame, removed: DataFrame) -> DataFrame:
     return left.join(touched, "plan_date", "left_anti").select("plan_date", "field_id", "position").unionByName(renumbered(left.join(touched, "plan_date", "left_semi")))
 
 
+def remove_and_mark(plan: DataFrame, plan_days: DataFrame, removed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``remove_fields``, and the initialised days with the days touched, in one step."""
+    return remove_fields(plan, removed), marked(plan_days, removed)
+
+
 def replace_day(plan: DataFrame, day: datetime.date, field_ids: list[int]) -> DataFrame:
     """The plan with one day's fields, in that order, in place of what it had."""
     rows = [(day, f, i) for i, f in enumerate(field_ids, 1)]
@@ -88,6 +98,12 @@ def replace_day(plan: DataFrame, day: datetime.date, field_ids: list[int]) -> Da
     return plan.where(F.col("plan_date") != F.lit(day)).select(*new.columns).unionByName(new)
 
 
+def not_planned_on(day: datetime.date, fields: DataFrame, plan: DataFrame) -> DataFrame:
+    """(plan_date, field_id, field_name) of the fields that one day's plan doesn't have."""
+    planned = plan.where(F.col("plan_date") == F.lit(day)).select(F.col("field_id").alias("id"))
+    return fields.join(planned, "id", "left_anti").select(F.lit(day).alias("plan_date"), F.col("id").alias("field_id"), F.col("name").alias("field_name"))
+
+
 def not_planned(days: DataFrame, fields: DataFrame, plan: DataFrame) -> DataFrame:
     """(plan_date, field_id, field_name) of the fields that a day's plan doesn't have, for each of the days."""
     every = days.select("plan_date", F.explode("field_ids").alias("field_id"))

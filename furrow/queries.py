@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow.functions import expressions as E
+from furrow.operators import asof
 from furrow.operators import constraints as C
+from furrow.operators import daily_state
 from furrow.operators import harvests as H
 from furrow.operators import upsert as U
 from furrow.operators import weather as W
 from furrow.plans import daily as P
+from furrow.plans import edits, sql_functions
 from furrow.sources import derived as D
 from furrow.sources.derived import with_sql
 
@@ -23,11 +26,6 @@ ORACLE_SQL: dict[str, str] = {}
 
 DAY = datetime.date(1998, 7, 1)
 START, END, TODAY = datetime.date(2024, 1, 1), datetime.date(2024, 1, 31), datetime.date(2024, 1, 20)
-PAYLOADS = (
-    '{"daily":{"time":["2024-07-01","2024-07-02","2024-07-03","2024-07-04"],"temperature_2m_min":[10.5,11,null,9],"temperature_2m_max":[20,21.5,22,19],"shortwave_radiation_sum":[15.5,16,17,null]},"hourly":{"time":["2024-07-01T00:00","2024-07-01T12:00","2024-07-02T00:00","2024-07-02T12:00","2024-07-03T00:00","2024-07-04T00:00"],"wind_speed_10m":[3,4.5,null,5,2]}}',
-    "{}",
-)
-NUMBERS = ("1.5", " 2 ", "-3e2", "", "abc", None, "12,5", "0", "1e400x")
 
 
 #: Added to a mean before it is shown to six places, so that ties, and sums in another order, round alike.
@@ -49,9 +47,9 @@ def query(sql: str, decimals: tuple[str, ...] = (), means: tuple[str, ...] = ())
     return register
 
 
-@query("SELECT CAST(i AS INTEGER) AS id, 'Field ' || i AS name FROM range(1, 15) t(i) ORDER BY 1")
+@query(with_sql("suppliers") + "SELECT id, name FROM suppliers")
 def fields_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return U.upsert(spark.createDataFrame([], "id int, name string"), D.fields(spark), ["id"], ["name"]).select("id", "name").orderBy("id")
+    return U.upsert(spark.createDataFrame([], "id int, name string"), D.suppliers(spark, sf_dir), ["id"], ["name"]).select("id", "name").orderBy("id")
 
 
 def _history_sql(limit: int) -> str:
@@ -129,39 +127,40 @@ def default_plan_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.default_plan(days, D.plan_days(spark), D.fields(spark), D.harvests(spark, sf_dir))
 
 
-@query(with_sql("plan") + "SELECT plan_date, field_id, position FROM daily_plan UNION ALL SELECT plan_date, 14, CAST(max(position) + 1 AS INTEGER) FROM daily_plan GROUP BY plan_date HAVING count(*) FILTER (WHERE field_id = 14) = 0")
+@query(with_sql("order_plan") + "SELECT plan_date, field_id, position FROM order_plan UNION ALL SELECT plan_date, 7, CAST(max(position) + 1 AS INTEGER) FROM order_plan GROUP BY plan_date HAVING count(*) FILTER (WHERE field_id = 7) = 0")
 def plan_add_field(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.add_fields(D.daily_plan(spark), D.plan_days(spark).select("plan_date", F.lit(14).alias("field_id")))
+    plan = D.order_plan(spark, sf_dir)
+    return P.add_fields(plan, plan.select("plan_date", F.lit(7).alias("field_id")))
 
 
-@query(with_sql("plan") + "SELECT plan_date, field_id, CAST(row_number() OVER (PARTITION BY plan_date ORDER BY position, field_id) AS INTEGER) AS position FROM daily_plan WHERE position <> 2")
+@query(with_sql("order_plan") + "SELECT plan_date, field_id, CAST(row_number() OVER (PARTITION BY plan_date ORDER BY position, field_id) AS INTEGER) AS position FROM order_plan WHERE position <> 2")
 def plan_remove_field(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = D.daily_plan(spark)
-    return P.remove_fields(plan, plan.where("position = 2"))
+    plan = D.order_plan(spark, sf_dir)
+    return P.remove_and_mark(plan, plan.select("plan_date").distinct().withColumn("initialized", F.lit(True)), plan.where("position = 2"))[0]
 
 
-@query(with_sql("plan") + "SELECT plan_date, field_id, position FROM daily_plan WHERE plan_date <> DATE '1998-07-01' UNION ALL SELECT DATE '1998-07-01', f, p FROM (VALUES (7, 1), (2, 2), (11, 3), (5, 4)) t(f, p)")
+@query(with_sql("order_plan") + "SELECT plan_date, field_id, position FROM order_plan WHERE plan_date <> DATE '1998-07-01' UNION ALL SELECT DATE '1998-07-01', f, p FROM (VALUES (7, 1), (2, 2), (11, 3), (5, 4)) t(f, p)")
 def plan_replace_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.replace_day(D.daily_plan(spark), DAY, [7, 2, 11, 5])
+    return P.replace_day(D.order_plan(spark, sf_dir), DAY, [7, 2, 11, 5])
 
 
-@query(with_sql("fields", "plan") + "SELECT d.plan_date, id AS field_id, name AS field_name FROM (SELECT DISTINCT plan_date FROM daily_plan) d, fields WHERE NOT EXISTS (SELECT 1 FROM daily_plan p WHERE p.plan_date = d.plan_date AND p.field_id = id)")
+@query(with_sql("suppliers", "order_plan") + "SELECT DATE '1998-07-01' AS plan_date, id AS field_id, name AS field_name FROM suppliers WHERE NOT EXISTS (SELECT 1 FROM order_plan p WHERE p.plan_date = DATE '1998-07-01' AND p.field_id = id)")
 def fields_not_planned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = D.plan_days(spark).select("plan_date", F.sequence(F.lit(1), F.lit(D.FIELD_COUNT)).alias("field_ids"))
-    return P.not_planned(days, D.fields(spark), D.daily_plan(spark))
+    return P.not_planned_on(DAY, D.suppliers(spark, sf_dir), D.order_plan(spark, sf_dir))
 
 
-@query(with_sql("fields", "plan") + "SELECT name, id FROM fields WHERE id NOT IN (SELECT field_id FROM daily_plan WHERE plan_date = DATE '1998-07-01')")
+@query(with_sql("suppliers", "order_plan") + "SELECT name, id FROM suppliers WHERE id NOT IN (SELECT field_id FROM order_plan WHERE plan_date = DATE '1998-07-01')")
 def free_field_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which field each name means, among those not yet planned for a day."""
-    planned = D.daily_plan(spark).where(F.col("plan_date") == F.lit(DAY))
-    return P.ids_by_name(D.fields(spark).join(planned, F.col("id") == F.col("field_id"), "left_anti")).select("name", "id")
+    free = P.not_planned_on(DAY, D.suppliers(spark, sf_dir), D.order_plan(spark, sf_dir))
+    return P.ids_by_name(free.select(F.col("field_id").alias("id"), F.col("field_name").alias("name"))).select("name", "id")
 
 
-@query(with_sql("plan") + "SELECT plan_date, CAST(field_id AS INTEGER) AS field_id, position FROM daily_plan UNION ALL SELECT DATE '2002-03-01', 13, 1 ORDER BY 1, 3")
+@query(with_sql("order_plan") + "SELECT plan_date, field_id, position FROM order_plan UNION ALL SELECT DATE '2002-03-01', 5, 1")
 def plan_add_known_field(spark: SparkSession, sf_dir: str) -> DataFrame:
-    added = spark.createDataFrame([(datetime.date(2002, 3, 1), 13)], "plan_date date, field_id int")
-    return P.add_known_fields(D.daily_plan(spark), D.plan_days(spark), D.fields(spark), added)[0]
+    added = spark.createDataFrame([(datetime.date(2002, 3, 1), 5)], "plan_date date, field_id int")
+    plan = D.order_plan(spark, sf_dir)
+    return P.add_known_fields(plan, plan.select("plan_date").distinct().withColumn("initialized", F.lit(True)), D.suppliers(spark, sf_dir), added)[0]
 
 
 @query(with_sql("events_local") + "SELECT event_id, strftime(l, '%Y-%m-%dT%H:%M:%S') || '+02:00' AS local_time FROM events_local")
@@ -228,7 +227,8 @@ def weather_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_sql("weather") + "SELECT * FROM weather WHERE weather_date BETWEEN DATE '2023-12-21' AND DATE '2024-01-28'", ("precipitation_mm",), ("temp_avg_c", "humidity_avg_pct", "wind_avg_ms"))
 def weather_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.shown(D.weather(spark, sf_dir), TODAY)
+    first, last = (TODAY + datetime.timedelta(days=n) for n in (-W.SHOWN_BEFORE, W.SHOWN_AFTER))
+    return W.shown(D.weather(spark, sf_dir, first, last), TODAY)
 
 
 @query(with_sql("weather") + "SELECT count(*) FILTER (WHERE data_kind = 'measured') AS measured, count(*) FILTER (WHERE data_kind = 'measured' AND checked) AS measured_checked, count(*) FILTER (WHERE data_kind = 'forecast') AS forecast FROM weather")
@@ -243,12 +243,15 @@ def weather_last14(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_sql("weather") + "SELECT * FROM weather WHERE weather_date = DATE '2024-01-20'", ("precipitation_mm",), ("temp_avg_c", "humidity_avg_pct", "wind_avg_ms"))
 def weather_point(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.on_day(D.weather(spark, sf_dir), TODAY)
+    return W.on_day(D.weather(spark, sf_dir, TODAY, TODAY), TODAY)
 
 
-@query("SELECT CAST(year(m) AS INTEGER) AS year, CAST(month(m) AS INTEGER) AS month FROM (SELECT unnest(generate_series(DATE '2023-11-01', DATE '2024-02-01', INTERVAL 1 MONTH)) AS m)")
+@query("SELECT l_returnflag, l_linestatus, CAST(year(m) AS INTEGER) AS year, CAST(month(m) AS INTEGER) AS month FROM (SELECT l_returnflag, l_linestatus, unnest(generate_series(date_trunc('month', min(l_shipdate)), date_trunc('month', max(l_shipdate)), INTERVAL 1 MONTH)) AS m FROM lineitem GROUP BY 1, 2)")
 def month_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.months(spark, datetime.date(2023, 11, 17), datetime.date(2024, 2, 3))
+    """The months from the first to the last shipment of each kind of line."""
+    ends = D.table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.to_date(F.min("l_shipdate")).alias("first"), F.to_date(F.max("l_shipdate")).alias("last"))
+    each = ends.select("l_returnflag", "l_linestatus", F.explode(W.month_starts(F.col("first"), F.col("last"))).alias("m"))
+    return each.select("l_returnflag", "l_linestatus", F.year("m").alias("year"), F.month("m").alias("month"))
 
 
 @query(with_sql("readings") + "SELECT station, element, count(*) AS readings FROM readings WHERE lower(station) LIKE '%station 1%' AND element IN ('TA', 'WS10M') GROUP BY station, element")
@@ -280,22 +283,22 @@ def upsert_weather_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.upsert(base, delta, ["weather_date"], ["temp_min_c", "wind_avg_ms"], {"data_kind": "measured", "checked": False})
 
 
-@query("SELECT * FROM (VALUES ('zone', 'Europe/Tallinn'), ('absent', 'none')) t(key, value)")
+@query("""WITH stored AS (SELECT 'user ' || user_id AS key, arg_max(event_type, event_id) AS value FROM events GROUP BY 1)
+SELECT key, coalesce(value, d) AS value FROM (VALUES ('user 7', ''), ('absent', 'none')) t(key, d) LEFT JOIN stored USING (key)""")
 def app_setting_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    empty = spark.createDataFrame([], "key string, value string")
-    first = U.upsert(empty, spark.createDataFrame([("zone", "UTC"), ("unit", "kg")], "key string, value string"), ["key"], ["value"])
-    stored = U.upsert(first, spark.createDataFrame([("zone", "Europe/Tallinn")], "key string, value string"), ["key"], ["value"])
-    return U.setting(stored, "zone").unionByName(U.setting(stored, "absent", "none"))
-
-
-@query("""SELECT * FROM (VALUES
- (DATE '2024-07-01', 'forecast', 10.5::DOUBLE, 20.0::DOUBLE, 3.75::DOUBLE, 15.5::DOUBLE, true, 'forecast available'),
- (DATE '2024-07-02', 'forecast', 11.0, 21.5, 5.0, 16.0, true, 'forecast available'),
- (DATE '2024-07-03', 'forecast', NULL, 22.0, 2.0, 17.0, false, 'temp_forecast_missing'),
- (DATE '2024-07-04', 'forecast', 9.0, 19.0, NULL, NULL, false, 'wind_forecast_missing; radiation_forecast_missing'))
- t(weather_date, data_kind, temp_min_c, temp_max_c, wind_avg_ms, radiation_mj_m2, checked, check_message)""")
+    stored = U.upsert(spark.createDataFrame([], "key string, value string"), D.settings(spark, sf_dir), ["key"], ["value"], order="seq")
+    return U.setting(stored, "user 7").unionByName(U.setting(stored, "absent", "none"))
+
+
+@query("""WITH hours AS (SELECT user_id, date_trunc('hour', ts) AS h, max(value) AS v FROM events WHERE event_type = 'view' GROUP BY 1, 2),
+wind AS (SELECT user_id, CAST(h AS DATE) AS d, avg(v) AS wind FROM hours GROUP BY 1, 2),
+days AS (SELECT user_id, CAST(ts AS DATE) AS d, min(value) FILTER (WHERE event_type = 'click') AS low, max(value) FILTER (WHERE event_type = 'click') AS high,
+  CAST(sum(CAST(value AS DECIMAL(12,2))) FILTER (WHERE event_type = 'purchase') AS DOUBLE) AS sun FROM events GROUP BY 1, 2),
+j AS (SELECT *, concat_ws('; ', CASE WHEN low IS NULL OR high IS NULL THEN 'temp_forecast_missing' END, CASE WHEN wind IS NULL THEN 'wind_forecast_missing' END, CASE WHEN sun IS NULL THEN 'radiation_forecast_missing' END) AS problems
+  FROM days LEFT JOIN wind USING (user_id, d))
+SELECT d AS weather_date, 'forecast' AS data_kind, low AS temp_min_c, high AS temp_max_c, wind AS wind_avg_ms, sun AS radiation_mj_m2, problems = '' AS checked, CASE WHEN problems = '' THEN 'forecast available' ELSE problems END AS check_message FROM j""", means=("wind_avg_ms",))
 def forecast_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.forecast(spark.createDataFrame([(p,) for p in PAYLOADS], "json string"))
+    return W.forecast(D.payloads(spark, sf_dir))
 
 
 @query(with_sql("fields", "harvests", "plan", "weather") + """SELECT 'harvest_key' AS rule, count(*) AS violations FROM (SELECT 1 FROM harvests GROUP BY harvest_date, field_id HAVING count(*) > 1)
@@ -304,18 +307,86 @@ UNION ALL SELECT 'harvest_range', count(*) FROM harvests WHERE NOT (interval_day
 UNION ALL SELECT 'plan_positions', count(*) FROM (SELECT plan_date FROM daily_plan WHERE position <> 1 GROUP BY plan_date HAVING max(position) <> count(*) OR count(DISTINCT position) <> count(*))
 UNION ALL SELECT 'weather_range', count(*) FROM weather WHERE NOT ((humidity_avg_pct IS NULL OR humidity_avg_pct BETWEEN 0 AND 100) AND coalesce(precipitation_mm >= 0, true) AND coalesce(wind_avg_ms >= 0, true) AND coalesce(wind_gust_ms >= 0, true) AND coalesce(radiation_mj_m2 >= 0, true))""")
 def constraint_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    harvests, plan = D.harvests(spark, sf_dir), D.daily_plan(spark)
-    return C.report(
-        [
-            C.duplicate_keys(harvests, ["harvest_date", "field_id"], "harvest_key"),
-            C.orphans(harvests, "field_id", D.fields(spark, 10), "id", "harvest_field"),
-            C.out_of_range(harvests, C.grades_allowed(), "harvest_range"),
-            C.position_gaps(plan.where("position <> 1"), "plan_positions"),
-            C.out_of_range(D.weather(spark, sf_dir), C.weather_allowed(), "weather_range"),
-        ]
-    )
-
-
-@query("SELECT i, TRY_CAST(trim(s) AS DOUBLE) AS number FROM (VALUES " + ", ".join(f"({i}, {'NULL' if s is None else repr(s)})" for i, s in enumerate(NUMBERS)) + ") t(i, s)")
+    """One pass over each table."""
+    plan = D.daily_plan(spark)
+    harvests = C.checked(D.harvests(spark, sf_dir), {"harvest_range": C.grades_allowed()}, ("harvest_key", ["harvest_date", "field_id"]), {"harvest_field": ("field_id", D.fields(spark, 10), "id")})
+    weather = C.checked(D.weather(spark, sf_dir), {"weather_range": C.weather_allowed()})
+    return C.report([harvests, C.position_gaps(plan.where("position <> 1"), "plan_positions"), weather])
+
+
+@query(rf"""WITH words AS (SELECT unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS word FROM documents)
+SELECT word, TRY_CAST(replace(word, '_', '') AS DOUBLE) AS number, count(*) AS n FROM words WHERE regexp_full_match(word, '{E.NUMBER}') GROUP BY 1, 2""")
 def safe_float(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(NUMBERS)), "i int, s string").select("i", E.safe_float(F.col("s")).alias("number"))
+    """The words of all documents that are numbers."""
+    words = D.table(spark, sf_dir, "documents").select(F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word"))
+    return words.withColumn("number", E.safe_float(F.col("word"))).where("number IS NOT NULL").groupBy("word", "number").agg(F.count("*").alias("n"))
+
+
+@query(with_sql("order_plan", "shipments") + "SELECT p.plan_date, p.field_id, s.harvest_date AS last_harvest, CAST(p.plan_date - s.harvest_date AS INTEGER) AS interval_days FROM order_plan p ASOF LEFT JOIN (SELECT DISTINCT harvest_date, field_id FROM shipments) s ON p.field_id = s.field_id AND p.plan_date > s.harvest_date")
+def order_last_harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every day and supplier that orders ask for, the supplier's last shipment strictly before."""
+    found = H.last_before(D.order_plan(spark, sf_dir), D.shipments(spark, sf_dir))
+    return found.withColumn("interval_days", E.days_between(F.col("last_harvest"), F.col("plan_date")))
+
+
+@query(with_sql("order_plan", "suppliers", "shipments") + """, e AS (SELECT CAST(DATE '2001-06-01' + CAST(user_id % 120 AS INTEGER) AS DATE) AS plan_date, event_id AS seq, event_type,
+  CASE event_type WHEN 'purchase' THEN 1 WHEN 'signup' THEN 2 ELSE 0 END AS kind, CASE WHEN event_type = 'error' THEN -1 ELSE event_id % 29 END AS field_id FROM events),
+ok AS (SELECT * FROM e WHERE kind > 0 OR field_id IN (SELECT id FROM suppliers)),
+top AS (SELECT list(CAST(id AS BIGINT) ORDER BY last NULLS FIRST, id)[:3] AS ids FROM (SELECT id, max(harvest_date) AS last FROM suppliers LEFT JOIN shipments ON field_id = id GROUP BY id)),
+old AS (SELECT plan_date, list(CAST(field_id AS BIGINT) ORDER BY position) AS ids FROM order_plan GROUP BY plan_date),
+log AS (SELECT plan_date, list([CAST(kind AS BIGINT), CAST(field_id AS BIGINT)] ORDER BY seq) AS edits FROM ok GROUP BY plan_date),
+whole AS (SELECT plan_date, coalesce(old.ids, CASE WHEN edits[1][1] = 2 THEN top.ids ELSE [] END) AS ids, coalesce(edits, []) AS edits FROM old FULL JOIN log USING (plan_date), top),
+folded AS (SELECT plan_date, list_reduce(list_prepend(ids, edits), lambda a, x: CASE WHEN x[1] = 0 AND NOT list_contains(a, x[2]) THEN list_append(a, x[2]) WHEN x[1] = 1 THEN list_filter(a, lambda y: y <> x[2]) ELSE a END) AS ids FROM whole)
+SELECT 'plan' AS what, plan_date, ids[i] AS field_id, CAST(i AS INTEGER) AS position, CAST(NULL AS BIGINT) AS seq, NULL AS reason FROM (SELECT plan_date, ids, unnest(range(1, len(ids) + 1)) AS i FROM folded)
+UNION ALL SELECT 'mark', plan_date, NULL, NULL, NULL, NULL FROM whole
+UNION ALL SELECT 'refused', plan_date, field_id, NULL, seq, 'unknown field' FROM e WHERE kind = 0 AND field_id NOT IN (SELECT id FROM suppliers)""")
+def plan_edit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events replayed as edits of the plan that orders make."""
+    plan = D.order_plan(spark, sf_dir)
+    days = plan.select("plan_date").distinct().withColumn("initialized", F.lit(True))
+    return edits.as_one(edits.replayed(plan, days, D.suppliers(spark, sf_dir), D.shipments(spark, sf_dir), D.plan_edits(spark, sf_dir)))
+
+
+@query(with_sql("readings") + """SELECT coalesce(a.day, r.day) AS day, t_min, t_max, wind_avg, radiation FROM
+(SELECT local_day AS day, min(number) FILTER (WHERE element = 'TA') AS t_min, max(number) FILTER (WHERE element = 'TA') AS t_max, avg(number) FILTER (WHERE element = 'WS10M') AS wind_avg FROM readings WHERE element IN ('TA', 'WS10M') GROUP BY 1) a
+FULL JOIN (SELECT utc_day AS day, arg_max(number, seq) AS radiation FROM readings WHERE element = 'DRQS' GROUP BY 1) r ON a.day = r.day""", means=("wind_avg",))
+def weather_from_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All days from the states of three parts of the readings, which arrive apart."""
+    readings = D.readings(spark, sf_dir)
+    parts = [readings.where(F.col("hour").between(8 * i, 8 * i + 7)) for i in (2, 0, 1)]
+    return daily_state.measures(daily_state.merged(*map(daily_state.state, parts)))
+
+
+@query(with_sql("harvests") + """, delta AS (SELECT DATE '1998-07-01' AS harvest_date, CAST(i AS INTEGER) AS field_id, CAST(9.5 AS DECIMAL(12,2)) AS a FROM range(1, 15) t(i) UNION ALL SELECT DATE '1999-02-28', 3, 1.25)
+SELECT strftime(harvest_date, '%Y-%m') AS month, harvest_date, field_id, coalesce(h.interval_days, 5) AS interval_days, coalesce(d.a, h.a) AS a, coalesce(h.b, 0) AS b, coalesce(h.c, 0) AS c, coalesce(h.xl, 0) AS xl
+FROM harvests h FULL JOIN delta d USING (harvest_date, field_id) WHERE strftime(harvest_date, '%Y-%m') IN ('1998-07', '1999-02')""", ("a", "b", "c", "xl"))
+def upsert_harvest_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a write rewrites: the months that it touches, and no others."""
+    first = D.fields(spark).selectExpr("DATE '1998-07-01' AS harvest_date", "id AS field_id", "CAST(9.5 AS DECIMAL(12,2)) AS a")
+    delta = first.unionByName(spark.range(1).selectExpr("DATE '1999-02-28' AS harvest_date", "3 AS field_id", "CAST(1.25 AS DECIMAL(12,2)) AS a"))
+    return U.touched_months(D.harvests(spark, sf_dir), delta, ["harvest_date", "field_id"], ["a"], "harvest_date", {"interval_days": 5, "b": 0, "c": 0, "xl": 0})
+
+
+def _with_functions(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    sql_functions.register(spark, D.fields(spark), D.daily_plan(spark), D.harvests(spark, sf_dir), D.weather(spark, sf_dir))
+    return spark.sql(sql)
+
+
+@query(_history_sql(300), ("a", "b", "c", "xl", "total"))
+def sql_harvest_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_functions(spark, sf_dir, "SELECT * FROM harvest_history(300)")
+
+
+@query(_PLAN_SQL + " WHERE year(plan_date) = 1998")
+def sql_daily_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_functions(spark, sf_dir, "SELECT d.plan_date, p.* FROM (SELECT DISTINCT plan_date FROM furrow_plan WHERE year(plan_date) = 1998) d, LATERAL daily_plan_of(d.plan_date) p")
+
+
+@query(with_sql("fields", "harvests", "plan") + _INTERVALS.format(probes="(SELECT DATE '1998-07-01' AS plan_date, id AS field_id, p.position FROM fields LEFT JOIN daily_plan p ON p.plan_date = DATE '1998-07-01' AND p.field_id = id)") + "SELECT field_id, interval_days FROM intervals")
+def sql_field_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_functions(spark, sf_dir, "SELECT id AS field_id, field_interval(DATE'1998-07-01', id) AS interval_days FROM furrow_fields")
+
+
+@query(ORACLE_SQL["weather_status"])
+def sql_weather_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_functions(spark, sf_dir, "SELECT * FROM weather_status(DATE'2023-12-25', DATE'2024-02-05')")

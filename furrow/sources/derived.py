@@ -18,6 +18,8 @@ PLAN_START, PLAN_END = datetime.date(1995, 1, 1), datetime.date(2001, 11, 1)
 WEATHER_START, WEATHER_END = datetime.date(2023, 12, 31), datetime.date(2024, 2, 1)
 #: Days from here on count as forecast in the derived weather table.
 FORECAST_FROM = datetime.date(2024, 1, 25)
+#: The first of the days that events edit; the last ones are after all orders.
+EDITS_START = datetime.date(2001, 6, 1)
 ELEMENTS = {"click": "TA", "view": "WS10M", "purchase": "DRQS"}
 
 
@@ -30,6 +32,53 @@ def fields(spark: SparkSession, count: int = FIELD_COUNT, prefix: str = "Field "
     return ids.withColumn("name", F.concat(F.lit(prefix), F.col("id").cast("string")))
 
 
+def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as fields."""
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("id"), F.col("s_name").alias("name"))
+
+
+def order_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each day's orders ask for: the suppliers of their lines, in the order in which they are asked first."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("plan_date"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").cast("int").alias("field_id"))
+    asked = orders.join(lines, "o_orderkey").groupBy("plan_date", "field_id").agg(F.min("o_orderkey").alias("first"))
+    turn = F.row_number().over(Window.partitionBy("plan_date").orderBy("first", "field_id"))
+    return asked.select("plan_date", "field_id", turn.cast("int").alias("position"))
+
+
+def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(harvest_date, field_id) of every line shipped."""
+    return table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("harvest_date"), F.col("l_suppkey").cast("int").alias("field_id"))
+
+
+def plan_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as edits of the order plan, in the order of their ids; errors name a field that doesn't exist."""
+    kind = F.when(F.col("event_type") == "purchase", "remove").when(F.col("event_type") == "signup", "default").otherwise("add")
+    field = F.when(F.col("event_type") == "error", -1).otherwise(F.col("event_id") % 29).cast("int")
+    day = F.date_add(F.lit(EDITS_START), (F.col("user_id") % 120).cast("int"))
+    return table(spark, sf_dir, "events").select(day.alias("plan_date"), F.col("event_id").alias("seq"), kind.alias("kind"), field.alias("field_id"))
+
+
+def settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as writes of one setting, in the order of their ids."""
+    return table(spark, sf_dir, "events").select(F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("key"), F.col("event_type").alias("value"), F.col("event_id").alias("seq"))
+
+
+def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One forecast payload (json) for each user, gathered from its events by day and by hour, so bounded by the calendar."""
+    events = table(spark, sf_dir, "events")
+    value = lambda kind: F.when(F.col("event_type") == kind, F.col("value"))
+    gathered = lambda *c: F.array_sort(F.collect_list(F.struct(*c)))
+    every = lambda rows, c: F.transform(rows, lambda r: r[c])
+    days = events.groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("time")).agg(F.min(value("click")).alias("low"), F.max(value("click")).alias("high"), F.sum(value("purchase").cast("decimal(12,2)")).cast("double").alias("sun"))
+    days = days.groupBy("user_id").agg(gathered("time", "low", "high", "sun").alias("d"))
+    hours = events.where("event_type = 'view'").groupBy("user_id", F.date_format("ts", "yyyy-MM-dd'T'HH:00").alias("time")).agg(F.max("value").alias("wind"))
+    hours = hours.groupBy("user_id").agg(gathered("time", "wind").alias("h"))
+    daily = F.struct(every("d", "time").alias("time"), every("d", "low").alias("temperature_2m_min"), every("d", "high").alias("temperature_2m_max"), every("d", "sun").alias("shortwave_radiation_sum"))
+    hourly = F.struct(every("h", "time").alias("time"), every("h", "wind").alias("wind_speed_10m"))
+    return days.join(hours, "user_id", "left").select(F.to_json(F.struct(daily.alias("daily"), hourly.alias("hourly"))).alias("json"))
+
+
 def harvests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of lineitem by day and field; the last two fields were never harvested."""
     lines = table(spark, sf_dir, "lineitem")
@@ -53,7 +102,7 @@ def plan_days(spark: SparkSession) -> DataFrame:
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly station readings in long format, with their order of arrival as ``seq``."""
+    """Hourly station readings in long format, with their order of arrival as ``seq`` and their UTC time."""
     events = table(spark, sf_dir, "events")
     element = F.create_map(*[F.lit(x) for pair in ELEMENTS.items() for x in pair])[F.col("event_type")]
     ts = F.col("ts")
@@ -66,11 +115,14 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("value") / 4).alias("value"),
         element.alias("element"),
         F.col("event_id").alias("seq"),
+        ts.cast("timestamp_ntz").alias("time"),
     ).where("element IS NOT NULL")
 
 
-def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").withColumn("weather_date", E.local_day(F.col("ts")))
+def weather(spark: SparkSession, sf_dir: str, start: datetime.date = WEATHER_START, end: datetime.date = WEATHER_END) -> DataFrame:
+    """The derived weather table, or its days from start to end, which ask the scan of events for a range of times."""
+    start, end = max(start, WEATHER_START), min(end, WEATHER_END)
+    events = table(spark, sf_dir, "events").where(E.within_days(F.col("ts"), start, end)).withColumn("weather_date", E.local_day(F.col("ts")))
     value = lambda kind: F.when(F.col("event_type") == kind, F.col("value"))
     daily = events.groupBy("weather_date").agg(
         F.avg(value("click")).alias("temp_avg_c"),
@@ -82,7 +134,7 @@ def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max(value("view")).alias("wind_gust_ms"),
         F.max_by(value("purchase") / 4, F.when(F.col("event_type") == "purchase", F.col("event_id"))).alias("radiation_mj_m2"),
     )
-    spine = weather_ops.day_spine(spark, WEATHER_START, WEATHER_END).withColumnRenamed("day", "weather_date")
+    spine = weather_ops.day_spine(spark, start, end).withColumnRenamed("day", "weather_date")
     problems = E.measured_problems(F.col("temp_min_c"), F.col("temp_max_c"), F.col("wind_avg_ms"), F.col("radiation_mj_m2"))
     return spine.join(daily, "weather_date", "left").withColumns(
         {"data_kind": F.when(F.col("weather_date") < F.lit(FORECAST_FROM), "measured").otherwise("forecast"), "checked": F.size(problems) == 0, "check_message": E.message(problems, "checked")}
@@ -104,6 +156,10 @@ def problems_sql(t_min: str, t_max: str, wind: str, radiation: str) -> str:
 
 _LOCAL = "CAST(ts AT TIME ZONE 'UTC' AT TIME ZONE 'Europe/Tallinn' AS DATE)"
 WITH = {
+    "suppliers": "suppliers AS (SELECT CAST(s_suppkey AS INTEGER) AS id, s_name AS name FROM supplier)",
+    "order_plan": """order_plan AS (SELECT plan_date, field_id, CAST(row_number() OVER (PARTITION BY plan_date ORDER BY asked, field_id) AS INTEGER) AS position
+  FROM (SELECT CAST(o_orderdate AS DATE) AS plan_date, CAST(l_suppkey AS INTEGER) AS field_id, min(o_orderkey) AS asked FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2))""",
+    "shipments": "shipments AS (SELECT CAST(l_shipdate AS DATE) AS harvest_date, CAST(l_suppkey AS INTEGER) AS field_id FROM lineitem)",
     "fields": "fields AS (SELECT CAST(i AS INTEGER) AS id, 'Field ' || i AS name FROM range(1, 15) t(i))",
     "events_local": "events_local AS (SELECT event_id, ts AT TIME ZONE 'UTC' AT TIME ZONE 'Europe/Tallinn' AS l FROM events)",
     "harvests": """lines AS (SELECT CAST(l_shipdate AS DATE) AS harvest_date, CAST(l_suppkey % 12 + 1 AS INTEGER) AS field_id, CAST(l_quantity AS DECIMAL(12,2)) AS q, l_returnflag AS f, l_linestatus AS s

@@ -7,7 +7,8 @@ Readings have one partition for each element and month:
         .option("start", "2024-07-01").option("end", "2024-08-19").load()
 
 Station, element, year and month are sent with each request, so the service filters; requests run in parallel on
-the executors.  A reply that isn't a list of readings is an error, or with ``lenient`` no readings, as it is for
+the executors.  With ``spark.sql.python.filterPushdown.enabled``, filters on element, year and month leave out
+requests that can't match, and one on the station goes to the service by its exact name.  A reply that isn't a list of readings is an error, or with ``lenient`` no readings, as it is for
 daily radiation.
 
     spark.read.format("forecast_payload").option("url", ...).option("latitude", ...).option("longitude", ...)
@@ -25,7 +26,7 @@ import urllib.request
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 SCHEMA = "station string, year int, month int, day int, hour int, value string, element string"
 TIMEOUT_S = 45
@@ -45,19 +46,40 @@ def months(start: datetime.date, end: datetime.date) -> Iterator[tuple[int, int]
         yield n // 12, n % 12 + 1
 
 
+def may_hold(condition: Filter, value: object) -> bool:
+    """Whether a value fulfils a filter; filters of other kinds leave nothing out."""
+    tests = {EqualTo: lambda x: value == x, EqualNullSafe: lambda x: value == x, In: lambda x: value in x, GreaterThan: lambda x: value > x, GreaterThanOrEqual: lambda x: value >= x, LessThan: lambda x: value < x, LessThanOrEqual: lambda x: value <= x}
+    test = tests.get(type(condition))
+    return test is None or bool(test(condition.value))
+
+
 class StationReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.options = options
+        self.filters: list[Filter] = []
+        self.named: str | None = None
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
+        """Keeps filters on what a request asks for; Spark evaluates all of them again on the rows."""
+        for f in filters:
+            if f.attribute in (("element",), ("year",), ("month",)):
+                self.filters.append(f)
+            elif f.attribute == ("station",) and isinstance(f, EqualTo):
+                self.named = f.value
+            yield f
 
     def partitions(self) -> list[MonthPartition]:
         start, end = (datetime.date.fromisoformat(self.options[k]) for k in ("start", "end"))
-        return [MonthPartition(e, y, m) for e in self.options["elements"].split(",") for y, m in months(start, end)]
+        parts = [MonthPartition(e, y, m) for e in self.options["elements"].split(",") for y, m in months(start, end)]
+        return [p for p in parts if all(may_hold(f, getattr(p, f.attribute[0])) for f in self.filters)]
 
-    def read(self, partition: MonthPartition) -> Iterator[tuple]:
+    def read(self, partition: MonthPartition | None) -> Iterator[tuple]:
+        if partition is None:  # no month fulfils the filters
+            return
         station = self.options["station"]
         exact = self.options.get("exact", "false") == "true"
         asked = {
-            NAMES["station"]: f"like.{station}" if exact else f"ilike.*{station}*",
+            NAMES["station"]: f"eq.{self.named}" if self.named is not None else f"like.{station}" if exact else f"ilike.*{station}*",
             NAMES["element"]: f"eq.{partition.element}",
             NAMES["year"]: f"eq.{partition.year}",
             NAMES["month"]: f"eq.{partition.month}",

@@ -1,8 +1,10 @@
 """Continuous ingestion: station readings as a stream, kept as a keyed table of checked days.
 
-The batch refresh rereads a whole window and overwrites it, which absorbs late corrections.  The stream does the
-same for each micro-batch: the days that its readings touch are computed again from all stored readings, and
-upserted.  Windows are grouped by local date, as fixed-length windows don't follow daylight saving.
+Each micro-batch is stored as a state of the days that it touches, which merges with the states before it, so a late
+reading costs its own month's states and no reading is read twice.  A micro-batch that is repeated after a failure
+replaces its own state; a reading that is sent twice in different batches counts twice, as in the batch refresh, and the
+last radiation of a day is that of the last batch.  Days are local dates, as fixed-length windows don't follow daylight
+saving.
 """
 
 from __future__ import annotations
@@ -15,9 +17,13 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from furrow import schemas
 from furrow.functions import expressions as E
+from furrow.operators import daily_state
 from furrow.operators import upsert as U
 from furrow.operators import weather as W
 
+#: What a stored state has: its rows, and the month and batch that its folders are named for.
+STORED = daily_state.STATE.format(seq="struct<batch: bigint, row: bigint>") + ", month string, batch bigint"
+
 
 def readings_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
     """New JSON files of readings, under the explicit schema."""
@@ -29,23 +35,24 @@ def touched_days(batch: DataFrame, zone: str = E.HOME_ZONE) -> DataFrame:
 
 
 def day_writer(store: str, load: Callable[[], DataFrame], save: Callable[[DataFrame], None], zone: str = E.HOME_ZONE) -> Callable[[DataFrame, int], None]:
-    """A writer for ``into``: stores the readings, computes touched days again from all stored ones, and upserts weather.
+    """A writer for ``into``: stores the state of each micro-batch, merges those of the days it touches, and upserts weather.
 
-    Each micro-batch has its folder in ``store``, so a repeated one counts once.  ``load`` gives the weather table,
-    and ``save`` puts another in its place.
+    States lie in folders by month and batch.  ``load`` gives the weather table, and ``save`` puts another in its
+    place.  The touched months of one batch come to the driver, so that the others' folders aren't listed or read.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.withColumn("row", F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
-        stored = spark.read.schema(schemas.READINGS + ", row long, batch long").parquet(store).withColumn("seq", F.struct("batch", "row"))
-        new = stored.where(F.col("batch") == batch_id)
-        plain = new.where("element = 'DRQS'").select(E.calendar_day(F.col("year"), F.col("month"), F.col("day")).alias("day")).where("day IS NOT NULL")
-        days = touched_days(new.where("element IN ('TA', 'WS10M')"), zone).unionByName(plain).distinct()
-        ends = days.agg(F.min("day").alias("start"), F.max("day").alias("end")).first()
-        if ends["start"] is None:
+        numbered = batch.withColumn("seq", F.struct(F.lit(batch_id).cast("long").alias("batch"), F.monotonically_increasing_id().alias("row")))
+        new = daily_state.state(numbered, zone).withColumns({"month": F.date_format("day", "yyyy-MM"), "batch": F.lit(batch_id).cast("long")})
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month", "batch").parquet(store)
+        stored = spark.read.schema(STORED).parquet(store)
+        touched = stored.where(F.col("batch") == batch_id).select("month", "day").distinct()
+        months = [r["month"] for r in touched.select("month").distinct().collect()]
+        if not months:
             return
-        rows = W.measured(stored, stored, ends["start"], ends["end"], zone).join(days.withColumnRenamed("day", "weather_date"), "weather_date", "left_semi")
+        same_days = stored.where(F.col("month").isin(months)).join(touched, ["month", "day"], "left_semi").drop("month", "batch")
+        rows = W.judged(daily_state.measures(daily_state.merged(same_days)))
         payload = [c for c in rows.columns if c != "weather_date"]
         save(U.upsert(load(), rows, ["weather_date"], payload, schemas.DEFAULTS["weather_daily"]))
 
