@@ -26,8 +26,9 @@ that part, unless it is longer than all other text; one inside an unclosed part
 Defined results: null or empty html gives empty text; character references are decoded; white space in a block
 becomes one space, and blocks are joined by one space; repeated rows each get their row; an empty table gives an
 empty table.  Broken markup stops nothing and takes time in proportion to the page's length, however long: a
-declaration such as ``<![if x]>`` ends at the next ``>``; a comment that never ends is none; a tag whose quotes or
-whose ``>`` never come loses its quotes, or is text.
+declaration such as ``<![if x]>`` ends at the next ``>``; a comment that never ends is none; a tag whose ``>`` never
+comes is text; a quote in a tag that is never closed is taken out.  If quotes around all later ``>`` keep a tag open, it
+and later tags like it lose their own quotes; quotes in text stay.
 """
 
 from __future__ import annotations
@@ -110,8 +111,17 @@ _SOUND = re.compile(
 )
 
 
+_TAG = re.compile(rf"<[A-Za-z][^\s/>]*+{_ATTRIBUTES}")
+_WHOLE = re.compile(_TAG.pattern + ">")
+_QUOTE, _MARKUP = re.compile("[\"']"), re.compile("<[A-Za-z][^>]*+>")
+
+
 def repaired(html: str) -> str:
-    """The page without what the parser can't read or reads again and again; sound pages stay as they are."""
+    """The page without what the parser can't read or reads again and again; sound pages stay as they are.
+
+    A quote that is never closed is the last of its kind, so there are two such places at most; a tag that never ends
+    as its quotes pair up with later ones is mended with all later ones, once.
+    """
     out, at = [], 0
     while True:
         end = _SOUND.match(html, at).end()
@@ -125,8 +135,14 @@ def repaired(html: str) -> str:
             return "".join([*out, html[end:].replace("<", "&lt;")])
         elif html[end + 1] in "!?":
             at = close + 1
-        else:  # a quote that isn't closed, so no tag after this one can close it
-            html, at = re.sub("[\"']", " ", html[end:]), 0
+        else:
+            stop = _TAG.match(html, end).end()
+            if stop < len(html):
+                quote = _QUOTE.search(html, stop).start()
+                html, at = html[end:quote] + " " + html[quote + 1 :], 0
+            else:
+                last = html.rfind(">") + 1
+                html, at = _MARKUP.sub(lambda m: m[0] if _WHOLE.fullmatch(m[0]) else _QUOTE.sub(" ", m[0]), html[end:last]) + html[last:], 0
 
 
 class Lines(HTMLParser):
