@@ -7,8 +7,9 @@ alternative; postings are intersected by counting them for each document and alt
 fulfil an alternative are verified with the expression itself.  A rule without mandatory trigrams scans all
 documents.
 
-Texts are never shuffled: the candidates' keys come to the documents by broadcast (beyond a million of them by a
-join), and the places of matches are sums inside the row.
+Texts are not shuffled: the candidates' keys come to the documents by broadcast, and the places of matches are sums
+inside the row.  Beyond a million candidates only texts that hold the rarest trigram of some alternative are joined to
+them, hot texts by broadcast; the others need no answer.  Each expression takes time in proportion to a text.
 
 Spans are code points, end exclusive.  Matches are leftmost and do not overlap within a kind, and a match whose
 checked group is too short is dropped after it was found.  Defined results: a null text is empty; repeated rows
@@ -20,22 +21,26 @@ from __future__ import annotations
 import re._constants as C
 import re._parser as parser
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.session import few
+from furrow.llm import session
+from furrow.llm.session import joined_by_size, settled
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``least`` characters in ``group`` make a match count."""
+    """``least`` characters in ``group`` make a match count; with ``own`` the group, which ends the match, is its span."""
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 1
     base: bool = False
+    own: bool = False
     fast: str | None = None  # finds the same counted matches in fewer steps
 
 
@@ -49,7 +54,8 @@ RULES = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[0-9A-Za-z_-]{35}"),
     Rule("stripe", r"sk_live_[0-9A-Za-z]{16,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    # only where a run of its letters begins, as else a run of such beginnings would be read again from each
+    Rule("jwt", r"(?:^|[^A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})", 1, own=True),
 )
 #: Classes of up to so many characters are spelled out as alternatives.
 SPELL = 5
@@ -96,13 +102,19 @@ def _lead(grams: frozenset[str]) -> str:
     return min(grams, key=lambda g: (sum(c in _COMMON for c in g), g))
 
 
+def _leads(queries: list[frozenset[str]]) -> dict[str, set[str]]:
+    """By rarest trigram, the trigrams of the alternatives that it leads."""
+    leads: dict[str, set[str]] = {}
+    for q in queries:
+        leads.setdefault(_lead(q), set()).update(q)
+    return leads
+
+
 def postings(docs: DataFrame, queries: list[frozenset[str]]) -> DataFrame:
     """(k1, k2, trigram): which documents hold which of the queries' trigrams, in either case."""
     lower = docs.select("k1", "k2", F.lower("text").alias("lower"))
     holds = lambda t: F.contains("lower", F.lit(t))
-    leads: dict[str, set[str]] = {}
-    for q in queries:
-        leads.setdefault(_lead(q), set()).update(q)
+    leads = _leads(queries)
     held = [F.when(holds(lead), F.array_compact(F.array(F.lit(lead), *[F.when(holds(t), F.lit(t)) for t in sorted(grams - {lead})]))) for lead, grams in sorted(leads.items())]
     return lower.select("k1", "k2", F.explode(F.flatten(F.array_compact(F.array(*held)))).alias("trigram"))
 
@@ -125,9 +137,18 @@ def _parted(rules: tuple[Rule, ...]) -> tuple[tuple[Rule, ...], tuple[Rule, ...]
 def _asked(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """The documents with ``kinds``: which of the indexed rules may match."""
     _, indexed = _parted(rules)
+    none = F.expr("cast(array() as array<string>)")
     if not indexed:
-        return docs.withColumn("kinds", F.expr("cast(array() as array<string>)"))
-    return docs.join(few(candidates(docs, indexed)), ["k1", "k2"], "left")
+        return docs.withColumn("kinds", none)
+    found = settled(candidates(docs, indexed))
+    if found.count() <= session.BROADCAST_ROWS:
+        return docs.join(F.broadcast(found), ["k1", "k2"], "left")
+    led = docs.withColumn("led", reduce(or_, [F.contains(F.lower("text"), F.lit(t)) for t in _leads([q for r in indexed for q in trigram_query(r.pattern)])]))
+    asking = led.where("led").drop("led")
+    groups = settled(asking.groupBy("k1", "k2").agg(F.count("*").alias("n")).join(found, ["k1", "k2"], "left"))
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    answered = joined_by_size(asking, groups, ["k1", "k2"], total)
+    return answered.unionByName(led.where(~F.col("led")).drop("led").withColumn("kinds", none))
 
 
 def _wanted(rule: Rule, rules: tuple[Rule, ...]) -> Column:
@@ -144,7 +165,8 @@ def _matches(rule: Rule) -> Column:
 
 def _places(rule: Rule, rank: int) -> Column:
     """The counted matches of a row as (start, rank, kind, end): running sums of the lengths, block by block."""
-    lengths = F.transform(_matches(rule), lambda m: F.struct(F.length(m["gap"]).cast("long").alias("gap"), F.length(m["hit"]).cast("long").alias("hit"), (F.length(m["checked"]) >= rule.least).alias("counts")))
+    before = lambda m: F.length(m["hit"]) - F.length(m["checked"]) if rule.own else F.lit(0)
+    lengths = F.transform(_matches(rule), lambda m: F.struct((F.length(m["gap"]) + F.coalesce(before(m), F.lit(0))).cast("long").alias("gap"), (F.length(m["hit"]) - before(m)).cast("long").alias("hit"), (F.length(m["checked"]) >= rule.least).alias("counts")))
     size = lambda a, m: a + m["gap"] + F.coalesce(m["hit"], F.lit(0))
     span = lambda a, m: F.struct((a + m["gap"]).alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), size(a, m).alias("end"))
     none = F.expr("cast(array() as array<struct<start: bigint, rank: int, kind: string, end: bigint>>)")
@@ -193,7 +215,8 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def _masked(rule: Rule) -> Column:
-    mask = lambda m: F.when(F.length(m["checked"]) >= rule.least, F.lit("[secret]")).otherwise(F.coalesce(m["hit"], F.lit("")))
+    before = lambda m: F.substring(m["hit"], F.lit(1), F.length(m["hit"]) - F.length(m["checked"])) if rule.own else F.lit("")
+    mask = lambda m: F.when(F.length(m["checked"]) >= rule.least, F.concat(before(m), F.lit("[secret]"))).otherwise(F.coalesce(m["hit"], F.lit("")))
     return F.array_join(F.transform(_matches(rule), lambda m: F.concat(m["gap"], mask(m))), "")
 
 
