@@ -3,9 +3,13 @@
 Documents go by in shards of a few MB.  A shard's words become numbers of the benchmark's vocabulary (0: not
 in it), and its suffix array holds, in sorted order, every suffix that can match at all: those that begin
 with as many vocabulary words as the shortest window has.  Suffixes are ordered by their first ten words;
-every benchmark suffix is found by binary search in each shard, which gives the range of all its occurrences,
-and matches are extended word by word to their full length.  A document lies in one shard, so nothing is
-shuffled.
+every benchmark suffix is found by binary search in each shard, which gives the range of all its occurrences.  A
+document lies in one shard, so nothing is shuffled.
+
+How far a match goes on is told by the benchmark's own suffix array, which is in full order: the longest match of a
+place is with one of its two neighbours there.  Suffixes are compared by names, numbers for runs of 1, 2, 4, ... words
+that are equal only for equal runs, so a comparison takes as many steps as the length has bits, and a text that repeats
+itself, or a line that thousands of items share, takes no more time than others.
 
 The benchmark comes to the tasks in blocks of at most ``BLOCK_BYTES`` of text; with several blocks the
 documents pass one after another of them.
@@ -36,7 +40,7 @@ WINDOW_WORDS = 10
 BLOCK_BYTES = 8 << 20
 #: Text of the documents in one suffix array.
 SHARD_BYTES = 4 << 20
-#: Occurrences that are told apart by item at once.
+#: Places of windows that are told apart by item at once.
 _PIECE = 1 << 17
 
 
@@ -52,6 +56,9 @@ class Block:
     keys: dict[int, np.ndarray]  # by window length: the sorted distinct windows
     at: dict[int, tuple[np.ndarray, np.ndarray]]  # by window length: first occurrence of each window in places, places
     least: int
+    names: list[np.ndarray]  # by level k: the name of the 1 << k words from each place, 0 if a 0 is among them
+    pairs: list[np.ndarray]  # by level k > 0: the sorted pairs of lower names, in the order of the names from 1
+    order: np.ndarray  # places of words, by the suffixes that begin there
 
     @classmethod
     def of(cls, rows: list[tuple[str | None, str | None]], window: int) -> Block:
@@ -75,7 +82,40 @@ class Block:
             order = np.argsort(whole, kind="stable")
             keys[length], head = np.unique(whole[order], return_index=True)
             at[length] = (np.append(head, len(begin)), begin[order])
-        return cls([i for i, _ in rows], words, item, vocabulary, sieve, keys, at, min(keys, default=0))
+        names, pairs = _named(words)
+        return cls([i for i, _ in rows], words, item, vocabulary, sieve, keys, at, min(keys, default=0), names, pairs, _ordered(words))
+
+
+def _after(values: np.ndarray, step: int) -> np.ndarray:
+    """The value ``step`` places on, 0 beyond the end."""
+    out = np.zeros_like(values)
+    out[: max(len(values) - step, 0)] = values[step:]
+    return out
+
+
+def _named(words: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Names of all runs of 1, 2, 4, ... words without a 0, while there are any."""
+    names, pairs = [words.astype(np.int64)], [np.zeros(0, np.int64)]
+    while True:
+        low = names[-1]
+        both = (low << 32) | _after(low, 1 << (len(names) - 1))
+        known, number = np.unique(np.where((low > 0) & (both & 0xFFFFFFFF > 0), both, 0), return_inverse=True)
+        if not len(known) or known[-1] == 0:
+            return names, pairs
+        names.append(number + (known[0] > 0))
+        pairs.append(known[known > 0])
+
+
+def _ordered(words: np.ndarray) -> np.ndarray:
+    """Places of words in the order of their suffixes, each up to the next 0, by doubling the length compared."""
+    rank, step = words.astype(np.int64), 1
+    while len(rank):
+        _, number = np.unique((rank << 32) | np.where(rank > 0, _after(rank, step), 0), return_inverse=True)
+        number = np.where(words > 0, number + 1, 0)
+        if number.max() == rank.max() and step > 1:
+            break
+        rank, step = number, 2 * step
+    return np.argsort(rank, kind="stable")[np.count_nonzero(words == 0) :]
 
 
 def _keys(words: np.ndarray, begin: np.ndarray, length: int) -> np.ndarray:
@@ -84,17 +124,48 @@ def _keys(words: np.ndarray, begin: np.ndarray, length: int) -> np.ndarray:
     return np.ascontiguousarray(padded[begin[:, None] + np.arange(length)].astype(">u4")).view(f"S{4 * length}").ravel()
 
 
-def _longest(words: np.ndarray, p: np.ndarray, block: Block, t: np.ndarray) -> np.ndarray:
-    """How many words from place p of the shard equal those from place t of the benchmark."""
+def _names_in(words: np.ndarray, block: Block) -> list[np.ndarray]:
+    """The benchmark's names of the runs from each place of other words, 0 of runs that the benchmark doesn't have."""
+    names = [words.astype(np.int64)]
+    for k, known in enumerate(block.pairs[1:]):
+        both = (names[-1] << 32) | _after(names[-1], 1 << k)
+        at = np.minimum(np.searchsorted(known, both), len(known) - 1)
+        names.append(np.where(known[at] == both, at + 1, 0))
+    return names
+
+
+def _common(names: list[np.ndarray], p: np.ndarray, block: Block, t: np.ndarray) -> np.ndarray:
+    """How many words from places p of a text equal those from places t of the benchmark."""
     length = np.zeros(len(p), np.int64)
-    going = np.arange(len(p))
-    while len(going):
-        a = words[p[going] + length[going]]
-        going = going[(a == block.words[t[going] + length[going]]) & (a > 0)]
-        length[going] += 1
+    for k in reversed(range(len(names))):
+        x = names[k][p + length]
+        length += ((x > 0) & (x == block.names[k][t + length])).astype(np.int64) << k
     return length
 
 
+def _longest(words: np.ndarray, p: np.ndarray, block: Block) -> np.ndarray:
+    """The length of the longest run from each place p of a text that the benchmark has anywhere: binary search.
+
+    Only the runs of known words that hold these places are looked at.
+    """
+    run = np.cumsum(words == 0)
+    asked = np.zeros(int(run[-1]) + 1, bool)
+    asked[run[p]] = True
+    kept = asked[run]
+    words, p = np.append(words[kept], 0), (np.cumsum(kept) - 1)[p]
+    names = _names_in(words, block)
+    low, high = np.zeros(len(p), np.int64), np.full(len(p), len(block.order))
+    best = np.zeros(len(p), np.int64)
+    while (open_ := np.flatnonzero(low < high)).size:
+        middle = (low[open_] + high[open_]) // 2
+        t = block.order[middle]
+        n = _common(names, p[open_], block, t)
+        best[open_] = np.maximum(best[open_], n)
+        less = block.words[t + n] < words[p[open_] + n]
+        low[open_], high[open_] = np.where(less, middle + 1, low[open_]), np.where(less, high[open_], middle)
+    return best
+
+
 def _search(data: np.ndarray, off: np.ndarray, block: Block, window: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray, set, int]]]:
     """Words of each text; for texts with hits: (row, hit flags of its words, items, longest match)."""
     starts, ends, first = textkit.words(data, off, textkit.NOT_ALNUM)
@@ -132,21 +203,19 @@ def _search(data: np.ndarray, off: np.ndarray, block: Block, window: int) -> tup
         np.add.at(hit, p + length, -1)
         head, places = block.at[length]
         text = np.searchsorted(text_first, p, "right") - 1
-        for row, window_of, pair_of in _expanded(np.unique(text * len(queries) + q), head, places, len(queries)):
+        for row, window_of in _expanded(np.unique(text * len(queries) + q), head, places, len(queries)):
             pairs = np.unique(row * len(block.item_ids) + block.item[window_of])
             for x in pairs.tolist():
                 at, item = divmod(x, len(block.item_ids))
                 per_text.setdefault(at, set()).add(block.item_ids[item])
-        for _, t, at in _expanded(q, head, places, len(queries)):
-            pp, tt = p[at], text[at]
-            left = (pp == 0) | (t == 0) | (words[pp - 1] != block.words[t - 1]) | (words[pp - 1] == 0)
-            np.maximum.at(best, tt[left], _longest(words, pp[left], block, t[left]))
+        n = _longest(words, p, block) if length == window else np.full(len(p), length)
+        np.maximum.at(best, text, n)
     covered = np.cumsum(hit) > 0
     return n_words, [(row, covered[text_first[row] : text_first[row] + n_words[row]], items - {None}, int(best[row])) for row, items in sorted(per_text.items())]
 
 
-def _expanded(keys: np.ndarray, head: np.ndarray, places: np.ndarray, queries: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(quotient of the key, place of its window in the benchmark, number of the key) for all places, piece by piece.
+def _expanded(keys: np.ndarray, head: np.ndarray, places: np.ndarray, queries: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(quotient of the key, place of its window in the benchmark) for all places, piece by piece.
 
     A key's remainder is the number of its window.  A window that many items hold comes in several pieces.
     """
@@ -155,7 +224,7 @@ def _expanded(keys: np.ndarray, head: np.ndarray, places: np.ndarray, queries: i
     for lo in range(0, int(ends[-1]) if len(ends) else 0, _PIECE):
         index = np.arange(lo, min(lo + _PIECE, int(ends[-1])))
         at = np.searchsorted(ends, index, "right")
-        yield row[at], places[head[window[at] + 1] - (ends[at] - index)], at
+        yield row[at], places[head[window[at] + 1] - (ends[at] - index)]
 
 
 def _last(queries: np.ndarray, length: int, window: int) -> np.ndarray:
@@ -186,7 +255,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """(doc_id, n_words, n_hit, items, longest_match, spans) of every row.
 
     ``items`` are the sorted ids, as text, of items with occurring windows, ``longest_match`` is the length in
-    words of the longest verbatim match that holds a window, ``spans`` are the runs of hit words as start and
+    words of the longest verbatim match with an item that holds one of its windows, ``spans`` are the runs of hit words as start and
     end (exclusive) after one another.
     """
     spark = prepared(docs.sparkSession)
@@ -227,7 +296,18 @@ def _hits(spans: str) -> F.Column:
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The digest of ``contamination`` for each document."""
     found = contamination(docs, benchmark)
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    places = F.transform(F.sequence(F.lit(0), (F.size("spans") / 2).cast("int") - 1), lambda i: F.concat_ws(":", F.get("spans", 2 * i), F.get("spans", 2 * i + 1)))
+    spans = F.when(F.size("spans") > 0, F.array_join(places, ",")).otherwise("")
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+        "longest_match",
+        spans.alias("spans"),
+    )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:

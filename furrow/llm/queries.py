@@ -84,19 +84,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 _OP4_SQL = rf"""
-WITH d AS (SELECT doc_id, regexp_extract_all({_FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-b AS (SELECT item_id, regexp_extract_all({_FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
-win AS (SELECT DISTINCT item_id, n, array_to_string(w[p:p + n - 1], ' ') AS g
-        FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS p FROM b WHERE len(w) > 0)),
-word AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS w FROM d),
-g1 AS (SELECT doc_id, p, {", ".join(f"lead(w, {i}) OVER o AS w{i}" for i in range(10))} FROM word WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
-runs AS ({" UNION ALL ".join(f"SELECT doc_id, p, {n} AS n, {" || ' ' || ".join(f"w{i}" for i in range(n))} AS g FROM g1 WHERE w{n - 1} IS NOT NULL" for n in range(1, 11))}),
-hits AS (SELECT DISTINCT doc_id, p, runs.n, item_id FROM runs JOIN win ON runs.n = win.n AND runs.g = win.g),
-covered AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hits) GROUP BY doc_id),
-items AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hits) GROUP BY doc_id)
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT row_number() OVER () AS bid, item_id, regexp_extract_all({_FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (SELECT bid, item_id, n, t, array_to_string(w[t:t + n - 1], ' ') AS g
+        FROM (SELECT bid, item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS t FROM b WHERE len(w) > 0)),
+word AS (SELECT rid, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS w FROM d),
+g1 AS (SELECT rid, p, {", ".join(f"lead(w, {i}) OVER o AS w{i}" for i in range(10))} FROM word WINDOW o AS (PARTITION BY rid ORDER BY p)),
+runs AS ({" UNION ALL ".join(f"SELECT rid, p, {n} AS n, {" || ' ' || ".join(f"w{i}" for i in range(n))} AS g FROM g1 WHERE w{n - 1} IS NOT NULL" for n in range(1, 11))}),
+hits AS (SELECT rid, p, t, runs.n, bid, item_id FROM runs JOIN win ON runs.n = win.n AND runs.g = win.g),
+hit AS (SELECT DISTINCT rid, unnest(range(p, p + n)) AS q FROM hits),
+island AS (SELECT rid, min(q) - 1 AS a, max(q) AS z, count(*) AS n FROM (SELECT rid, q, q - row_number() OVER (PARTITION BY rid ORDER BY q) AS k FROM hit) GROUP BY rid, k),
+covered AS (SELECT rid, sum(n) AS n_hit, string_agg(a || ':' || z, ',' ORDER BY a) AS spans FROM island GROUP BY rid),
+diagonal AS (SELECT rid, max(m) AS longest FROM (SELECT rid, count(*) + any_value(n) - 1 AS m FROM (SELECT rid, bid, n, p - t AS k, p - row_number() OVER (PARTITION BY rid, bid, n, p - t ORDER BY p) AS i FROM hits) GROUP BY rid, bid, k, i) GROUP BY rid),
+items AS (SELECT rid, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS s FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS i FROM hits WHERE item_id IS NOT NULL) GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+       sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(longest, 0) AS BIGINT) AS longest_match, coalesce(spans, '') AS spans
+FROM d LEFT JOIN covered USING (rid) LEFT JOIN items USING (rid) LEFT JOIN diagonal USING (rid)
 """
 
 _OP10_SQL = r"""
@@ -116,19 +119,19 @@ def _either_case(word: str) -> str:
     return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
 
 
-#: kind, pattern, checked group, least characters; as in ``secret_scan.RULES``.
+#: kind, pattern, checked group, least characters, whether the group is the span; as in ``secret_scan.RULES``.
 _OP6_RULES = [
-    ("assign", "(" + "|".join(_either_case(w) for w in ("password", "passwd", "secret", "token", "api_?key")) + r""")["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
-    ("access", "AKIA[A-Z0-9]+", 0, 20),
-    ("hex", "[0-9a-f]+", 0, 24),
-    *((r.kind, r.pattern, r.group, r.least) for r in secret_scan.RULES if not r.base),
+    ("assign", "(" + "|".join(_either_case(w) for w in ("password", "passwd", "secret", "token", "api_?key")) + r""")["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 6, False),
+    ("access", "AKIA[A-Z0-9]+", 0, 20, False),
+    ("hex", "[0-9a-f]+", 0, 24, False),
+    *((r.kind, r.pattern, r.group, r.least, r.own) for r in secret_scan.RULES if not r.base),
 ]
 _OP6_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
-m AS ({" UNION ALL ".join(f"SELECT rid, {rank} AS rank, '{kind}' AS kind, {least} AS least, regexp_split_to_array(t, '{p}') AS gaps, regexp_extract_all(t, '{p}', 0) AS hits, regexp_extract_all(t, '{p}', {group}) AS checked FROM d WHERE regexp_matches(t, '{p}')" for rank, (kind, p, group, least) in enumerate(_OP6_RULES))}),
-parts AS (SELECT rid, rank, kind, least, i, length(gaps[i]) AS gap, length(hits[i]) AS hit, length(checked[i]) AS n FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM m)),
+m AS ({" UNION ALL ".join(f"SELECT rid, {rank} AS rank, '{kind}' AS kind, {least} AS least, {own} AS own, regexp_split_to_array(t, '{p}') AS gaps, regexp_extract_all(t, '{p}', 0) AS hits, regexp_extract_all(t, '{p}', {group}) AS checked FROM d WHERE regexp_matches(t, '{p}')" for rank, (kind, p, group, least, own) in enumerate(_OP6_RULES))}),
+parts AS (SELECT rid, rank, kind, least, own, i, length(gaps[i]) AS gap, length(hits[i]) AS hit, length(checked[i]) AS n FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM m)),
 placed AS (SELECT *, sum(gap + hit) OVER (PARTITION BY rid, rank ORDER BY i) AS z FROM parts),
-s AS (SELECT rid, rank, kind, CAST(z - hit AS BIGINT) AS a, kind || ':' || CAST(z - hit AS BIGINT) || ':' || CAST(z AS BIGINT) AS name FROM placed WHERE n >= least),
+s AS (SELECT rid, rank, kind, a, kind || ':' || a || ':' || CAST(z AS BIGINT) AS name FROM (SELECT *, CAST(z - CASE WHEN own THEN n ELSE hit END AS BIGINT) AS a FROM placed WHERE n >= least)),
 g AS (SELECT rid, {", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in ("assign", "access", "hex"))}, string_agg(name, ',' ORDER BY a, rank) FILTER (WHERE rank < 3) AS base, string_agg(name, ',' ORDER BY a, rank) AS spans FROM s GROUP BY rid)
 SELECT doc_id, {", ".join(f"CAST(coalesce(n_{k}, 0) AS BIGINT) AS n_{k}" for k in ("assign", "access", "hex"))}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (rid)
 """
