@@ -2,10 +2,11 @@
 
 Voters are lexicon entries (prefixes of words, found among labelled rows by how much more often toxic documents
 hold them, over whole texts and all languages together), a fixed English lexicon, the number of different hits,
-and patterns of style.  The label model is fitted by expectation maximisation: it estimates how often each voter
+patterns of style, and how much a text repeats its words.  The label model is fitted by expectation maximisation: it estimates how often each voter
 fires on toxic and on other documents, and how accurate the given labels are; correlations that are left between
 voters given the posterior discount those that repeat each other.  A logistic regression over the voters'
-firings and hit counts learns the posteriors and scores all documents.
+firings and hit counts learns the posteriors and scores all documents.  Of its targets ``GIVEN`` is the given label
+itself: posteriors alone deny each label that no voter supports, which leaves such rows without any rank.
 
 The model learns from a bounded sample: at most ``SAMPLE_POSITIVE`` and ``SAMPLE_NEGATIVE`` labelled rows, which
 is the only part that is broadcast; scores cover whole texts of all rows.
@@ -38,6 +39,10 @@ SAMPLE_NEGATIVE = 8000
 VOTERS = 96
 PREFIX_CHARS = range(3, 9)
 THRESHOLD = 0.3
+#: Share of the given label in what the classifier learns.
+GIVEN = 0.2
+#: Texts of so many words whose share of different words is below these are repetitive.
+REPETITIVE_WORDS, REPETITIVE = 20, (0.2, 0.4)
 # A small English lexicon.
 LEXICON = ("asshole", "bastard", "bitch", "clown", "creep", "crap", "cretin", "damn", "disgusting", "dumb", "dumbass", "filth", "fool", "freak", "fuck", "garbage", "hate", "hideous", "idiot", "imbecile", "jerk", "kill", "loser", "lunatic", "moron", "parasite", "pathetic", "pig", "psycho", "scum", "shit", "shut", "slut", "stupid", "sucks", "trash", "ugly", "vermin", "whore", "worthless")
 #: Bytes by which a word is known to begin no voter's prefix.
@@ -62,6 +67,8 @@ class Model:
         """A row for each text: firings of the prefixes, then of the other voters."""
         starts, ends, first = textkit.words(data, off, textkit.NOT_ALNUM)
         n = np.diff(first)
+        different = np.diff(textkit.distinct(textkit.word_hashes(data, starts, ends), first)[1])
+        style = np.hstack([style, *[((n >= REPETITIVE_WORDS) & (different < share * n))[:, None] for share in REPETITIVE]])
         v = len(self.prefixes)
         hits = np.zeros((len(n), v + 1))
         if len(starts):
@@ -84,7 +91,7 @@ class Model:
 
 
 def voters(hits: np.ndarray, n_words: np.ndarray, style: np.ndarray) -> np.ndarray:
-    """Firings from hit counts: each prefix, the lexicon, two and three different hits, density, style."""
+    """Firings from hit counts: each prefix, the lexicon, two and three different hits, density, style and repetition."""
     kinds, total = (hits[:, :-1] > 0).sum(1), hits[:, :-1].sum(1)
     dense = total / np.maximum(n_words, 1)
     extra = np.stack([hits[:, -1] > 0, total > 0, total > 1, total > 2, kinds > 1, kinds > 3, dense > 0.005, dense > 0.01, *style.T], 1)
@@ -191,12 +198,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     label = np.array([t for t, _ in got])
     if not 0 < label.sum() < len(label):
         return None
-    width = voters(np.zeros((1, len(prefixes) + 1)), np.zeros(1), np.zeros((1, 2))).shape[1]
+    width = voters(np.zeros((1, len(prefixes) + 1)), np.zeros(1), np.zeros((1, 2 + len(REPETITIVE)))).shape[1]
     votes = np.unpackbits(np.stack([np.frombuffer(f, np.uint8) for _, f in got]), axis=1)[:, :width].astype(np.float64)
     drawn_size = {c: (label == c).sum() for c in (0, 1)}
     weight = np.where(label == 1, size[1] / drawn_size[1], size[0] / drawn_size[0])
     weight *= len(weight) / weight.sum()
-    w = regression(votes, label_model(votes, label, weight), weight)
+    w = regression(votes, (1 - GIVEN) * label_model(votes, label, weight) + GIVEN * label, weight)
     return Model(prefixes, w[:-1], float(w[-1]))
 
 
