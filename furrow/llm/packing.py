@@ -38,6 +38,8 @@ PIECES_PER_TASK = 20_000
 NEARLY_FULL = SEQUENCE_TOKENS // 64
 #: Share of the exchanged bins that the next exchange must be able to hope for: one that saved less is the last.
 LEAST_SAVING = 0.0005
+#: Exchanges at most, as the turn is part of a sequence's number; each shrinks eightfold what is dealt, so far fewer happen.
+MOST_TURNS = 31
 
 _KIND = np.full(256, 3, np.uint8)  # 1: letter or digit, 2: punctuation that parts, 3: neither
 _KIND[[i for i in range(128) if chr(i).isalnum()]] = 1
@@ -234,7 +236,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
         dealt = left.coalesce(1) if partitions == 1 else left.repartition(partitions, F.xxhash64("own", F.lit(turn)))
         packed = settled(dealt.mapInArrow(_pack(turn, partitions == 1), schema))
         now = packed.agg(F.count_if(begins).alias("all"), F.count_if(begins & ~F.col("done")).alias("open"), F.count_if(~F.col("done")).alias("rows")).first()
-        last = bins is not None and bins - now["all"] < max(1, least_saving * bins)
+        last = turn == MOST_TURNS or bins is not None and bins - now["all"] < max(1, least_saving * bins)
         out = out.unionByName(packed.where(F.lit(last) | F.col("done")).select(out.columns))
         left, rows, bins, turn = packed.where("NOT done").select(left.columns), 0 if last else now["rows"], now["open"], turn + 1
     return out
