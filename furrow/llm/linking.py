@@ -347,9 +347,9 @@ def connected(edges: DataFrame, files: int) -> DataFrame:
 
 
 def _rooted(signed: DataFrame, texts: DataFrame, k: int, threshold: float, signature: Signature) -> DataFrame:
-    """(h1, h2, min_id, root) of every node; a node without links is its own root."""
-    nodes = settled(signed.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("min_id"), F.first("sig").alias("sig")))
-    named = nodes.select("h1", "h2", "min_id", _name("h1", "h2").alias("node")).join(roots(texts, nodes, k, threshold, signature), "node", "left")
+    """(h1, h2, min_id, n, root) of every node, which n rows have; a node without links is its own root."""
+    nodes = settled(signed.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("min_id"), F.count("*").alias("n"), F.first("sig").alias("sig")))
+    named = nodes.select("h1", "h2", "min_id", "n", _name("h1", "h2").alias("node")).join(roots(texts, nodes, k, threshold, signature), "node", "left")
     return named.withColumn("root", F.coalesce("root", "node"))
 
 
@@ -357,14 +357,17 @@ def components(docs: DataFrame, id_col: str, text_col: str, k: int, threshold: f
     """(doc_id, n_shingles, component_id) of every row.
 
     ``component_id`` is the least doc_id that links reach, its own included.  A text without words is linked
-    with nothing; a null doc_id counts only where a whole component has no other.
+    with nothing; a null doc_id counts only where a whole component has no other.  Giant components and texts with
+    very many copies meet their rows by broadcast.
     """
     signed = settled(signatures(docs, id_col, text_col, k, signature))
-    named = _rooted(signed, docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), k, threshold, signature)
-    least = named.groupBy("root").agg(F.min("min_id").alias("component_id"))
-    named = named.join(least, "root").select("h1", "h2", "component_id")
+    named = settled(_rooted(signed, docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), k, threshold, signature))
+    sizes = named.agg(F.count("*").alias("nodes"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    least = named.groupBy("root").agg(F.min("min_id").alias("component_id"), F.count("*").alias("n"))
+    named = joined_by_size(named, least, ["root"], sizes["nodes"]).select("h1", "h2", "component_id", "n")
     empty = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return signed.where("n_shingles > 0").join(named, ["h1", "h2"]).select("doc_id", "n_shingles", "component_id").unionByName(empty)
+    rows = signed.where("n_shingles > 0").select("h1", "h2", "doc_id", "n_shingles")
+    return joined_by_size(rows, named, ["h1", "h2"], sizes["rows"]).select("doc_id", "n_shingles", "component_id").unionByName(empty)
 
 
 def text_key(text: F.Column) -> F.Column:

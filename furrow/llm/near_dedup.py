@@ -18,7 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm import linking
+from furrow.llm import linking, session
+from furrow.llm.session import joined_by_size, settled
 
 SIGNATURE = linking.Signature("minmax", permutations=80, rows=5)
 
@@ -33,12 +34,16 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One document, with its columns, of each component: the least doc_id, nulls last, and of its texts one by their hash.
 
     It is found again by doc_id and hash of the text, so repeated and null ids bring back no other row; rows that
-    repeat doc_id and text stay once.
+    repeat doc_id and text stay once; a row that is repeated very often is found by broadcast.
     """
-    first = linking.firsts(docs, id_col, text_col, shingle_words, threshold, signature).select(F.struct("*").alias("first"))
+    first = linking.firsts(docs, id_col, text_col, shingle_words, threshold, signature)
+    key = lambda i, t: [i.isNull().alias("null_id"), F.coalesce(i.cast("string"), F.lit("")).alias("id"), t.alias("key")]
+    first = settled(first.select(*key(F.col("first_id"), F.col("first_key")), "copies", F.col("copies").alias("n")))
     rows = docs.select(F.struct(*docs.columns).alias("row"))  # so that no column of theirs clashes
-    row_id, row_text = F.col("row")[id_col], F.col("row")[text_col]
-    kept = rows.join(first, row_id.eqNullSafe(F.col("first.first_id")) & (linking.text_key(row_text) == F.col("first.first_key")))
-    once = kept.where("first.copies = 1").select("row.*")
-    again = kept.where("first.copies > 1").select("row.*").dropDuplicates([id_col, text_col])
+    rows = rows.select("row", *key(F.col("row")[id_col], linking.text_key(F.col("row")[text_col])))
+    sizes = first.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
+    names = ["null_id", "id", "key"]
+    kept = joined_by_size(rows, first, names, sizes["total"]) if sizes["most"] > session.HOT_ROWS else rows.join(first, names)
+    once = kept.where("copies = 1").select("row.*")
+    again = kept.where("copies > 1").select("row.*").dropDuplicates([id_col, text_col])
     return once.unionByName(again)

@@ -5,10 +5,11 @@ from __future__ import annotations
 import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from furrow.llm import decontaminate, html_text, secret_scan, session, textkit
+from furrow.llm import decontaminate, html_text, near_dedup, secret_scan, session, textkit, toxicity
 from tests.llm import brute
 
 DOCS = "doc_id long, text string"
@@ -119,3 +120,30 @@ def test_spans_of_hits_are_listed(spark):
     got = {r["doc_id"]: (r["longest_match"], r["spans"]) for r in decontaminate.report(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
     assert got == {1: (12, "1:13,14:26"), 2: (0, ""), 3: (0, "")}
     assert decontaminate.report(docs.where(F.lit(False)), spark.createDataFrame([], "item_id long, text string")).count() == 0
+
+
+# 8: hot components, copies and rows
+
+
+def test_hot_components_and_rows_meet_by_broadcast(spark, monkeypatch):
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(900)}" for _ in range(60)]
+    near = [" ".join([*base[:i], f"x{i}", *base[i + 1 :]]) for i in range(12)]
+    rows = [(i, rng.choice(near)) for i in range(60)] + [(100 + i, f"alone {i} and of many other words {i}") for i in range(8)] + [(7, near[0])] * 30 + [(None, "no id but words here")] * 9 + [(200, None), (201, "")]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("n", F.lit(1)).withColumn("key", F.lit("x"))
+    wanted = brute.components([(i, t) for i, t in rows if i is not None], 5, 0.8)
+    plain = sorted(map(repr, map(tuple, near_dedup.first_of_each(docs).collect())))
+    monkeypatch.setattr(session, "HOT_ROWS", 3)
+    monkeypatch.setattr(session, "HOT_KEYS", 1000)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_components(docs).collect() if r["doc_id"] is not None}
+    assert got == wanted
+    hot = near_dedup.first_of_each(docs)
+    assert hot.columns == docs.columns and sorted(map(repr, map(tuple, hot.collect()))) == plain
+    assert sorted(r["doc_id"] for r in hot.collect() if r["doc_id"] is not None) == sorted({*wanted.values()})
+    assert near_dedup.first_of_each(docs.where("doc_id < 0")).count() == 0
+
+
+def test_ranks_of_texts_without_toxic_words():
+    data, off = textkit.encode(["ha " * 40, " ".join(f"word{i}" for i in range(40)), "ha ha"])
+    fired = toxicity.Model([b"loser"], np.zeros(0), 0.0).features(data, off, np.zeros((3, 2)))
+    assert fired[:, -2:].tolist() == [[1, 1], [0, 0], [0, 0]]
