@@ -28,6 +28,19 @@ def checked(table: DataFrame, rows: dict[str, Column], keys: tuple[str, list[str
     return total.select(F.explode(each).alias("r")).select("r.*")
 
 
+def enforced(table: DataFrame, rows: dict[str, Column]) -> DataFrame:
+    """The table, with an error when a row is computed that makes a condition false; unknown passes.
+
+    A write of it fails before anything is committed, and needs no pass of its own to check.
+    """
+    first, *rest = table.columns
+    sound = F.col(first)
+    for rule, ok in rows.items():
+        refused = F.raise_error(F.lit(f"a row breaks the rule {rule}")).cast(table.schema[first].dataType)
+        sound = F.when(F.coalesce(ok, F.lit(True)), sound).otherwise(refused)
+    return table.select(sound.alias(first), *rest)
+
+
 def duplicate_keys(table: DataFrame, keys: list[str], rule: str) -> DataFrame:
     return _counted(table.groupBy(*keys).count().where("count > 1"), rule)
 

@@ -10,11 +10,12 @@ import datetime
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow.operators import upsert as U
 from furrow.operators import weather as W
+from furrow.sources import tables
 
 PAYLOAD = ["data_kind", "temp_min_c", "temp_max_c", "wind_avg_ms", "radiation_mj_m2", "source_station", "radiation_station", "checked", "check_message"]
 MEASURED_STATIONS, FORECAST_STATION = ("main", "coast"), "forecast service"
@@ -54,18 +55,40 @@ def with_outcome(settings: DataFrame, now: str, error: str = "") -> DataFrame:
 
 @dataclass(frozen=True)
 class Store:
-    """How to read the weather and settings tables, and how to put others in their place."""
+    """How to read the weather and settings tables, and how to put others in their place.
+
+    With ``upsert_weather``, which gets the rows to write and the time, the weather table isn't read or put in place
+    as a whole.
+    """
 
     weather: Callable[[], DataFrame]
     save_weather: Callable[[DataFrame], None]
     settings: Callable[[], DataFrame]
     save_settings: Callable[[DataFrame], None]
+    upsert_weather: Callable[[DataFrame, datetime.datetime], None] | None = None
+
+
+def stored_by_month(spark: SparkSession, path: str, settings: Callable[[], DataFrame], save_settings: Callable[[DataFrame], None]) -> Store:
+    """A store whose weather is a parquet table split by month, of which a refresh rewrites only the months it touches.
+
+    The table must be there, written by ``furrow.sources.tables.overwrite``.
+    """
+    read = lambda: spark.read.parquet(path).drop("month")
+    save = lambda rows: tables.overwrite(rows, path, by_month="weather_date")
+
+    def upsert(rows: DataFrame, now: datetime.datetime) -> None:
+        tables.upsert_by_month(path, rows, ["weather_date"], PAYLOAD, "weather_date", now=F.lit(now))
+
+    return Store(read, save, settings, save_settings, upsert)
 
 
 def _written(store: Store, rows: DataFrame, now: datetime.datetime) -> dict[str, int]:
     rows = rows.persist()  # a row a day
     try:
-        store.save_weather(U.upsert(store.weather(), rows, ["weather_date"], PAYLOAD, now=F.lit(now)))
+        if store.upsert_weather is not None:
+            store.upsert_weather(rows, now)
+        else:
+            store.save_weather(U.upsert(store.weather(), rows, ["weather_date"], PAYLOAD, now=F.lit(now)))
         return W.counters(rows).first().asDict()
     finally:
         rows.unpersist()

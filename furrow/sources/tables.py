@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from furrow import schemas
 from furrow.operators import upsert as U
+from furrow.operators.constraints import enforced
 
 SCHEMAS = {"fields": schemas.FIELDS, "daily_plan": schemas.DAILY_PLAN, "plan_days": schemas.PLAN_DAYS, "harvests": schemas.HARVESTS, "weather_daily": schemas.WEATHER_DAILY, "app_settings": schemas.APP_SETTINGS}
 
@@ -29,11 +30,12 @@ def month_of(day: str) -> Column:
     return F.date_format(day, "yyyy-MM")
 
 
-def upsert_by_month(path: str, delta: DataFrame, keys: list[str], payload: list[str], day: str, **how) -> None:  # noqa: ANN003
+def upsert_by_month(path: str, delta: DataFrame, keys: list[str], payload: list[str], day: str, rules: dict[str, Column] | None = None, **how) -> None:  # noqa: ANN003
     """Upserts into a parquet table that ``overwrite`` split by month of ``day``: only touched months are read and written.
 
     The months of the delta come to the driver, so that the scan lists no others; the write replaces their folders
-    when all tasks are done.  It is atomic for each month, not for all of them.  ``how`` goes to ``upsert``.
+    when all tasks are done.  It is atomic for each month, not for all of them.  A row that breaks one of the ``rules``
+    ends the write before any month is replaced.  ``how`` goes to ``upsert``.
     """
     months = [r[0] for r in delta.select(month_of(day)).distinct().collect()]
     if None in months:
@@ -41,7 +43,7 @@ def upsert_by_month(path: str, delta: DataFrame, keys: list[str], payload: list[
     if not months:
         return
     base = delta.sparkSession.read.parquet(path).where(F.col("month").isin(months)).drop("month")
-    rows = U.upsert(base, delta, keys, payload, **how).withColumn("month", month_of(day))
+    rows = enforced(U.upsert(base, delta, keys, payload, **how), rules or {}).withColumn("month", month_of(day))
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
 
 

@@ -20,6 +20,7 @@ from furrow.functions import expressions as E
 from furrow.operators import daily_state
 from furrow.operators import upsert as U
 from furrow.operators import weather as W
+from furrow.sources import tables
 
 #: What a stored state has: its rows, and the month and batch that its folders are named for.
 STORED = daily_state.STATE.format(seq="struct<batch: bigint, row: bigint>") + ", month string, batch bigint"
@@ -34,13 +35,31 @@ def touched_days(batch: DataFrame, zone: str = E.HOME_ZONE) -> DataFrame:
     return W.with_local_day(batch, zone).select(F.col("local_day").alias("day")).distinct()
 
 
+def month_writer(store: str, table: str, zone: str = E.HOME_ZONE) -> Callable[[DataFrame, int], None]:
+    """``day_writer`` into a parquet table split by month, of which only the touched months are read and written."""
+
+    def upsert(rows: DataFrame) -> None:
+        payload = [c for c in rows.columns if c != "weather_date"]
+        tables.upsert_by_month(table, rows, ["weather_date"], payload, "weather_date", defaults=schemas.DEFAULTS["weather_daily"])
+
+    return _writer(store, upsert, zone)
+
+
 def day_writer(store: str, load: Callable[[], DataFrame], save: Callable[[DataFrame], None], zone: str = E.HOME_ZONE) -> Callable[[DataFrame, int], None]:
     """A writer for ``into``: stores the state of each micro-batch, merges those of the days it touches, and upserts weather.
 
     States lie in folders by month and batch.  ``load`` gives the weather table, and ``save`` puts another in its
-    place.  The touched months of one batch come to the driver, so that the others' folders aren't listed or read.
+    place.  The touched months of one batch come to the driver, so that the others' folders aren't read.
     """
 
+    def upsert(rows: DataFrame) -> None:
+        payload = [c for c in rows.columns if c != "weather_date"]
+        save(U.upsert(load(), rows, ["weather_date"], payload, schemas.DEFAULTS["weather_daily"]))
+
+    return _writer(store, upsert, zone)
+
+
+def _writer(store: str, upsert: Callable[[DataFrame], None], zone: str) -> Callable[[DataFrame, int], None]:
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         numbered = batch.withColumn("seq", F.struct(F.lit(batch_id).cast("long").alias("batch"), F.monotonically_increasing_id().alias("row")))
@@ -52,9 +71,7 @@ def day_writer(store: str, load: Callable[[], DataFrame], save: Callable[[DataFr
         if not months:
             return
         same_days = stored.where(F.col("month").isin(months)).join(touched, ["month", "day"], "left_semi").drop("month", "batch")
-        rows = W.judged(daily_state.measures(daily_state.merged(same_days)))
-        payload = [c for c in rows.columns if c != "weather_date"]
-        save(U.upsert(load(), rows, ["weather_date"], payload, schemas.DEFAULTS["weather_daily"]))
+        upsert(W.judged(daily_state.measures(daily_state.merged(same_days))))
 
     return write
 

@@ -22,6 +22,7 @@ from furrow.functions import exact
 from furrow.functions import expressions as E
 from furrow.operators import asof, constraints, daily_state
 from furrow.operators import harvests as H
+from furrow.operators import refresh
 from furrow.operators import upsert as U
 from furrow.plans import daily as P
 from furrow.plans import edits, sql_functions
@@ -210,6 +211,50 @@ def test_untouched_months_keep_their_files(spark, tmp_path):
     assert sorted(tuple(r) for r in touched.collect()) == [(D(2024, 2, 1), 2, "kept", "2024-02"), (D(2024, 2, 2), 40, "kept", "2024-02"), (D(2024, 4, 1), 50, "new", "2024-04")]
 
 
+def test_a_row_that_breaks_a_rule_ends_a_write_by_month(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    tables.overwrite(spark.createDataFrame([(D(2024, m, 1), m) for m in (1, 2)], "day date, v int"), path, by_month="day")
+    before = {p: p.stat().st_mtime_ns for p in Path(path).rglob("*.parquet")}
+    delta = spark.createDataFrame([(D(2024, 1, 1), 5), (D(2024, 2, 1), -5)], "day date, v int")
+    with pytest.raises(Exception, match="breaks the rule positive"):
+        tables.upsert_by_month(path, delta, ["day"], ["v"], "day", rules={"positive": F.col("v") > 0})
+    assert {p: p.stat().st_mtime_ns for p in Path(path).rglob("*.parquet")} == before
+    tables.upsert_by_month(path, delta.withColumn("v", F.lit(None).cast("int")), ["day"], ["v"], "day", rules={"positive": F.col("v") > 0})
+    assert {r["v"] for r in spark.read.parquet(path).collect()} == {None}
+
+
+def test_a_refresh_rewrites_the_months_it_touches(spark, tmp_path):
+    path = f"{tmp_path}/weather"
+    old = spark.createDataFrame([(D(2024, 5, 1),), (D(2024, 7, 1),)], "weather_date date").withColumn("notes", F.lit("kept"))
+    kinds = {c.split()[0]: c.split()[1] for c in re.split(r", (?![0-9])", schemas.WEATHER_DAILY)}
+    table = old.select(*[F.col(c) if c in old.columns else F.lit(None).cast(kind).alias(c) for c, kind in kinds.items()])
+    tables.overwrite(table, path, by_month="weather_date")
+    before = {p: p.stat().st_mtime_ns for p in Path(path).rglob("*.parquet")}
+    held = {"settings": spark.createDataFrame([], "key string, value string")}
+    store = refresh.stored_by_month(spark, path, lambda: held["settings"], lambda df: held.__setitem__("settings", spark.createDataFrame(df.collect(), df.schema)))
+    readings = spark.createDataFrame([("s", 2024, 7, 1, 10, "12", "TA", 1), ("s", 2024, 7, 1, 11, "3", "WS10M", 2), ("c", 2024, 7, 1, 0, "20", "DRQS", 3)], READINGS)
+    payload = spark.createDataFrame([('{"daily":{"time":["2024-07-03","2024-08-01"],"temperature_2m_min":[1,2],"temperature_2m_max":[2,3],"shortwave_radiation_sum":[4,5]}}',)], "json string")
+    got = refresh.refresh_all(store, readings, readings, payload, datetime.datetime(2024, 7, 3, 10, tzinfo=datetime.timezone.utc))
+    assert got == {"measured": {"saved": 2, "checked": 1}, "forecast": {"saved": 2}}
+    rows = {r["weather_date"]: r for r in store.weather().collect()}
+    assert set(rows) == {D(2024, 5, 1), D(2024, 7, 1), D(2024, 7, 2), D(2024, 7, 3), D(2024, 8, 1)}
+    assert rows[D(2024, 7, 1)]["notes"] == "kept" and float(rows[D(2024, 7, 1)]["temp_min_c"]) == 12 and rows[D(2024, 8, 1)]["data_kind"] == "forecast"
+    after = {p: p.stat().st_mtime_ns for p in Path(path).rglob("*.parquet")}
+    assert {p.parent.name for p in before if after.get(p) == before[p]} == {"month=2024-05"}
+
+
+def test_a_stream_rewrites_the_months_it_touches(spark, tmp_path):
+    table = f"{tmp_path}/weather"
+    tables.overwrite(spark.createDataFrame([], schemas.WEATHER_DAILY), table, by_month="weather_date")
+    none = spark.createDataFrame([(D(2024, 5, 1),)], "weather_date date")
+    kinds = {c.split()[0]: c.split()[1] for c in re.split(r", (?![0-9])", schemas.WEATHER_DAILY)}
+    tables.overwrite(none.select(*[F.col(c) if c == "weather_date" else F.lit(None).cast(kind).alias(c) for c, kind in kinds.items()]), table, by_month="weather_date")
+    write = ingest.month_writer(f"{tmp_path}/store", table)
+    for batch, (month, value) in enumerate([(7, "3"), (8, "4"), (7, "5")]):
+        write(spark.createDataFrame([("s", 2024, month, 1, 5, value, "WS10M")], schemas.READINGS), batch)
+    assert {r["weather_date"]: r["wind_avg_ms"] and float(r["wind_avg_ms"]) for r in spark.read.parquet(table).collect()} == {D(2024, 5, 1): None, D(2024, 7, 1): 4.0, D(2024, 8, 1): 4.0}
+
+
 def test_a_write_refuses_rows_that_break_its_rules(spark, tmp_path):
     rows = spark.createDataFrame([(1, 5), (2, -1), (3, None)], "k int, v int")
     rules = {"v_positive": F.col("v") >= 0, "k_small": F.col("k") < 9}
