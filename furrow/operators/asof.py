@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Children of a block, in bits, and levels of blocks: together they cover times from -2**23 to 2**23, which is any day.
-BITS, LEVELS = 8, 3
+BITS, LEVELS = 12, 2
 
 
 def last_before(probes: DataFrame, known: DataFrame, keys: list[str], at: str, bits: int = BITS, levels: int = LEVELS) -> DataFrame:

@@ -45,13 +45,15 @@ def plan_of(df):
 def test_last_before_equals_a_plain_search(spark):
     rng = random.Random(2)
     key = lambda: rng.choice([1, 1, 1, 2, 3, None])
-    time = lambda: rng.choice([rng.randrange(-700, 700), rng.randrange(-(1 << 23), 1 << 23), 255, 256, 65536])
+    time = lambda: rng.choice([rng.randrange(-700, 700), rng.randrange(-(1 << 23), 1 << 23), 255, 256, 4095, 4096, 65536])
     known = [(key(), time()) for _ in range(500)] + [(1, None)]
     probes = [(key(), time()) for _ in range(300)]
     asked, have = (spark.createDataFrame(rows, "k int, t long") for rows in (probes, known))
     got = {(r["k"], r["t"]): r["last"] for r in asof.last_before(asked, have, ["k"], "t").collect()}
     wanted = {(k, t): max((x for j, x in known if k is not None and j == k and x is not None and x < t), default=None) for k, t in probes}
     assert got == wanted
+    again = {(r["k"], r["t"]): r["last"] for r in asof.last_before(asked, have, ["k"], "t", bits=5, levels=5).collect()}
+    assert again == wanted
     assert asof.last_before(asked, have.where("false"), ["k"], "t").where("last IS NOT NULL").count() == 0
     assert asof.last_before(asked.where("false"), have, ["k"], "t").count() == 0
 
