@@ -76,6 +76,18 @@ def _writer(store: str, upsert: Callable[[DataFrame], None], zone: str) -> Calla
     return write
 
 
+def compact(spark: SparkSession, store: str, target: str) -> None:
+    """Writes the merged states of a store to a new one, with one state for each day, while no stream writes to it.
+
+    They are numbered as the last batch, which is whole when the stream has stopped; the stream goes on with the target.
+    """
+    stored = spark.read.schema(STORED).parquet(store)
+    last = stored.agg(F.max("batch")).first()[0]
+    if last is not None:
+        merged = daily_state.merged(stored.drop("month", "batch")).withColumns({"month": F.date_format("day", "yyyy-MM"), "batch": F.lit(last)})
+        merged.repartition("month").write.mode("errorifexists").partitionBy("month", "batch").parquet(target)
+
+
 def into(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Gives each micro-batch to ``write``, once for all files that are there now."""
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -187,6 +187,12 @@ def test_a_late_reading_costs_its_month_alone(spark, tmp_path):
     got = {r["weather_date"]: float(r["wind_avg_ms"]) for r in held["weather"].collect()}
     assert got == {D(2023, 7, 1): 5, D(2024, 7, 1): 3, D(2024, 8, 1): 5} and len(saved) == 3
     assert {p: p.stat().st_mtime_ns for p in before} == before
+    ingest.compact(spark, store, f"{tmp_path}/compact")
+    small = spark.read.schema(ingest.STORED).parquet(f"{tmp_path}/compact")
+    assert {r["month"] for r in small.collect()} == {"2023-07", "2024-07", "2024-08"} and small.count() == small.select("day", "bin").distinct().count()
+    again = ingest.day_writer(f"{tmp_path}/compact", lambda: held["weather"], save)
+    again(batch((2024, 8, 1, 7, "8", "WS10M")), 3)
+    assert {r["weather_date"]: float(r["wind_avg_ms"]) for r in held["weather"].collect()}[D(2024, 8, 1)] == 6
     stored = spark.read.schema(ingest.STORED).parquet(store).where(F.col("month").isin(["2023-07"]))
     assert "month" in re.search(r"PartitionFilters: \[([^\]]*)\]", plan_of(stored))[1]
 
