@@ -8,7 +8,7 @@ of two sets, with a standard error of at most 0.045 at 128 permutations.
 Defined results: a null text is an empty text; texts without words share one fingerprint of their own; a
 text of fewer words than a shingle is one shingle; equal texts have equal fingerprints.  An empty table
 gives an empty table.  Rows that repeat a doc_id, or have none, are documents of their own; among them the order
-is that of a hash of the text.  "The next document" needs ids that are whole numbers: others raise a TypeError.
+is that of a hash of the text; rows that repeat both id and text lie in one bucket, and the bucket before borrows them.  "The next document" needs ids that are whole numbers: others raise a TypeError.
 """
 
 from __future__ import annotations
