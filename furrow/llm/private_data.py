@@ -15,7 +15,7 @@ every document and different ones stay different:
   one or two digits; real days from 1900-01-01 on, 73,170 of them): the day's number, among days of the same form;
 * mail addresses, with 1 to 64 characters before the ``@``, as the mail standards allow: letters and digits of the
   local part, each within its class, case and script kept; only letters that are alone in their class, like the
-  sharp s, stay.  The domain stays.
+  sharp s, stay.  The domain, of any script, stays.
 
 The permutation of a string is an alternating Feistel network over its two halves: each round adds digits of a
 keyed hash of one half to the other, character by character, modulo the size of the character's class; a number
@@ -42,7 +42,7 @@ DEFAULT_KEY = "furrow"
 # The formats, in the order in which they are tried at a place.
 FORMATS = (
     # one try for each run of local characters, or from the end of the value before; no group repeats
-    ("email", r"(?:\G|(?<![\p{L}0-9._%+-]))[\p{L}0-9._%+-]{1,64}+@[A-Za-z0-9-][A-Za-z0-9.-]{0,253}\.[A-Za-z]{2,}+"),
+    ("email", r"(?:\G|(?<![\p{L}0-9._%+-]))[\p{L}0-9._%+-]{1,64}+@[\p{L}0-9-][\p{L}0-9.-]{0,253}\.\p{L}{2,}+"),
     (
         "phone",
         r"\+1 ?\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])"

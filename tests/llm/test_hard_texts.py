@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from furrow.llm import decontaminate, html_text, near_dedup, secret_scan, session, textkit, toxicity
+from furrow.llm import decontaminate, html_text, near_dedup, private_data, secret_scan, session, textkit, toxicity
 from tests.llm import brute
 
 DOCS = "doc_id long, text string"
@@ -147,3 +147,17 @@ def test_ranks_of_texts_without_toxic_words():
     data, off = textkit.encode(["ha " * 40, " ".join(f"word{i}" for i in range(40)), "ha ha"])
     fired = toxicity.Model([b"loser"], np.zeros(0), 0.0).features(data, off, np.zeros((3, 2)))
     assert fired[:, -2:].tolist() == [[1, 1], [0, 0], [0, 0]]
+
+
+# 9: mail addresses
+
+
+def test_mail_domains_of_other_scripts_are_found(spark):
+    texts = ["write to anna9@müller.de or x@почта.рф, not to a@b", "anna9@example.com"]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    there = private_data.pseudonymised(docs)
+    got = {r["doc_id"]: r for r in there.collect()}
+    assert got[0]["n_email"] == 2 and "anna9@" not in got[0]["text"] and "@müller.de" in got[0]["text"] and "@почта.рф" in got[0]["text"] and got[0]["text"].endswith("a@b")
+    assert got[0]["text"].split("@")[0].removeprefix("write to ") == got[1]["text"].split("@")[0]  # linked whatever the domain
+    back = private_data.pseudonymised(there.select("doc_id", "text"), inverse=True)
+    assert {r["doc_id"]: r["text"] for r in back.collect()} == dict(enumerate(texts))
