@@ -5,7 +5,9 @@
     SELECT * FROM daily_plan_of(DATE'2024-08-04')
     SELECT d.day, p.* FROM days d, LATERAL daily_plan_of(d.day) p
     SELECT field_interval(DATE'2024-08-04', 3)
+    SELECT * FROM default_plan_of(DATE'2024-08-04')      -- what an untouched day would get
     SELECT * FROM harvest_history(300)
+    SELECT * FROM harvests_on(DATE'2024-08-04')
     SELECT * FROM weather_status(DATE'2024-07-01', DATE'2024-07-31')
 
 Catalyst puts a function's query in place of each call and turns lateral calls into joins.
@@ -17,12 +19,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from furrow.functions import expressions as E
 from furrow.operators import harvests as H
+from furrow.plans import daily as P
 
 _TOTAL = " + ".join(H.GRADES)
 _COMPLETE = " AND ".join(f"w.{c} IS NOT NULL" for c, _ in E.COMPLETE_COLUMNS)
 _MISSING = ", ".join(f"CASE WHEN w.{c} IS NULL THEN '{name}' END" for c, name in E.COMPLETE_COLUMNS)
 
+_STALEST = "row_number() OVER (ORDER BY max(h.harvest_date) NULLS FIRST, f.id)"
+
 FUNCTIONS = {
+    "default_plan_of": f"""(on_day DATE) RETURNS TABLE (plan_date DATE, field_id INT, position INT) RETURN
+        SELECT on_day, r.id, r.place FROM (SELECT 1 AS one, f.id, {_STALEST} AS place FROM {{fields}} f LEFT JOIN {{harvests}} h ON h.field_id = f.id GROUP BY f.id) r
+        LEFT ANTI JOIN (SELECT DISTINCT 1 AS one FROM {{plan}} p WHERE p.plan_date = on_day) s ON s.one = r.one WHERE r.place <= {P.DEFAULT_ROWS}""",
+    "harvests_on": """(on_day DATE) RETURNS TABLE (field_id INT, interval_days INT, a DECIMAL(12,2), b DECIMAL(12,2), c DECIMAL(12,2), xl DECIMAL(12,2)) RETURN
+        SELECT field_id, interval_days, a, b, c, xl FROM {harvests} WHERE harvest_date = on_day""",
     "field_interval": """(on_day DATE, field INT) RETURNS INT RETURN
         SELECT coalesce(
             datediff(on_day, (SELECT max(h.harvest_date) FROM {harvests} h WHERE h.field_id = field AND h.harvest_date < on_day)),

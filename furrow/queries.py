@@ -390,3 +390,13 @@ def sql_field_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(ORACLE_SQL["weather_status"])
 def sql_weather_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_functions(spark, sf_dir, "SELECT * FROM weather_status(DATE'2023-12-25', DATE'2024-02-05')")
+
+
+@query(ORACLE_SQL["default_plan"])
+def sql_default_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_functions(spark, sf_dir, "SELECT * FROM default_plan_of(DATE'2002-01-01')")
+
+
+@query(with_sql("harvests") + "SELECT field_id, interval_days, a, b, c, xl FROM harvests WHERE harvest_date = DATE '1998-07-01'", ("a", "b", "c", "xl"))
+def sql_harvests_on(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_functions(spark, sf_dir, "SELECT * FROM harvests_on(DATE'1998-07-01')")

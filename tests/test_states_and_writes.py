@@ -369,6 +369,9 @@ def test_sql_functions_equal_the_dataframes(spark):
     lateral = ask("SELECT d.day, p.* FROM VALUES (DATE'2024-08-04'), (DATE'2024-08-05'), (DATE'2024-08-06') d(day), LATERAL daily_plan_of(d.day) p")
     assert lateral == sorted((r["plan_date"], r["field_id"], r["field_name"], r["position"], r["interval_days"]) for r in P.with_intervals(plan, fields, harvests).collect())
     assert ask("SELECT id, field_interval(DATE'2024-08-04', id) FROM furrow_fields") == [(1, 3), (2, 34), (3, 4), (4, 5), (5, 5)]
+    assert ask("SELECT * FROM default_plan_of(DATE'2024-08-06')") == [(D(2024, 8, 6), 2, 3), (D(2024, 8, 6), 4, 1), (D(2024, 8, 6), 5, 2)]
+    assert ask("SELECT * FROM default_plan_of(DATE'2024-08-05')") == []
+    assert [r[:2] for r in ask("SELECT * FROM harvests_on(DATE'2024-08-04')")] == [(1, 5)]
     for n, size in ((2, 2), (0, 1), (-5, 1), (5000, 4), ("NULL", 4)):
         assert len(ask(f"SELECT * FROM harvest_history({n})")) == size
     assert ask("SELECT * FROM weather_status(DATE'2024-08-03', DATE'2024-08-04')")[1] == (day, True, "")
