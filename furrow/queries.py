@@ -319,7 +319,9 @@ SELECT word, TRY_CAST(replace(word, '_', '') AS DOUBLE) AS number, count(*) AS n
 def safe_float(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of all documents that are numbers."""
     words = D.table(spark, sf_dir, "documents").select(F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word"))
-    return words.withColumn("number", E.safe_float(F.col("word"))).where("number IS NOT NULL").groupBy("word", "number").agg(F.count("*").alias("n"))
+    # no number begins otherwise, and each different word is read once
+    counted = words.where(F.substring("word", 1, 1).isin(*"+-.0123456789iI")).groupBy("word").agg(F.count("*").alias("n"))
+    return counted.select("word", E.safe_float(F.col("word")).alias("number"), "n").where("number IS NOT NULL")
 
 
 @query(with_sql("order_plan", "shipments") + "SELECT p.plan_date, p.field_id, s.harvest_date AS last_harvest, CAST(p.plan_date - s.harvest_date AS INTEGER) AS interval_days FROM order_plan p ASOF LEFT JOIN (SELECT DISTINCT harvest_date, field_id FROM shipments) s ON p.field_id = s.field_id AND p.plan_date > s.harvest_date")
