@@ -130,7 +130,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_
 
     def unit(part: np.ndarray) -> np.ndarray:
         x = np.unpackbits(part, axis=1).astype(np.float32)
-        return x / np.sqrt(np.maximum(x.sum(1), 1))[:, None]
+        x /= np.sqrt(np.maximum(x.sum(1), 1))[:, None]  # in place, as this is the driver's memory
+        return x
 
     marks = unit(bits[chosen])
     kernel = np.concatenate([unit(bits[lo : lo + 256]) @ marks.T for lo in range(0, len(bits), 256)]).astype(np.float64)

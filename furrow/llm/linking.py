@@ -325,7 +325,9 @@ def roots(docs: DataFrame, nodes: DataFrame, k: int, threshold: float, signature
 def connected(edges: DataFrame, files: int) -> DataFrame:
     """(node, root): the least node of each edge's component, by rounds of large-star and small-star over columns u, v.
 
-    The edges are first settled in ``files`` files.
+    The edges are first settled in ``files`` files.  Within a round every table that the next step names more than once is
+    settled too: each join by size names its tables several times, so a plan of a whole round would repeat them dozens
+    of times, and the driver keeps such a plan, its metrics and its descriptions.
     """
     edges = settled(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct().coalesce(files))
     total = edges.count()
@@ -334,9 +336,9 @@ def connected(edges: DataFrame, files: int) -> DataFrame:
     seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(*of_each).select("u", F.least("u", "m").alias("m"), "n")
-        large = joined_by_size(both.where("v > u"), least, ["u"], total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(*of_each)
+        least = settled(both.groupBy("u").agg(*of_each).select("u", F.least("u", "m").alias("m"), "n").coalesce(files))
+        large = settled(joined_by_size(both.where("v > u"), least, ["u"], total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct().coalesce(files))
+        least = settled(large.groupBy("u").agg(*of_each).coalesce(files))
         stars = joined_by_size(large, least, ["u"], total).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         edges = settled(stars.coalesce(files))
         state = tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31)))).first())

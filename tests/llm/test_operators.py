@@ -154,6 +154,21 @@ def test_components_of_a_star_a_chain_and_a_clique(spark, monkeypatch):
     assert got == {**{f"s{i:02}": "c" for i in range(20)}, **{f"k{i:02}": "k00" for i in range(1, 31)}, **{f"q{i}": "q0" for i in range(1, 5)}}
 
 
+def test_plans_of_the_component_search_stay_small(spark, monkeypatch):
+    """A plan that repeats a round's tables costs the driver memory; here each one has a few exchanges."""
+    exchanges, cut = [], linking.settled
+
+    def counted(df):
+        exchanges.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange"))
+        return cut(df)
+
+    monkeypatch.setattr(linking, "settled", counted)
+    pairs = [("c", f"s{i:03}") for i in range(300)] + [(f"k{i:02}", f"k{i + 1:02}") for i in range(10)]  # the centre is hot
+    got = dict(rows_of(linking.connected(spark.createDataFrame(pairs, "u string, v string"), 2)))
+    assert got == {**{f"s{i:03}": "c" for i in range(300)}, **{f"k{i:02}": "k00" for i in range(1, 11)}}
+    assert 1 < max(exchanges) <= 8, exchanges
+
+
 # 4: decontamination
 
 
